@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.runtime import materialize
-from .common import WORD, text_or_empty
+from .common import text_or_empty
 
 #: Seeds of the two halves.
 SEEDS = (17, 29)
@@ -31,18 +31,17 @@ WIDTH = 5
 
 
 def simhash(texts: DataFrame, keys: list[str], text: str, width: int = WIDTH) -> DataFrame:
-    """(keys, text) -> (keys, fp0, fp1), a row for each distinct key whose text has a word. Keys must tell texts apart."""
+    """(keys, text) -> (keys, fp0, fp1), a row for each distinct key; without words the zero. Keys must tell texts apart."""
     split = texts.select(*keys, F.filter(F.split(F.col(text), r"[\x20\x09-\x0D]+"), lambda w: w != "").alias("_w"))
-    hashed = split.filter("size(_w) > 0").select(
-        *keys, F.transform(F.concat("_w", F.expr(f"array_repeat('', {width - 1} - size(_w) + 1)")), lambda w: F.xxhash64(w)).alias("_h")
-    )
-    slices = [F.expr(f"slice(_h, {i + 1}, size(_h) - {width - 1})").alias(f"t{i}") for i in range(width)]
-    rows = hashed.select(*keys, F.posexplode(F.arrays_zip(*slices)).alias("_at", "_t"))
+    filled = F.when(F.size("_w") > 0, F.concat("_w", F.expr(f"array_repeat('', {width} - size(_w))"))).otherwise(F.array().cast("array<string>"))
+    hashed = split.select(*keys, F.transform(filled, lambda w: F.xxhash64(w)).alias("_h"))
+    slices = [F.expr(f"slice(_h, {i + 1}, greatest(size(_h) - {width - 1}, 0))").alias(f"t{i}") for i in range(width)]
+    rows = hashed.select(*keys, F.posexplode_outer(F.arrays_zip(*slices)).alias("_at", "_t"))
     fields = [F.col(f"_t.t{i}") for i in range(width)]
-    votes = rows.select(*keys, F.expr(f"_at div {LANE_TERMS}").alias("_part"), *[F.xxhash64(F.lit(s), *fields).alias(f"_h{i}") for i, s in enumerate(SEEDS)])
+    votes = rows.select(*keys, F.expr(f"_at div {LANE_TERMS}").alias("_part"), *[F.when(F.col("_at").isNotNull(), F.xxhash64(F.lit(s), *fields)).alias(f"_h{i}") for i, s in enumerate(SEEDS)])
     lane = F.lit(0x0001000100010001)
     part = votes.groupBy(*keys, "_part").agg(
-        F.count("*").alias("_n"), *[F.sum(F.shiftrightunsigned(F.col(f"_h{i}"), b).bitwiseAND(lane)).alias(f"_l{i}_{b}") for i in range(2) for b in range(16)]
+        F.count("_h0").alias("_n"), *[F.sum(F.shiftrightunsigned(F.col(f"_h{i}"), b).bitwiseAND(lane)).alias(f"_l{i}_{b}") for i in range(2) for b in range(16)]
     )
     # Wider lanes for the sums over parts: lanes 0 and 2, then 1 and 3.
     wide = F.lit(0x0000FFFF0000FFFF)
@@ -52,7 +51,7 @@ def simhash(texts: DataFrame, keys: list[str], text: str, width: int = WIDTH) ->
     def bit(i: int, at: int) -> Column:
         lane_no, b = divmod(at, 16)
         v = F.shiftrightunsigned(F.col(f"_s{i}_{b}_{lane_no % 2}"), 32 * (lane_no // 2)).bitwiseAND(F.lit(0xFFFFFFFF))
-        return F.shiftleft((v * 2 > F.col("_n")).cast("long"), at)
+        return F.shiftleft(F.coalesce(v * 2 > F.col("_n"), F.lit(False)).cast("long"), at)
 
     word = lambda i: reduce(Column.bitwiseOR, [bit(i, at) for at in range(64)])
     return whole.select(*keys, word(0).alias("fp0"), word(1).alias("fp1"))
@@ -124,11 +123,9 @@ def document_fingerprints(docs: DataFrame, width: int = WIDTH, groups: int = GRO
     )
     keys = ["grp", "rn", "tail", "doc_id", "n_chars", "edited_sha256", "kind"]
     flat = both.select(*keys[:-1], "x.kind", F.col("x.t").alias("t"))
-    # A text without words makes no terms: a row of its own keeps it.
     fps = simhash(flat, keys, "t", width)
-    bare = flat.filter(~F.col("t").rlike(WORD)).select(*keys, F.lit(0).cast("long").alias("fp0"), F.lit(0).cast("long").alias("fp1"))
     side = lambda k, c: F.max(F.when(F.col("kind") == k, F.col(c))).alias(f"{c}_{k}")
-    one = fps.union(bare).groupBy(*keys[:-1]).agg(side(0, "fp0"), side(0, "fp1"), side(1, "fp0"), side(1, "fp1"))
+    one = fps.groupBy(*keys[:-1]).agg(side(0, "fp0"), side(0, "fp1"), side(1, "fp0"), side(1, "fp1"))
     w = Window.partitionBy("grp").orderBy("rn")
     seen = one.withColumns({"n0": F.lead("fp0_0").over(w), "n1": F.lead("fp1_0").over(w)}).filter(~F.col("tail"))
     return seen.select(
