@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, mixing, packing, simhash_neardup, token_counts, topk_search
+from . import fingerprints, line_dedup, mixing, packing, pii, quality_crf, secret_scan, simhash_neardup, token_counts, topk_search
 from .common import table
 
 
@@ -20,10 +20,26 @@ def op3_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
+def op5_minhash_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+
+
+def op6_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_crf.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints_with_links(table(spark, sf_dir, "documents"))
 
@@ -32,10 +48,19 @@ def op10_nra_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {
-    f.__name__: f
-    for f in (op1_token_counts, op2_simhash_pivot, op3_curriculum_mix, op7_bin_completion, op9_simhash_fingerprints, op10_nra_topk)
-}
+_ALL = (
+    op1_token_counts,
+    op2_simhash_pivot,
+    op3_curriculum_mix,
+    op4_weak_pii,
+    op5_minhash_lines,
+    op6_line_crf,
+    op7_bin_completion,
+    op8_secret_battery,
+    op9_simhash_fingerprints,
+    op10_nra_topk,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 
 ORACLE_SQL = {
     "op3_curriculum_mix": mixing.ORACLE,
