@@ -24,15 +24,13 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     labels = materialize(both.groupBy(F.col("src").alias("node")).agg(F.least(F.first("src"), F.min("dst")).alias("p")), "labels")
     for _ in range(max_rounds):
         # Hook: the least label among a node's neighbours, then among its own.
-        offers = both.join(labels, both["src"] == labels["node"]).select(F.col("dst").alias("node"), "p")
-        hooked = materialize(offers.union(labels.select("node", "p")).groupBy("node").agg(F.min("p").alias("p")), "labels")
+        offers = both.join(labels, both["src"] == labels["node"]).select(F.col("dst").alias("node"), "p", F.lit(None).cast(labels.schema["p"].dataType).alias("was"))
+        own = labels.select("node", "p", F.col("p").alias("was"))
+        hooked = materialize(offers.union(own).groupBy("node").agg(F.min("p").alias("p"), F.max("was").alias("was")), "labels")
         # Jump: a label's own label.
         up = hooked.select(F.col("node").alias("at"), F.col("p").alias("root"))
-        jumped = materialize(
-            hooked.join(up, hooked["p"] == up["at"]).select("node", F.col("root").alias("p"), (F.col("p") != F.col("root")).alias("moved")), "labels"
-        )
-        old = labels.select("node", F.col("p").alias("was"))
-        changed = jumped.join(old, "node").filter("p <> was").limit(1).count()
+        jumped = materialize(hooked.join(up, hooked["p"] == up["at"]).select("node", F.col("root").alias("p"), "was"), "labels")
+        changed = jumped.filter("p <> was").limit(1).count()
         labels = jumped.select("node", "p")
         if not changed:
             return labels.withColumnRenamed("p", "component")
