@@ -20,16 +20,16 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     component, an edge with a null end is ignored. An empty table gives an empty table.
     """
     e = edges.select("src", "dst").filter("src IS NOT NULL AND dst IS NOT NULL")
-    both = materialize(e.union(e.select("dst", "src")).distinct(), "edges")
-    labels = materialize(both.groupBy(F.col("src").alias("node")).agg(F.least(F.first("src"), F.min("dst")).alias("p")), "labels")
+    both = materialize(e.union(e.select("dst", "src")).distinct(), "edges", "uncompressed")
+    labels = materialize(both.groupBy(F.col("src").alias("node")).agg(F.least(F.first("src"), F.min("dst")).alias("p")), "labels", "uncompressed")
     for _ in range(max_rounds):
         # Hook: the least label among a node's neighbours, then among its own.
         offers = both.join(labels, both["src"] == labels["node"]).select(F.col("dst").alias("node"), "p", F.lit(None).cast(labels.schema["p"].dataType).alias("was"))
         own = labels.select("node", "p", F.col("p").alias("was"))
-        hooked = materialize(offers.union(own).groupBy("node").agg(F.min("p").alias("p"), F.max("was").alias("was")), "labels")
+        hooked = materialize(offers.union(own).groupBy("node").agg(F.min("p").alias("p"), F.max("was").alias("was")), "labels", "uncompressed")
         # Jump: a label's own label.
         up = hooked.select(F.col("node").alias("at"), F.col("p").alias("root"))
-        jumped = materialize(hooked.join(up, hooked["p"] == up["at"]).select("node", F.col("root").alias("p"), "was"), "labels")
+        jumped = materialize(hooked.join(up, hooked["p"] == up["at"]).select("node", F.col("root").alias("p"), "was"), "labels", "uncompressed")
         changed = jumped.filter("p <> was").limit(1).count()
         labels = jumped.select("node", "p")
         if not changed:

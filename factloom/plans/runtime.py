@@ -24,9 +24,9 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Writes `df` to the shared folder and returns the written table."""
+def materialize(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:
+    """Writes `df` to the shared folder and returns the written table. Hashes do not shrink: write such tables `uncompressed`."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
