@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of a record batch for Python at most, beyond its last row: texts are long, and both sides hold a batch whole.
+BATCH_BYTES = 4 << 20
+_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,7 +24,8 @@ def text_or_empty(col: str = "text") -> Column:
 
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema) -> DataFrame:
-    """One record batch in, one out."""
+    """One record batch in, one out. Sets the session's limit of a batch to `BATCH_BYTES`."""
+    df.sparkSession.conf.set(_LIMIT, str(BATCH_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
