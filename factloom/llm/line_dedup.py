@@ -74,15 +74,19 @@ def signatures(docs: DataFrame) -> DataFrame:
     return mins.select("key", F.array(*keys).alias("bands"), "n", "first")
 
 
-def shingle_sets(docs: DataFrame, need: DataFrame) -> DataFrame:
-    """(key) -> (key, s): the sets of hashed shingles of the needed lines."""
+def needed(lines: DataFrame, need: DataFrame) -> DataFrame:
+    """lines(key, line) -> the distinct ones that `need`(key) names; a bitmap lets few others through to the exchange."""
     at = F.pmod(F.xxhash64("key", F.lit(7)), F.lit(BITMAP_PARTS * _BITS))
     bitmap = need.select(at.alias("_at")).groupBy((F.col("_at") / _BITS).cast("int").alias("_part")).agg(F.bitmap_construct_agg(F.col("_at") % _BITS).alias("_bits"))
-    lines = places(docs).select(F.xxhash64("line").alias("key"), "line").withColumn("_at", at)
     byte = F.conv(F.hex(F.substring("_bits", ((F.col("_at") % _BITS) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    picked = lines.join(F.broadcast(bitmap), (F.col("_at") / _BITS).cast("int") == F.col("_part"))
+    picked = lines.withColumn("_at", at).join(F.broadcast(bitmap), (F.col("_at") / _BITS).cast("int") == F.col("_part"))
     picked = picked.filter(F.getbit(byte, (F.col("_at") % 8).cast("int")) == 1).select("key", "line").dropDuplicates(["key"])
-    exact = picked.join(need, "key", "left_semi")
+    return picked.join(need, "key", "left_semi")
+
+
+def shingle_sets(docs: DataFrame, need: DataFrame) -> DataFrame:
+    """(key) -> (key, s): the sets of hashed shingles of the needed lines."""
+    exact = needed(places(docs).select(F.xxhash64("line").alias("key"), "line"), need)
     return exact.select("key", F.array_distinct(F.transform(shingles(F.col("line")), lambda x: F.xxhash64(x))).alias("s"))
 
 
@@ -119,18 +123,18 @@ def _not_ruled_out(f: DataFrame, x: DataFrame, similarity: float, apart: bool) -
     return both.select(*ends, *([F.least("f_c", "x_c").alias("ca"), F.greatest("f_c", "x_c").alias("cb")] if apart else [])).distinct()
 
 
-def line_components(docs: DataFrame, sigs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def line_components(docs: DataFrame, sigs: DataFrame, similarity: float = SIMILARITY, sets_of=shingle_sets) -> DataFrame:
     """(node, component): the components of all candidate pairs of line keys that are alike; lines without a link are left out.
 
     Buckets of at most `SMALL` lines compare all their pairs. A larger bucket compares its lines with one of them, its
     leader. Where any are unlike it, `PROBES` of these meet the whole bucket, and in the end each line outside the
     leader's component meets the bucket's lines of other components; of both, the pairs that parity sketches allow are
-    compared. No pair that a component needs is lost.
+    compared. No pair that a component needs is lost. `sets_of` gives the sets of the lines, or texts, that keys name.
     """
     bucket = Window.partitionBy("band")
     banded = sigs.select("key", F.explode("bands").alias("band")).select("band", "key", F.count("*").over(bucket).alias("n"))
     members = materialize(banded.filter("n > 1"), "buckets")
-    sets = materialize(shingle_sets(docs, members.select("key").distinct()), "sets")
+    sets = materialize(sets_of(docs, members.select("key").distinct()), "sets")
     ends = lambda d: d.filter(F.col("j") >= similarity - _EPS).select(F.col("a").alias("src"), F.col("b").alias("dst"))
     few, many = members.filter(f"n <= {SMALL}").select("band", "key"), members.filter(f"n > {SMALL}").select("band", "key")
     pairs = few.select("band", F.col("key").alias("a")).join(few.select("band", F.col("key").alias("b")), "band").filter("a < b").select("a", "b")

@@ -36,11 +36,11 @@ RUN = 2048
 SHORT = 8
 
 
-def simhash64(text: str | None, width: int = 4, seed: int = 42) -> int:
-    """The fingerprint of one text: a bit is set if it is set in over half of the shingle hashes. No words: zero."""
+def shingle_hashes(text: str | None, width: int = 4, seed: int = 42) -> np.ndarray:
+    """The XXH64 of each shingle of a text, as rows of eight bytes; a text of fewer words is one shingle, of none has no row."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros((0, 8), np.uint8)
     n = max(1, len(words) - width + 1)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
@@ -48,8 +48,14 @@ def simhash64(text: str | None, width: int = 4, seed: int = 42) -> int:
     ends = ends[width - 1 :].tolist() if len(words) >= width else [len(joined)]
     digest = xxhash.xxh64_digest
     raw = b"".join([digest(joined[a:b], seed) for a, b in zip(starts, ends)])
+    return np.frombuffer(raw, np.uint8).reshape(n, 8)
+
+
+def simhash64(text: str | None, width: int = 4, seed: int = 42) -> int:
+    """The fingerprint of one text: a bit is set if it is set in over half of the shingle hashes. No words: zero."""
+    hashes = shingle_hashes(text, width, seed)
+    n = len(hashes)
     votes = np.zeros(64, np.int64)
-    hashes = np.frombuffer(raw, np.uint8).reshape(n, 8)
     for at in range(0, n, 65536):
         votes += np.unpackbits(hashes[at : at + 65536], axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(votes * 2 > n).tobytes(), "big")
