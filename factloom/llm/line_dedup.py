@@ -1,7 +1,7 @@
 """Fuzzy line deduplication by MinHash, all in DataFrame functions.
 
-A line's features are character shingles: the twelve characters from each word's start, and from each further eight
-characters of a longer word. Equal lines are one line with many places. Each line's MinHash signature is taken inside
+A line's features are all its shingles of twelve characters; a shorter line is one shingle. Equal lines are one line with
+many places. Each line's MinHash signature is taken inside
 one aggregation (position j keeps the least of ``hash xor c_j``); bands of it are hashed to keys, and lines that share a
 key are candidates, verified by the exact Jaccard similarity of their sets. Large buckets are compared with a few of
 their lines first, so a bucket of m alike lines costs a few m pairs; of the pairs left, parity sketches, whose differing
@@ -14,6 +14,8 @@ bitmap of fixed size picks out before the exchange.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -25,7 +27,8 @@ from .common import text_or_empty
 SIMILARITY = 0.8
 #: Recall of a pair at the similarity s is 1 - (1 - s^ROWS)^BANDS: 0.993 at 0.8, 0.998 at 0.85.
 BANDS, ROWS = 7, 3
-SHINGLE, STRIDE = 12, 8
+#: Characters of a shingle; positions of a block, within which shingles are cut so that a long line is walked only once.
+SHINGLE, BLOCK = 12, 64
 #: A line of nothing else is blank.
 BLANK = " \t\n\x0b\f\r"
 #: The bitmap of lines that take part in verification: so many parts of 32,768 bits (4 KB).
@@ -44,8 +47,22 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return _written(df, tag, "uncompressed")
 
 
+def blocks(line: Column) -> Column:
+    """The line's blocks of `BLOCK` characters, each with the characters behind it that its last shingles need."""
+    return F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{1,{BLOCK + SHINGLE - 1}}}+)).{{1,{BLOCK}}}+"), F.lit(1))
+
+
+def starts(block: Column, i: Column) -> Column:
+    """Where the shingles of the i-th block start, from 1; a line of fewer characters than a shingle has one, at its start."""
+    n = F.length(block) - (SHINGLE - 1)
+    return F.sequence(F.lit(1), F.when(i == 0, F.greatest(F.lit(1), n)).otherwise(n))
+
+
 def shingles(line: Column) -> Column:
-    return F.regexp_extract_all(line, F.lit(rf"(?s)\x20*+(?=(.{{1,{SHINGLE}}}+))[^\x20]{{1,{STRIDE}}}+"), F.lit(1))
+    """The hashes of all the line's shingles, repeats included."""
+    full = lambda t, i: (i == 0) | (F.length(t) >= SHINGLE)
+    cut = lambda t, i: F.when(full(t, i), F.transform(starts(t, i), lambda x: F.xxhash64(F.substring(t, x, F.lit(SHINGLE))))).otherwise(F.array().cast("array<bigint>"))
+    return F.flatten(F.transform(blocks(line), cut))
 
 
 def _constant(j: int) -> int:
@@ -67,9 +84,12 @@ def signatures(docs: DataFrame) -> DataFrame:
 
     Equal lines meet in the aggregation itself, by their key; the text stays home.
     """
-    hashed = places(docs).select(F.xxhash64("line").alias("key"), "doc_id", F.posexplode(shingles(F.col("line"))).alias("_i", "_s")).select("key", "doc_id", "_i", F.xxhash64("_s").alias("_h"))
+    cut = places(docs).select(F.xxhash64("line").alias("key"), "doc_id", F.posexplode(blocks(F.col("line"))).alias("_b", "_t"))
+    cut = cut.filter((F.col("_b") == 0) | (F.length("_t") >= SHINGLE))
+    each = cut.select("key", "doc_id", "_b", "_t", F.explode(starts(F.col("_t"), F.col("_b"))).alias("_i"))
+    hashed = each.select("key", "doc_id", ((F.col("_b") == 0) & (F.col("_i") == 1)).alias("_one"), F.xxhash64(F.substring("_t", F.col("_i"), F.lit(SHINGLE))).alias("_h"))
     mins = [F.min(F.col("_h").bitwiseXOR(F.lit(_constant(j)))).alias(f"_m{j}") for j in range(BANDS * ROWS)]
-    mins = hashed.groupBy("key").agg(F.sum(F.when(F.col("_i") == 0, 1).otherwise(0)).alias("n"), F.min("doc_id").alias("first"), *mins)
+    mins = hashed.groupBy("key").agg(F.sum(F.when(F.col("_one"), 1).otherwise(0)).alias("n"), F.min("doc_id").alias("first"), *mins)
     keys = [F.xxhash64(F.lit(b), *[F.col(f"_m{b * ROWS + i}") for i in range(ROWS)]) for b in range(BANDS)]
     return mins.select("key", F.array(*keys).alias("bands"), "n", "first")
 
@@ -84,26 +104,31 @@ def needed(lines: DataFrame, need: DataFrame) -> DataFrame:
     return picked.join(need, "key", "left_semi")
 
 
-def shingle_sets(docs: DataFrame, need: DataFrame) -> DataFrame:
-    """(key) -> (key, s): the sets of hashed shingles of the needed lines."""
-    exact = needed(places(docs).select(F.xxhash64("line").alias("key"), "line"), need)
-    return exact.select("key", F.array_distinct(F.transform(shingles(F.col("line")), lambda x: F.xxhash64(x))).alias("s"))
+def line_texts(docs: DataFrame, need: DataFrame) -> DataFrame:
+    """(key) -> (key, s): the texts of the needed lines; their sets, eight times as large, are made where they are compared."""
+    return needed(places(docs).select(F.xxhash64("line").alias("key"), "line"), need).select("key", F.col("line").alias("s"))
+
+
+def members(line: Column) -> Column:
+    """The line's set of hashed shingles."""
+    return F.array_distinct(shingles(line))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs(a, b, ...) -> (a, b, ..., j): the exact Jaccard similarity of the lines' shingle sets."""
+def _verified(pairs: DataFrame, sets: DataFrame, of: Callable[[Column], Column]) -> DataFrame:
+    """pairs(a, b, ...) -> (a, b, ..., j): the exact Jaccard similarity of the sets that `of` makes of the lines' s."""
     left = pairs.join(sets.select(F.col("key").alias("a"), F.col("s").alias("sa")), "a")
     both = left.join(sets.select(F.col("key").alias("b"), F.col("s").alias("sb")), "b")
+    both = both.select(*pairs.columns, of(F.col("sa")).alias("sa"), of(F.col("sb")).alias("sb"))
     sized = both.select(*pairs.columns, F.size("sa").alias("_na"), F.size("sb").alias("_nb"), F.size(F.array_intersect("sa", "sb")).alias("_n"))
     return sized.select(*pairs.columns, (F.col("_n") / (F.col("_na") + F.col("_nb") - F.col("_n"))).alias("j"))
 
 
-def odd_sketches(sets: DataFrame) -> DataFrame:
+def odd_sketches(sets: DataFrame, of: Callable[[Column], Column]) -> DataFrame:
     """(key, s) -> (key, n, o0, o1, ...): a set's size and, in `SKETCH` words of 64 bits, the parity of its members at each bit.
 
     Two sketches differ in at most as many bits as the sets have members that only one of them has.
     """
-    one = sets.select("key", F.explode("s").alias("_s")).select("key", F.xxhash64("_s").alias("_h"))
+    one = sets.select("key", F.explode(of(F.col("s"))).alias("_s")).select("key", F.xxhash64("_s").alias("_h"))
     word, bit = F.shiftright("_h", 6).bitwiseAND(F.lit(SKETCH - 1)), F.expr("shiftleft(1L, cast(_h & 63 AS int))")
     return one.groupBy("key").agg(F.count("*").alias("n"), *[F.bit_xor(F.when(word == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"o{i}") for i in range(SKETCH)])
 
@@ -123,43 +148,44 @@ def _not_ruled_out(f: DataFrame, x: DataFrame, similarity: float, apart: bool) -
     return both.select(*ends, *([F.least("f_c", "x_c").alias("ca"), F.greatest("f_c", "x_c").alias("cb")] if apart else [])).distinct()
 
 
-def line_components(docs: DataFrame, sigs: DataFrame, similarity: float = SIMILARITY, sets_of=shingle_sets) -> DataFrame:
+def line_components(docs: DataFrame, sigs: DataFrame, similarity: float = SIMILARITY, sets_of=line_texts, of: Callable[[Column], Column] = members) -> DataFrame:
     """(node, component): the components of all candidate pairs of line keys that are alike; lines without a link are left out.
 
     Buckets of at most `SMALL` lines compare all their pairs. A larger bucket compares its lines with one of them, its
     leader. Where any are unlike it, `PROBES` of these meet the whole bucket, and in the end each line outside the
     leader's component meets the bucket's lines of other components; of both, the pairs that parity sketches allow are
-    compared. No pair that a component needs is lost. `sets_of` gives the sets of the lines, or texts, that keys name.
+    compared. No pair that a component needs is lost. `sets_of` gives an s of the lines,
+    or texts, that keys name, and `of` makes its set of it.
     """
     bucket = Window.partitionBy("band")
     banded = sigs.select("key", F.explode("bands").alias("band")).select("band", "key", F.count("*").over(bucket).alias("n"))
-    members = materialize(banded.filter("n > 1"), "buckets")
-    sets = materialize(sets_of(docs, members.select("key").distinct()), "sets")
+    shared = materialize(banded.filter("n > 1"), "buckets")
+    sets = _written(sets_of(docs, shared.select("key").distinct()), "sets")
     ends = lambda d: d.filter(F.col("j") >= similarity - _EPS).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    few, many = members.filter(f"n <= {SMALL}").select("band", "key"), members.filter(f"n > {SMALL}").select("band", "key")
+    few, many = shared.filter(f"n <= {SMALL}").select("band", "key"), shared.filter(f"n > {SMALL}").select("band", "key")
     pairs = few.select("band", F.col("key").alias("a")).join(few.select("band", F.col("key").alias("b")), "band").filter("a < b").select("a", "b")
     leaders = many.groupBy("band").agg(F.min_by("key", F.xxhash64("key")).alias("lead"))
     led = many.join(leaders, "band").filter("key <> lead").select("band", F.col("lead").alias("a"), F.col("key").alias("b"))
-    tested = materialize(_verified(pairs.union(led.select("a", "b")).distinct(), sets), "verified")
+    tested = materialize(_verified(pairs.union(led.select("a", "b")).distinct(), sets, of), "verified")
     unlike = tested.filter(F.col("j") < similarity - _EPS).select("a", "b")
     left = materialize(led.join(unlike, ["a", "b"], "left_semi").select("band", F.col("b").alias("key")), "unlike")
     if not left.limit(1).count():
         return connected_components(ends(tested))
 
     undecided = materialize(many.join(left.select("band").distinct(), "band", "left_semi"), "undecided")
-    sketches = odd_sketches(sets.join(undecided.select("key").distinct(), "key", "left_semi"))
+    sketches = odd_sketches(sets.join(undecided.select("key").distinct(), "key", "left_semi"), of)
     wide = materialize(undecided.join(sketches, "key"), "sketched")
     some = left.groupBy("band").agg(F.array(*[F.min_by("key", F.xxhash64("key", F.lit(r))) for r in range(PROBES)]).alias("_p"))
     probes = materialize(some.select("band", F.explode(F.array_distinct("_p")).alias("key")), "probes")
     asked = materialize(_not_ruled_out(probes.join(wide, ["band", "key"]), wide, similarity, False), "probed")
-    named = connected_components(ends(tested).union(ends(_verified(asked, sets))))
+    named = connected_components(ends(tested).union(ends(_verified(asked, sets, of))))
 
     own = named.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
     heads = leaders.join(own, F.col("lead") == F.col("_n"), "left").select("band", F.coalesce("_c", "lead").alias("_head"))
     labelled = wide.join(own, F.col("key") == F.col("_n"), "left").withColumn("c", F.coalesce("_c", "key")).drop("_n", "_c")
     labelled = materialize(labelled.join(heads, "band"), "labelled")
     more = _not_ruled_out(labelled.filter("c <> _head").drop("_head"), labelled.drop("_head"), similarity, True)
-    found = _verified(materialize(more, "rest"), sets).filter(F.col("j") >= similarity - _EPS)
+    found = _verified(materialize(more, "rest"), sets, of).filter(F.col("j") >= similarity - _EPS)
     found = materialize(found.select(F.col("ca").alias("src"), F.col("cb").alias("dst")).distinct(), "joined")
     if not found.limit(1).count():
         return named
