@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.runtime import materialize
 from .common import WORD
 
 #: Weights by a source's rank, repeating.
@@ -114,6 +115,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     )
 
 
+def positioned(docs: DataFrame, **options) -> DataFrame:
+    """The rows of `mix` range-sorted by the position of their first copy; rows that are not taken come last."""
+    mixed = materialize(mix(docs, **options), "mixed")  # a range sort samples its input first
+    order = [F.col("position").asc_nulls_last(), F.col("doc_id").asc_nulls_last()]
+    return mixed.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
 def training_order(docs: DataFrame, **options) -> DataFrame:
     """The documents that the mix takes, a row for each copy, range-sorted by training position; the columns of `docs`.
 

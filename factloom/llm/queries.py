@@ -17,7 +17,7 @@ def op2_simhash_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.positioned(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "position", "positions")
 
 
 def op4_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

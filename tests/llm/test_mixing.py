@@ -71,3 +71,13 @@ def test_oracle(spark, sf):
     want = sorted(con.execute(M.ORACLE).fetchall())
     got = sorted(map(tuple, M.mix(spark.read.parquet(f"{sf}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken").collect()))
     assert got == want
+
+
+def test_query_has_positions_in_order(spark, sf):
+    from factloom.llm.queries import op3_curriculum_mix
+
+    out = op3_curriculum_mix(spark, sf).collect()
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert sorted((r.doc_id, r.taken, r.position, r.positions) for r in M.mix(docs).collect() if r.taken) == sorted((r.doc_id, r.taken, r.position, r.positions) for r in out if r.taken)
+    at = [2.0 if r.position is None else r.position for r in out]
+    assert len(out) == docs.count() and at == sorted(at) and at[0] < 1
