@@ -25,7 +25,10 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{16,}+"
 TOKEN = 20
-RANDOM = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{TOKEN},}}+"
+_CHARS = "[A-Za-z0-9+/_-]"
+#: A '=' ends a token unless it is trailing padding, which counts: what stands behind NAME= is a token of its own.
+_PADDED = "|".join(rf"{_CHARS}{{{TOKEN - p}}}={{{p},}}+(?!{_CHARS})" for p in range(1, TOKEN - 3))
+RANDOM = rf"(?<!{_CHARS})(?:{_CHARS}{{{TOKEN},}}+(?:=++(?!{_CHARS}))?|(?={_CHARS}{{4,{TOKEN - 1}}}+=)(?:{_PADDED}))"
 RATE, REJECT = 0.01, 1e-3
 #: Upper ends of the bands of lengths.
 BANDS = (23, 31, 47, 63, 127, 1 << 30)

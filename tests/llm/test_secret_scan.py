@@ -62,3 +62,22 @@ def test_base_and_added_spans(spark):
 def test_empty(spark):
     assert S.scan(spark.createDataFrame([], DOCS)).count() == 0
     assert S.scan(spark.createDataFrame([(1, "plain words", 1, "")], DOCS)).first().spans == ""
+
+
+def test_secrets_behind_names(spark):
+    """NAME=value, query parameters and padded values; a token ends at a '=' that is no padding."""
+    import base64
+
+    rng = random.Random(4)
+    rows, planted = [(1000 + i, t) for i, t in make()[0] if i is not None], []
+    for i in range(40):
+        value = "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(40))
+        value = base64.b64encode(rng.randbytes(31)).decode() if i % 4 == 1 else value
+        name = ("AWS_CREDENTIAL_ACCESS_KEY_VALUE=", "https://host/x?sig=", "auth=", "--key==")[i % 4]
+        planted.append((i, value, len(name) + 4))
+        rows.append((i, f"the {name}{value} and"))
+    by = {r.doc_id: r.spans.split(",") for r in S.scan(spark.createDataFrame([(*r, 1, "x") for r in rows], DOCS)).collect()}
+    hit = sum(f"random:{at}:{at + len(v)}" in by[i] for i, v, at in planted)
+    assert hit >= 0.9 * len(planted), hit
+    tokens = lambda t: [m[0] for m in re.finditer(S.RANDOM, t)]
+    assert tokens("a=" + "b" * 20 + "== c=" + "d" * 19 + " " + "e" * 18 + "== " + "f" * 18 + "= " + "g" * 25 + "=" + "h" * 20) == ["b" * 20 + "==", "e" * 18 + "==", "g" * 25, "h" * 20]
