@@ -115,7 +115,8 @@ class NoRandomAccess:
                         r, c = np.nonzero(np.ones((len(rows), n), bool))
                     else:
                         s = self.q[rows] @ x.T
-                        kth = np.partition(s, n - self.k - 1, axis=1)[:, n - self.k - 1]  # one more, as the query may be here
+                        s[self.ids[rows][:, None] == ids[None, :]] = -np.inf
+                        kth = np.partition(s, n - self.k, axis=1)[:, n - self.k]
                         r, c = np.nonzero(s >= np.maximum(kth, self._bar(rows))[:, None])
                     self._resolve(rows[r], c, ids, x)
                 return

@@ -48,3 +48,14 @@ def test_blocks_of_queries(spark, monkeypatch):
     rng = random.Random(6)
     rows = [(i, [struct_float(rng.gauss(0, 1)) for _ in range(4)]) for i in range(300)]
     assert run(spark, rows, 10, 3) == brute(rows, 10, 3)
+
+
+def test_repeated_query_ids_in_a_large_batch(spark):
+    """Rows of the query's own id score highest, and more of them than one."""
+    rng = random.Random(8)
+    rows = [(i, [struct_float(rng.gauss(0, 0.25)) for _ in range(6)]) for i in range(1, 97)]
+    rows += [(0, [2.0, -2.0, 2.0, 2.0, -2.0, 2.0])] * 4
+    assert run(spark, rows) == brute(rows, 50, 5)
+    state = T.NoRandomAccess(T.np.array([0]), T.np.array([[512.0] * 6]), 5)
+    state.add(T.np.array([0] * 4 + list(range(1, 97))), T.np.array([[512.0] * 6] * 4 + [[float(i)] * 6 for i in range(1, 97)]))
+    assert state.rows()[1].tolist() == [96, 95, 94, 93, 92]
