@@ -208,7 +208,7 @@ query("vec_02_dimension", "SELECT vec_id AS fact_id FROM embeddings WHERE len(em
 query("vec_03_remove", "SELECT vec_id AS fact_id FROM embeddings WHERE vec_id NOT IN (SELECT id FROM facts WHERE status = 'deleted')")(lambda k: vector.without(k.embeddings, k.facts.filter("status = 'deleted'").select(F.col("id").alias("fact_id"))).select("fact_id"))
 query("vec_05_near_dedup")(lambda k: vector.near_dedup(k.embeddings.withColumn("confidence", F.col("fact_id") % 70), 0.35, "label").select("fact_id"))
 query("vec_06_embedding_text", "SELECT id, predicate || chr(10) || subject || ' ' || predicate || ' ' || object AS t FROM facts")(lambda k: k.facts.select("id", vector.embedding_text(F.col("predicate"), F.col("subject"), F.col("predicate"), F.col("object"), F.lit("")).alias("t")))
-query("vec_08_backfill")(lambda k: vector.embed(k.facts.filter("predicate = 'in_region'").withColumn("t", F.concat_ws(" ", "subject", "object")), "t").select("id", F.size("embedding").alias("n")))
+query("vec_08_backfill")(lambda k: vector.embed(k.facts.join(k.embeddings.select(F.col("fact_id").alias("id")), "id", "left_anti").withColumn("t", F.concat_ws(" ", "subject", "object")), "t").select("id", F.size("embedding").alias("n")))
 _TOK = r"list_filter(regexp_split_to_array(lower(subject || ' ' || predicate || ' ' || object), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
 _BM = (
     f"t AS (SELECT id, status, {_TOK} AS t FROM facts), c AS (SELECT id, status, len(t) AS dl, len(list_filter(t, lambda x: x = 'nation')) AS a, len(list_filter(t, lambda x: x = 'france')) AS b FROM t), "
@@ -290,7 +290,7 @@ query(
     "SELECT id AS fact_id, round(CASE WHEN i = n THEN 0.3 - coalesce(sum(share) OVER (ORDER BY c DESC, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) ELSE share END, 6) AS delta FROM (SELECT id, confidence::DOUBLE AS c, round(0.3::DOUBLE * confidence / sum(confidence) OVER (), 4) AS share, count(*) OVER () AS n, row_number() OVER (ORDER BY confidence DESC, id) AS i FROM facts WHERE predicate = 'in_region')",
 )(lambda k: entities.allocate(k.facts.filter("predicate = 'in_region'").select(F.col("id").alias("fact_id"), F.col("confidence").cast("double").alias("similarity_score")), 0.3).select("fact_id", F.round("delta", 6).alias("delta")))
 query("fb_02_votes")(lambda k: entities.fold_votes(k.feedback.select("fact_id", F.col("id").alias("seq"), F.when(F.col("feedback_type") == "positive", 0.7).otherwise(-0.7).alias("delta"))).select("fact_id", F.round("user_score", 6).alias("user_score")))
-query("ex_01_extract")(lambda k: lifecycle.extracted_facts(lifecycle.extract(k.chunks.filter("chunk_index = 0"))).select("chunk_id", "subject", "object"))
+query("ex_01_extract")(lambda k: lifecycle.extracted_facts(lifecycle.extract(k.chunks)).select("chunk_id", "subject", "object"))
 query("ix_03_retry_plan", "SELECT path, CASE WHEN status = 'pending' OR retry_count < 3 THEN 'retry' ELSE 'dead' END AS plan FROM files WHERE status IN ('pending', 'failed')")(lambda k: lifecycle.retry_plan(k.files).select("path", "plan"))
 query("rs_02_dead_letters")(lambda k: lifecycle.dead_letters(k.failed_chunks, k.chunks, now=500)[1].select("id", "status"))
 query("stm_06_windows", "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")(lambda k: feeds.windows(k.table("events")).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n"))

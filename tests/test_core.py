@@ -171,3 +171,15 @@ def test_ask(spark):
     assert out["related"][0]["subject"] == "Alice" and out["sources"][0]["path"] == "/a.md"
     assert retrieve.ask(" ", facts, files, vecs, embed)["count"] == 0
     assert relational.counts(facts, facts, facts.withColumn("status", F.lit("done"))).first().files == 2
+
+
+def test_extraction_and_backfill_take_whole_tables(spark, sf):
+    from factloom import queries
+    from factloom.plans.adapters import KnowledgeBase
+
+    k = KnowledgeBase(spark, sf)
+    have = {r.fact_id for r in k.embeddings.select("fact_id").collect()}
+    want = {r.id for r in k.facts.select("id").collect()} - have
+    assert {r.id for r in queries.QUERIES["vec_08_backfill"](spark, sf).collect()} == want
+    later = {r.id for r in k.chunks.filter("chunk_index > 0").select("id").collect()}
+    assert later & {r.chunk_id for r in queries.QUERIES["ex_01_extract"](spark, sf).select("chunk_id").collect()}
