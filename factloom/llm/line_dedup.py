@@ -18,7 +18,6 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..plans.components import connected_components
 from ..plans.runtime import materialize as _written
@@ -27,8 +26,8 @@ from .common import text_or_empty
 SIMILARITY = 0.8
 #: Recall of a pair at the similarity s is 1 - (1 - s^ROWS)^BANDS: 0.993 at 0.8, 0.998 at 0.85.
 BANDS, ROWS = 7, 3
-#: Characters of a shingle; positions of a block, within which shingles are cut so that a long line is walked only once.
-SHINGLE, BLOCK = 12, 64
+#: Characters of a shingle; shingles that a row of the signatures' aggregation carries.
+SHINGLE, STEP = 12, 4
 #: A line of nothing else is blank.
 BLANK = " \t\n\x0b\f\r"
 #: The bitmap of lines that take part in verification: so many parts of 32,768 bits (4 KB).
@@ -36,7 +35,9 @@ BITMAP_PARTS = 256
 _BITS = 32768
 #: Buckets that compare all their pairs, and lines unlike the leader of a larger one that its lines meet.
 SMALL, PROBES = 8, 12
-#: Words of 64 bits in the sketch that rules pairs of large buckets out.
+#: Lines of a large bucket, about, that one part of a comparison holds.
+PART = 512
+#: Words of 64 bits in the sketch that rules pairs out.
 SKETCH = 8
 #: Slack of comparisons of similarities.
 _EPS = 1e-9
@@ -47,29 +48,35 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return _written(df, tag, "uncompressed")
 
 
-def blocks(line: Column) -> Column:
-    """The line's blocks of `BLOCK` characters, each with the characters behind it that its last shingles need."""
-    return F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{1,{BLOCK + SHINGLE - 1}}}+)).{{1,{BLOCK}}}+"), F.lit(1))
+def characters(line: Column) -> Column:
+    """The line in four bytes a code point, so that a shingle is found at its place without walking there."""
+    return F.encode(line, "UTF-32")
 
 
-def starts(block: Column, i: Column) -> Column:
-    """Where the shingles of the i-th block start, from 1; a line of fewer characters than a shingle has one, at its start."""
-    n = F.length(block) - (SHINGLE - 1)
-    return F.sequence(F.lit(1), F.when(i == 0, F.greatest(F.lit(1), n)).otherwise(n))
+def shingle(chars: Column, i: Column) -> Column:
+    """The hash of the i-th shingle, from 0, of such bytes."""
+    return F.xxhash64(F.substring(chars, i * 4 + 1, F.lit(4 * SHINGLE)))
+
+
+def last_start(chars: Column) -> Column:
+    """Where the last shingle starts, from 0; a line of fewer characters than a shingle is one."""
+    return F.greatest(F.lit(0), F.shiftright(F.length(chars), 2) - SHINGLE)
 
 
 def shingles(line: Column) -> Column:
     """The hashes of all the line's shingles, repeats included."""
-    full = lambda t, i: (i == 0) | (F.length(t) >= SHINGLE)
-    cut = lambda t, i: F.when(full(t, i), F.transform(starts(t, i), lambda x: F.xxhash64(F.substring(t, x, F.lit(SHINGLE))))).otherwise(F.array().cast("array<bigint>"))
-    return F.flatten(F.transform(blocks(line), cut))
+    # The outer array binds the bytes to a name: a plain expression would be evaluated anew for each shingle.
+    of = lambda e: F.transform(F.sequence(F.lit(0), last_start(e)), lambda i: shingle(e, i))
+    return F.get(F.transform(F.array(characters(line)), of), F.lit(0))
 
 
 def _constant(j: int) -> int:
+    """The j-th signature's constant: five bits of its own, so that the constants are spread out, then random ones."""
     x = (j * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & ((1 << 64) - 1)
     x ^= x >> 29
     x = (x * 0xBF58476D1CE4E5B9) & ((1 << 64) - 1)
     x ^= x >> 32
+    x = (j * 13 % 32) << 59 | x >> 5
     return x - (1 << 64) if x >> 63 else x
 
 
@@ -82,26 +89,32 @@ def places(docs: DataFrame) -> DataFrame:
 def signatures(docs: DataFrame) -> DataFrame:
     """(key, bands, n, first) of the distinct lines: band keys, number of places and least doc_id.
 
-    Equal lines meet in the aggregation itself, by their key; the text stays home.
+    Equal lines meet in the aggregation itself, by their key; the text stays home. A row carries the hashes of `STEP`
+    neighbouring shingles (the last one again where they end), so that the aggregation is asked less often.
     """
-    cut = places(docs).select(F.xxhash64("line").alias("key"), "doc_id", F.posexplode(blocks(F.col("line"))).alias("_b", "_t"))
-    cut = cut.filter((F.col("_b") == 0) | (F.length("_t") >= SHINGLE))
-    each = cut.select("key", "doc_id", "_b", "_t", F.explode(starts(F.col("_t"), F.col("_b"))).alias("_i"))
-    hashed = each.select("key", "doc_id", ((F.col("_b") == 0) & (F.col("_i") == 1)).alias("_one"), F.xxhash64(F.substring("_t", F.col("_i"), F.lit(SHINGLE))).alias("_h"))
-    mins = [F.min(F.col("_h").bitwiseXOR(F.lit(_constant(j)))).alias(f"_m{j}") for j in range(BANDS * ROWS)]
-    mins = hashed.groupBy("key").agg(F.sum(F.when(F.col("_one"), 1).otherwise(0)).alias("n"), F.min("doc_id").alias("first"), *mins)
+    cut = places(docs).select(F.xxhash64("line").alias("key"), "doc_id", characters(F.col("line")).alias("_e"))
+    cut = cut.withColumn("_last", last_start(F.col("_e")))
+    each = cut.select("key", "doc_id", "_e", "_last", F.explode(F.sequence(F.lit(0), F.col("_last"), F.lit(STEP))).alias("_i"))
+    names = [f"_h{k}" for k in range(STEP)]
+    hashed = each.select("key", "doc_id", "_i", *[shingle(F.col("_e"), F.least(F.col("_i") + k, F.col("_last"))).alias(h) for k, h in enumerate(names)])
+    mins = [F.min(F.least(*[F.col(h).bitwiseXOR(F.lit(_constant(j))) for h in names])).alias(f"_m{j}") for j in range(BANDS * ROWS)]
+    mins = hashed.groupBy("key").agg(F.sum(F.when(F.col("_i") == 0, 1).otherwise(0)).alias("n"), F.min("doc_id").alias("first"), *mins)
     keys = [F.xxhash64(F.lit(b), *[F.col(f"_m{b * ROWS + i}") for i in range(ROWS)]) for b in range(BANDS)]
     return mins.select("key", F.array(*keys).alias("bands"), "n", "first")
 
 
-def needed(lines: DataFrame, need: DataFrame) -> DataFrame:
-    """lines(key, line) -> the distinct ones that `need`(key) names; a bitmap lets few others through to the exchange."""
-    at = F.pmod(F.xxhash64("key", F.lit(7)), F.lit(BITMAP_PARTS * _BITS))
+def through_bitmap(rows: DataFrame, col: str, need: DataFrame) -> DataFrame:
+    """The rows whose long `col` is one of `need`'s, and few others: a bitmap of fixed size keeps the rest from an exchange."""
+    at = F.pmod(F.xxhash64(col, F.lit(7)), F.lit(BITMAP_PARTS * _BITS))
     bitmap = need.select(at.alias("_at")).groupBy((F.col("_at") / _BITS).cast("int").alias("_part")).agg(F.bitmap_construct_agg(F.col("_at") % _BITS).alias("_bits"))
     byte = F.conv(F.hex(F.substring("_bits", ((F.col("_at") % _BITS) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    picked = lines.withColumn("_at", at).join(F.broadcast(bitmap), (F.col("_at") / _BITS).cast("int") == F.col("_part"))
-    picked = picked.filter(F.getbit(byte, (F.col("_at") % 8).cast("int")) == 1).select("key", "line").dropDuplicates(["key"])
-    return picked.join(need, "key", "left_semi")
+    picked = rows.withColumn("_at", at).join(F.broadcast(bitmap), (F.col("_at") / _BITS).cast("int") == F.col("_part"))
+    return picked.filter(F.getbit(byte, (F.col("_at") % 8).cast("int")) == 1).select(*rows.columns)
+
+
+def needed(lines: DataFrame, need: DataFrame) -> DataFrame:
+    """lines(key, line) -> the distinct ones that `need`(key) names."""
+    return through_bitmap(lines, "key", need).dropDuplicates(["key"]).join(need, "key", "left_semi")
 
 
 def line_texts(docs: DataFrame, need: DataFrame) -> DataFrame:
@@ -114,13 +127,13 @@ def members(line: Column) -> Column:
     return F.array_distinct(shingles(line))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, of: Callable[[Column], Column]) -> DataFrame:
-    """pairs(a, b, ...) -> (a, b, ..., j): the exact Jaccard similarity of the sets that `of` makes of the lines' s."""
+def _verified(pairs: DataFrame, sets: DataFrame, of: Callable[[Column], Column], similarity: float) -> DataFrame:
+    """pairs(a, b, ...) -> those whose sets, as `of` makes them of the lines' s, have the exact Jaccard similarity."""
     left = pairs.join(sets.select(F.col("key").alias("a"), F.col("s").alias("sa")), "a")
     both = left.join(sets.select(F.col("key").alias("b"), F.col("s").alias("sb")), "b")
     both = both.select(*pairs.columns, of(F.col("sa")).alias("sa"), of(F.col("sb")).alias("sb"))
     sized = both.select(*pairs.columns, F.size("sa").alias("_na"), F.size("sb").alias("_nb"), F.size(F.array_intersect("sa", "sb")).alias("_n"))
-    return sized.select(*pairs.columns, (F.col("_n") / (F.col("_na") + F.col("_nb") - F.col("_n"))).alias("j"))
+    return sized.filter(F.col("_n") / (F.col("_na") + F.col("_nb") - F.col("_n")) >= similarity - _EPS).select(*pairs.columns)
 
 
 def odd_sketches(sets: DataFrame, of: Callable[[Column], Column]) -> DataFrame:
@@ -133,19 +146,44 @@ def odd_sketches(sets: DataFrame, of: Callable[[Column], Column]) -> DataFrame:
     return one.groupBy("key").agg(F.count("*").alias("n"), *[F.bit_xor(F.when(word == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"o{i}") for i in range(SKETCH)])
 
 
+def _named(d: DataFrame, p: str) -> DataFrame:
+    return d.select(*[F.col(c).alias(f"{p}_{c}") for c in d.columns])
+
+
+def _near(similarity: float) -> Column:
+    """Whether the sketches of a row's lines f and x allow the similarity."""
+    bits = [F.bit_count(F.col(f"f_o{i}").bitwiseXOR(F.col(f"x_o{i}"))) for i in range(SKETCH)]
+    return sum(bits[1:], bits[0]) <= (F.col("f_n") + F.col("x_n")) * ((1 - similarity) / (1 + similarity)) + _EPS
+
+
+def _ends(f: str = "key") -> list[Column]:
+    return [F.least(f"f_{f}", f"x_{f}"), F.greatest(f"f_{f}", f"x_{f}")]
+
+
 def _not_ruled_out(f: DataFrame, x: DataFrame, similarity: float, apart: bool) -> DataFrame:
     """Pairs (a, b) of a line of `f` and one of `x` in a bucket whose sketches allow the similarity.
 
-    With `apart`, of lines of different components (ca, cb) only.
+    With `apart`, of lines of different components (ca, cb) only. A bucket's rows of `x` are dealt into parts of about
+    `PART` lines, and its rows of `f` go to each part.
     """
-    left, right = (d.select(*[F.col(c).alias(f"{p}_{c}") for c in d.columns]) for p, d in (("f", f), ("x", x)))
-    bits = [F.bit_count(F.col(f"f_o{i}").bitwiseXOR(F.col(f"x_o{i}"))) for i in range(SKETCH)]
-    differ = sum(bits[1:], bits[0])
-    near = differ <= (F.col("f_n") + F.col("x_n")) * ((1 - similarity) / (1 + similarity)) + _EPS
+    parts = F.expr(f"cast(size div {PART} as int)")
+    left = _named(f.withColumn("part", F.explode(F.sequence(F.lit(0), parts))), "f")
+    right = _named(x.withColumn("part", F.pmod(F.xxhash64("key", F.lit(3)), parts + 1).cast("int")), "x")
     other = F.col("f_c") != F.col("x_c") if apart else F.col("f_key") != F.col("x_key")
-    both = left.join(right, (F.col("f_band") == F.col("x_band")) & other & near)
-    ends = [F.least("f_key", "x_key").alias("a"), F.greatest("f_key", "x_key").alias("b")]
-    return both.select(*ends, *([F.least("f_c", "x_c").alias("ca"), F.greatest("f_c", "x_c").alias("cb")] if apart else [])).distinct()
+    both = left.join(right, (F.col("f_band") == F.col("x_band")) & (F.col("f_part") == F.col("x_part")) & other & _near(similarity))
+    ends = [c.alias(n) for c, n in zip(_ends(), "ab")]
+    return both.select(*ends, *([c.alias(n) for c, n in zip(_ends("c"), ("ca", "cb"))] if apart else [])).distinct()
+
+
+def buckets(sigs: DataFrame) -> DataFrame:
+    """(key, bands) -> (band, key, size, lead) of the bands of two lines or more: their number and least key, a hash itself.
+
+    Sizes are counted in an aggregation with partial sums, so that no bucket lands in one task whole.
+    """
+    banded = sigs.select("key", F.explode("bands").alias("band"))
+    sizes = banded.groupBy("band").agg(F.count("*").alias("size"), F.min("key").alias("lead")).filter("size > 1")
+    sizes = materialize(sizes, "sizes")
+    return through_bitmap(banded, "band", sizes).join(sizes, "band").select("band", "key", "size", "lead")
 
 
 def line_components(docs: DataFrame, sigs: DataFrame, similarity: float = SIMILARITY, sets_of=line_texts, of: Callable[[Column], Column] = members) -> DataFrame:
@@ -153,39 +191,35 @@ def line_components(docs: DataFrame, sigs: DataFrame, similarity: float = SIMILA
 
     Buckets of at most `SMALL` lines compare all their pairs. A larger bucket compares its lines with one of them, its
     leader. Where any are unlike it, `PROBES` of these meet the whole bucket, and in the end each line outside the
-    leader's component meets the bucket's lines of other components; of both, the pairs that parity sketches allow are
-    compared. No pair that a component needs is lost. `sets_of` gives an s of the lines,
+    leader's component meets the bucket's lines of other components. Of all these pairs, those that parity sketches allow
+    are verified. No pair that a component needs is lost. `sets_of` gives an s of the lines,
     or texts, that keys name, and `of` makes its set of it.
     """
-    bucket = Window.partitionBy("band")
-    banded = sigs.select("key", F.explode("bands").alias("band")).select("band", "key", F.count("*").over(bucket).alias("n"))
-    shared = materialize(banded.filter("n > 1"), "buckets")
+    shared = materialize(buckets(sigs), "buckets")
     sets = _written(sets_of(docs, shared.select("key").distinct()), "sets")
-    ends = lambda d: d.filter(F.col("j") >= similarity - _EPS).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    few, many = shared.filter(f"n <= {SMALL}").select("band", "key"), shared.filter(f"n > {SMALL}").select("band", "key")
-    pairs = few.select("band", F.col("key").alias("a")).join(few.select("band", F.col("key").alias("b")), "band").filter("a < b").select("a", "b")
-    leaders = many.groupBy("band").agg(F.min_by("key", F.xxhash64("key")).alias("lead"))
-    led = many.join(leaders, "band").filter("key <> lead").select("band", F.col("lead").alias("a"), F.col("key").alias("b"))
-    tested = materialize(_verified(pairs.union(led.select("a", "b")).distinct(), sets, of), "verified")
-    unlike = tested.filter(F.col("j") < similarity - _EPS).select("a", "b")
-    left = materialize(led.join(unlike, ["a", "b"], "left_semi").select("band", F.col("b").alias("key")), "unlike")
+    wide = materialize(shared.join(odd_sketches(sets, of), "key"), "sketched")
+    few, many = wide.filter(f"size <= {SMALL}").drop("lead"), wide.filter(f"size > {SMALL}")
+    met = _named(few, "f").join(_named(few, "x"), (F.col("f_band") == F.col("x_band")) & (F.col("f_key") < F.col("x_key")) & _near(similarity))
+    led = materialize(_not_ruled_out(many.filter("key = lead"), many, similarity, False), "led")
+    tested = materialize(_verified(met.select(F.col("f_key").alias("a"), F.col("x_key").alias("b")).union(led).distinct(), sets, of, similarity), "verified")
+    # The leader has the least key of its bucket, so its pairs are (lead, key).
+    left = materialize(many.filter("key <> lead").join(tested, (F.col("lead") == F.col("a")) & (F.col("key") == F.col("b")), "left_anti").select("band", "key"), "unlike")
+    links = lambda d: d.select(F.col("a").alias("src"), F.col("b").alias("dst"))
     if not left.limit(1).count():
-        return connected_components(ends(tested))
+        return connected_components(links(tested))
 
     undecided = materialize(many.join(left.select("band").distinct(), "band", "left_semi"), "undecided")
-    sketches = odd_sketches(sets.join(undecided.select("key").distinct(), "key", "left_semi"), of)
-    wide = materialize(undecided.join(sketches, "key"), "sketched")
     some = left.groupBy("band").agg(F.array(*[F.min_by("key", F.xxhash64("key", F.lit(r))) for r in range(PROBES)]).alias("_p"))
     probes = materialize(some.select("band", F.explode(F.array_distinct("_p")).alias("key")), "probes")
-    asked = materialize(_not_ruled_out(probes.join(wide, ["band", "key"]), wide, similarity, False), "probed")
-    named = connected_components(ends(tested).union(ends(_verified(asked, sets, of))))
+    asked = materialize(_not_ruled_out(probes.join(undecided, ["band", "key"]), undecided, similarity, False).join(tested, ["a", "b"], "left_anti"), "probed")
+    named = connected_components(links(tested).union(links(_verified(asked, sets, of, similarity))))
 
     own = named.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
-    heads = leaders.join(own, F.col("lead") == F.col("_n"), "left").select("band", F.coalesce("_c", "lead").alias("_head"))
-    labelled = wide.join(own, F.col("key") == F.col("_n"), "left").withColumn("c", F.coalesce("_c", "key")).drop("_n", "_c")
+    heads = undecided.filter("key = lead").join(own, F.col("lead") == F.col("_n"), "left").select("band", F.coalesce("_c", "lead").alias("_head"))
+    labelled = undecided.join(own, F.col("key") == F.col("_n"), "left").withColumn("c", F.coalesce("_c", "key")).drop("_n", "_c", "lead")
     labelled = materialize(labelled.join(heads, "band"), "labelled")
     more = _not_ruled_out(labelled.filter("c <> _head").drop("_head"), labelled.drop("_head"), similarity, True)
-    found = _verified(materialize(more, "rest"), sets, of).filter(F.col("j") >= similarity - _EPS)
+    found = _verified(materialize(more, "rest"), sets, of, similarity)
     found = materialize(found.select(F.col("ca").alias("src"), F.col("cb").alias("dst")).distinct(), "joined")
     if not found.limit(1).count():
         return named

@@ -1,5 +1,4 @@
 import random
-import re
 
 from factloom.llm import line_dedup as L
 
@@ -7,7 +6,8 @@ DOCS = "doc_id long, text string, line string, key long, dropped int"
 
 
 def shingle_set(line):
-    return {line[m.start() : m.start() + 12] for m in re.finditer(r"[^ ]{1,8}", line)}
+    """Every run of twelve characters; a shorter line is one."""
+    return {line[i : i + 12] for i in range(max(1, len(line) - 11))}
 
 
 def brute(rows):
