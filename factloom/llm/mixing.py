@@ -25,6 +25,8 @@ SHARE, COPIES = 1.5, 2
 SCHEDULES = {5: ((0.0, 1.5), (1.0, 0.5)), 2: ((0.0, 1.0), (1.0, 1.0)), 1: ((0.0, 0.5), (0.5, 0.75), (1.0, 2.0))}
 #: Rows that a bucket of a source's order is to hold, about.
 BUCKET_ROWS = 20_000
+#: Sources whose targets are broadcast at most; more are joined by a shuffle.
+BROADCAST_SOURCES = 10_000
 
 
 def word_count(text: Column) -> Column:
@@ -95,7 +97,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     sums = bucketed.groupBy("source", "_bucket").agg(F.sum("size").alias("_sum"))
     before = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select(F.col("source").alias("_s"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
-    base = base.join(F.broadcast(info), base["_s"].eqNullSafe(info["_source"])).drop("_source")
+    info = F.broadcast(info) if len(rows) <= BROADCAST_SOURCES else info
+    base = base.join(info, base["_s"].eqNullSafe(info["_source"])).drop("_source")
     joined = bucketed.join(base, bucketed["source"].eqNullSafe(base["_s"]) & (bucketed["_bucket"] == base["_b"])).drop("_s", "_b")
     within = Window.partitionBy("source", "_bucket").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = joined.withColumn("_at", F.col("_base") + F.coalesce(F.sum("size").over(within), F.lit(0)))
@@ -133,7 +136,7 @@ def training_order(docs: DataFrame, **options) -> DataFrame:
     return both.repartitionByRange(F.col("_position"), F.col("_id")).sortWithinPartitions("_position", "_id").select(*[docs[c] for c in docs.columns])
 
 
-#: The same words in DuckDB's SQL; positions aside.
+#: The same in DuckDB's SQL, the three schedules' inverted integrals written out: 1.5 to 0.5; 1; 0.5 to 0.75 to 2.
 ORACLE = """
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS k FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
@@ -143,10 +146,19 @@ c AS (SELECT *, (1.5 * (SELECT sum(source_size) FROM s) - 2 * coalesce(sum(sourc
   (sum(weight) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS open_weight FROM o),
 e AS (SELECT *, (room * weight) / open_weight >= 2 * source_size AS full_up FROM c),
 f AS (SELECT coalesce(min(r) FILTER (WHERE NOT full_up), 1 + max(r)) AS r FROM e),
-t AS (SELECT source, source_size, CASE WHEN e.r < f.r THEN (2 * source_size)::DOUBLE ELSE ((SELECT room FROM e JOIN f USING (r)) * weight) / (SELECT open_weight FROM e JOIN f USING (r)) END AS target FROM e, f),
-p AS (SELECT d.doc_id, d.size, t.source_size, t.target, floor(t.target + 0.5) AS goal,
+t AS (SELECT source, source_size, weight, CASE WHEN e.r < f.r THEN (2 * source_size)::DOUBLE ELSE ((SELECT room FROM e JOIN f USING (r)) * weight) / (SELECT open_weight FROM e JOIN f USING (r)) END AS target FROM e, f),
+p AS (SELECT d.doc_id, d.size, t.weight, t.source_size, t.target, floor(t.target + 0.5) AS goal,
   coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at_word
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-  (greatest(0, least(size, goal - at_word)) + greatest(0, least(size, goal - at_word - source_size)))::BIGINT AS taken FROM p
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+g AS (SELECT *, greatest(0, least(size, goal - at_word)) AS take_1, greatest(0, least(size, goal - at_word - source_size)) AS take_2,
+  at_word::DOUBLE / target AS u_1, (at_word + source_size)::DOUBLE / target AS u_2 FROM p),
+h AS (SELECT *,
+  CASE weight WHEN 5 THEN 1.5e0 - sqrt(2.25e0 - 2e0 * u_1) WHEN 2 THEN u_1
+    ELSE CASE WHEN u_1 <= 0.3125e0 THEN (sqrt(0.25e0 + u_1 / 0.3125e0 * 0.625e0 * 0.5e0) - 0.5e0) / 0.25e0 * 0.5e0
+      ELSE 0.5e0 + (sqrt(0.5625e0 + (u_1 - 0.3125e0) / 0.6875e0 * 1.375e0 * 2.5e0) - 0.75e0) / 1.25e0 * 0.5e0 END END AS p_1,
+  CASE weight WHEN 5 THEN 1.5e0 - sqrt(2.25e0 - 2e0 * u_2) WHEN 2 THEN u_2
+    ELSE CASE WHEN u_2 <= 0.3125e0 THEN (sqrt(0.25e0 + u_2 / 0.3125e0 * 0.625e0 * 0.5e0) - 0.5e0) / 0.25e0 * 0.5e0
+      ELSE 0.5e0 + (sqrt(0.5625e0 + (u_2 - 0.3125e0) / 0.6875e0 * 1.375e0 * 2.5e0) - 0.75e0) / 1.25e0 * 0.5e0 END END AS p_2
+  FROM (SELECT * EXCLUDE (u_1, u_2), CASE WHEN take_1 > 0 THEN u_1 END AS u_1, CASE WHEN take_2 > 0 THEN u_2 END AS u_2 FROM g))
+SELECT doc_id, size, source_size, target, (take_1 + take_2)::BIGINT AS taken, p_1 AS position, p_2 AS repeat_position FROM h
 """

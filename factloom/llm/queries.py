@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import fingerprints, line_dedup, mixing, packing, pii, quality_crf, secret_scan, simhash_neardup, token_counts, topk_search
 from .common import table
@@ -17,7 +18,8 @@ def op2_simhash_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.positioned(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "position", "positions")
+    mixed = mixing.positioned(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "position", F.get("positions", F.lit(1)).alias("repeat_position"))
 
 
 def op4_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
