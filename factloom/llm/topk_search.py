@@ -1,27 +1,32 @@
 """Exact top-k inner-product search by no-random-access aggregation over sorted lists.
 
-The queries are taken in blocks of bounded size; each block visits all rows once. Within a record batch of candidates
-each dimension is a list sorted by value. A round reads every list to the next depth, from its top for a positive
-query component and from its bottom for a negative one. What has been read of a candidate, with the list's current
-frontier for what has not, bounds its score from above; with the list's far end, from below. Candidates whose upper
-bound is under the k-th best lower bound (or the k-th best score of earlier batches) cannot qualify and leave. When few
-are left, or the lists are read whole, their scores are resolved and the best k join those of the earlier batches.
-The bounds of all queries are matrix products over the lists' read parts, in float64, exact for integers to 2^53.
+The queries are taken in blocks of bounded size; each block visits all rows once. Within a chunk of candidates each
+dimension is a list sorted by value. A round reads every list to the next depth, from its top for a positive query
+component and from its bottom for a negative one. What has been read of a candidate, with the list's current frontier
+for what has not, bounds its score from above; with the list's far end, from below. Candidates whose upper bound is under
+the bar, the k-th best score of earlier chunks or else the k-th best lower bound, cannot qualify and leave. A query whose
+outsiders are ruled out stops reading: only the scores of the few that are left are resolved, and the best k join those
+of the earlier chunks. Bounds are float64, exact for integers to 2^53.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.runtime import materialize
 from .common import batch
 
-#: Depths to which the rounds read the lists.
-DEPTHS = (0.5, 0.75, 1.0)
+#: Depths to which the rounds read the lists, before they are read whole.
+DEPTHS = (0.5, 0.6, 0.7, 0.8, 0.9)
+#: Candidates of a chunk, and of the first one; cells of a matrix of bounds; pairs whose
+#: scores are resolved at once. They bound memory and change no result.
+CHUNK, FIRST, CELLS, PAIRS = 2048, 256, 1 << 21, 20_000
 #: A block of queries holds at most this many numbers; it is what is sent to each task.
 QUERY_NUMBERS = 2_000_000
 _SAFE = float(1 << 53)
@@ -67,61 +72,91 @@ def exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 class NoRandomAccess:
-    """The best k of all candidates seen so far, for the queries of one dimension."""
+    """The best k of all candidates seen so far, for the queries of one dimension.
+
+    `settled[i]` counts the (query, chunk) pairs that ended after round i, the last entry those whose lists were read
+    whole; `resolved` of `met` (query, candidate) pairs had their scores resolved, the others were ruled out by bounds.
+    """
 
     def __init__(self, ids: np.ndarray, q: np.ndarray, k: int):
         self.ids, self.q, self.k = ids, q, k
         self.score = np.full((len(ids), k), np.iinfo(np.int64).min)
         self.vec = np.full((len(ids), k), np.iinfo(np.int64).max)
         self.full = np.zeros(len(ids), int)
-        self.read = 0
+        self.settled = np.zeros(len(DEPTHS) + 1, int)
+        self.met = self.resolved = 0
+        self.chunk = FIRST
 
     def add(self, ids: np.ndarray, x: np.ndarray) -> None:
+        """Candidates in chunks, each twice as long as the one before: the first ones set the bar for the others."""
+        at = 0
+        while at < len(ids):
+            n = self.chunk
+            self.chunk = min(CHUNK, 2 * n)
+            self._chunk(ids[at : at + n], x[at : at + n])
+            at += n
+
+    def _chunk(self, ids: np.ndarray, x: np.ndarray) -> None:
         n, d = x.shape
-        if not n:
-            return
+        self.met += n * len(self.ids)
         big = (np.abs(self.q).max(initial=0)) * (np.abs(x).max(initial=0)) * max(1, d) >= _SAFE
-        order = np.argsort(x, axis=0, kind="stable") if d else np.zeros((n, 0), int)
+        order = np.argsort(x, axis=0, kind="stable")
         lists = np.take_along_axis(x, order, axis=0)
         rank = np.empty_like(order)
         np.put_along_axis(rank, order, np.broadcast_to(np.arange(n)[:, None], order.shape), axis=0)
-        up, down = np.maximum(self.q, 0), np.minimum(self.q, 0)
-        open_q = np.arange(len(self.ids))
-        for depth in DEPTHS:
-            m = n if big or depth == 1.0 else max(1, int(n * depth))
-            if m < n:  # read m entries of each list from either end
-                top_front, low_front = lists[n - m], lists[m - 1]
-                seen_top, seen_low = rank >= n - m, rank < m
-                hi_t, hi_l = np.where(seen_top, x, top_front), np.where(seen_low, x, low_front)
-                upper = up[open_q] @ hi_t.T + down[open_q] @ hi_l.T
-                self.read += m * d
-                bar = self._bar(open_q)
-                unset = np.flatnonzero(bar == -np.inf)
-                if len(unset) and n > self.k:  # no scores yet: the k-th best lower bound of this batch
-                    lo_t, lo_l = np.where(seen_top, x, lists[0]), np.where(seen_low, x, lists[-1])
-                    lower = up[open_q[unset]] @ lo_t.T + down[open_q[unset]] @ lo_l.T
-                    lower[self.ids[open_q[unset]][:, None] == ids[None, :]] = -np.inf
-                    bar[unset] = np.partition(lower, n - self.k, axis=1)[:, n - self.k]
-                alive = upper >= bar[:, None]
-                few = alive.sum(axis=1) <= max(n // 16, 4 * self.k)
-                if few.any():
-                    at, c = np.nonzero(alive & few[:, None])
-                    self._resolve(open_q[at], c, ids, x)
-                open_q = open_q[~few]
-            else:  # read whole: upper and lower bounds meet
-                for at in range(0, len(open_q), 256):
-                    rows = open_q[at : at + 256]
-                    if big or n <= 4 * self.k:
-                        r, c = np.nonzero(np.ones((len(rows), n), bool))
-                    else:
-                        s = self.q[rows] @ x.T
-                        s[self.ids[rows][:, None] == ids[None, :]] = -np.inf
-                        kth = np.partition(s, n - self.k, axis=1)[:, n - self.k]
-                        r, c = np.nonzero(s >= np.maximum(kth, self._bar(rows))[:, None])
-                    self._resolve(rows[r], c, ids, x)
-                return
-            if not len(open_q):
+        step = max(1, CELLS // n)
+        for at in range(0, len(self.ids), step):
+            rows = np.arange(at, min(at + step, len(self.ids)))
+            if big or not d:  # no bounds in float64, or no lists
+                self.settled[-1] += len(rows)
+                self._resolve(np.repeat(rows, n), np.tile(np.arange(n), len(rows)), ids, x)
+            else:
+                self._rounds(rows, ids, x, lists, rank)
+
+    def _rounds(self, rows: np.ndarray, ids: np.ndarray, x: np.ndarray, lists: np.ndarray, rank: np.ndarray) -> None:
+        n = len(ids)
+        alive = self.ids[rows][:, None] != ids[None, :]
+        bar = self._bar(rows)
+        few = max(n // 16, 2 * self.k)
+        for i, depth in enumerate(DEPTHS):
+            m = max(1, int(n * depth))
+            if m >= n:
+                break
+            # m entries of each list have been read, from its top for a query's positive numbers, else from its bottom.
+            seen_top, seen_low = rank >= n - m, rank < m
+            alive &= self._bound(rows, alive, x, seen_top, seen_low, lists[n - m], lists[m - 1]) >= bar[:, None]
+            unset = np.flatnonzero(bar == -np.inf)
+            if len(unset) and n > self.k:  # the k-th best lower bound: what has not been read is at its list's far end
+                mask = np.ones((len(unset), n), bool)
+                lower = self._bound(rows[unset], mask, x, seen_top, seen_low, lists[0], lists[-1])
+                lower[self.ids[rows[unset]][:, None] == ids[None, :]] = -np.inf
+                bar[unset] = np.partition(lower, n - self.k, axis=1)[:, n - self.k]
+                alive[unset] &= self._bound(rows[unset], alive[unset], x, seen_top, seen_low, lists[n - m], lists[m - 1]) >= bar[unset][:, None]
+            done = alive.sum(axis=1) <= few
+            if done.any():
+                self.settled[i] += int(done.sum())
+                at, c = np.nonzero(alive[done])
+                self._resolve(rows[done][at], c, ids, x)
+                rows, alive, bar = rows[~done], alive[~done], bar[~done]
+            if not len(rows):
                 return
+        self.settled[-1] += len(rows)
+        at, c = np.nonzero(alive)
+        self._resolve(rows[at], c, ids, x)
+
+    def _bound(self, rows, alive, x, seen_top, seen_low, top, low) -> np.ndarray:
+        """Bounds of the alive pairs' scores, -inf for others: what has not been read counts as `top`, or as `low` where
+        the query's number is negative. One product for all pairs while many are alive, else pair by pair."""
+        q = self.q[rows]
+        at, c = np.nonzero(alive)
+        if len(at) * 16 > alive.size:
+            return np.where(alive, np.maximum(q, 0) @ np.where(seen_top, x, top).T + np.minimum(q, 0) @ np.where(seen_low, x, low).T, -np.inf)
+        out = np.full(alive.shape, -np.inf)
+        for a in range(0, len(at), PAIRS):
+            i, j = at[a : a + PAIRS], c[a : a + PAIRS]
+            v = np.where(q[i] >= 0, np.where(seen_top[j], x[j], top), np.where(seen_low[j], x[j], low))
+            out[i, j] = np.einsum("ij,ij->i", q[i], v)
+        return out
 
     def _bar(self, rows: np.ndarray) -> np.ndarray:
         return np.where(self.full[rows] >= self.k, self.score[rows, -1].astype(np.float64), -np.inf)
@@ -131,7 +166,8 @@ class NoRandomAccess:
         rows, cand = rows[keep], cand[keep]
         if not len(rows):
             return
-        score = np.concatenate([exact_scores(self.q[rows[a : a + 100_000]], x[cand[a : a + 100_000]]) for a in range(0, len(rows), 100_000)])
+        self.resolved += len(rows)
+        score = np.concatenate([exact_scores(self.q[rows[a : a + PAIRS]], x[cand[a : a + PAIRS]]) for a in range(0, len(rows), PAIRS)])
         touched = np.unique(rows)
         old = np.repeat(touched, self.k), self.score[touched].ravel(), self.vec[touched].ravel(), (np.arange(self.k)[None, :] < self.full[touched][:, None]).ravel()
         r = np.concatenate((old[0][old[3]], rows))
@@ -174,36 +210,39 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: float = 256.0)
     Queries are the rows whose vec_id is divisible by `every`; candidates all rows but those of the query's own id.
     Ties go to the smaller vec_id. Vectors that are null, or hold a null or non-finite component, or whose vec_id is
     null take no part; vectors of another length than the query's are no candidates; empty vectors score zero. Of rows
-    that repeat a query's vec_id one is asked. Repeated candidates each have their place. An empty table gives an empty
-    table. A score beyond the range of a long is held to it.
+    that repeat a query's vec_id the one with the least vector is asked. Repeated candidates each have their place. An empty table gives an empty
+    table. A score beyond the range of a long is held to it. The queries pass through the driver in blocks of
+    `QUERY_NUMBERS` numbers, one block at a time.
     """
     spark = vectors.sparkSession
     v = vectors.select(F.col("vec_id").cast("long"), "embedding").filter("vec_id IS NOT NULL AND embedding IS NOT NULL")
-    asked = v.filter(F.col("vec_id") % every == 0)
-    stats = asked.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d"), F.min("vec_id").alias("lo"), F.max("vec_id").alias("hi")).first()
-    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    valid = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    asked = v.filter((F.col("vec_id") % every == 0) & valid)
+    stats = asked.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d")).first()
     if not stats["n"]:
-        return out
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     # Blocks by a hash of the id: each is about half of what is allowed, whatever the ids are.
-    blocks = max(1, -(-stats["n"] * max(1, stats["d"]) * 2 // QUERY_NUMBERS)) if stats["n"] * max(1, stats["d"]) > QUERY_NUMBERS else 1
-    found = None
-    for i in range(blocks):
-        part = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i).dropDuplicates(["vec_id"]).toArrow()
-        if not part.num_rows:
-            continue
-        part = part.combine_chunks()
-        ids = part.column("vec_id").to_numpy()
-        emb = part.column("embedding").combine_chunks()
-        emb = emb.chunk(0) if isinstance(emb, pa.ChunkedArray) else emb
-        queries = {d: (ids[at], q) for d, (at, q) in _quantize_column(emb, scale).items()}
+    numbers = stats["n"] * max(1, stats["d"])
+    blocks = 1 if numbers <= QUERY_NUMBERS else -(-numbers * 2 // QUERY_NUMBERS)
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+
+    def block(i: int) -> DataFrame:
+        part = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i).groupBy("vec_id").agg(F.min("embedding").alias("embedding")).toArrow()
+        queries = {}
+        if part.num_rows:
+            ids = part.column("vec_id").combine_chunks().to_numpy()
+            queries = {d: (ids[at], q) for d, (at, q) in quantize(part.column("embedding").to_pylist(), scale)[1].items()}
         held = spark.sparkContext.broadcast(queries)
 
-        def fn(batches, held=held):
+        def fn(batches):
             return _search(held.value, k, scale)(batches)
 
-        best = v.mapInArrow(fn, "query_id long, vec_id long, score long")
-        found = best if found is None else found.union(best)
-    if found is None:
-        return out
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        found = v.mapInArrow(fn, "query_id long, vec_id long, score long")
+        best = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        if blocks == 1:
+            return best
+        best = materialize(best, "top-k")  # one block's queries at a time are on the driver and the executors
+        held.destroy()
+        return best
+
+    return reduce(DataFrame.union, [block(i) for i in range(blocks)])

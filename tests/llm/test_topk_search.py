@@ -59,3 +59,27 @@ def test_repeated_query_ids_in_a_large_batch(spark):
     state = T.NoRandomAccess(T.np.array([0]), T.np.array([[512.0] * 6]), 5)
     state.add(T.np.array([0] * 4 + list(range(1, 97))), T.np.array([[512.0] * 6] * 4 + [[float(i)] * 6 for i in range(1, 97)]))
     assert state.rows()[1].tolist() == [96, 95, 94, 93, 92]
+
+
+def test_stop_rules_decide(spark, sf):
+    """On the given vectors most queries stop before their lists are read whole, and few scores are resolved."""
+    import numpy as np
+
+    rows = spark.read.parquet(f"{sf.replace('0.001', '0.1')}/embeddings.parquet").orderBy("vec_id").collect()
+    ids = np.array([r.vec_id for r in rows])
+    x = np.floor(256 * np.array([r.embedding for r in rows], float))
+    state = T.NoRandomAccess(ids[ids % 50 == 0], x[ids % 50 == 0], 5)
+    state.add(ids, x)
+    q, v, s = state.rows()
+    scores = x[ids % 50 == 0] @ x.T
+    scores[ids[ids % 50 == 0][:, None] == ids[None, :]] = -np.inf
+    want = np.argsort(-scores, axis=1, kind="stable")[:, :5]
+    assert v.tolist() == ids[want].ravel().tolist() and s.tolist() == np.take_along_axis(scores, want, 1).astype(int).ravel().tolist()
+    print("settled by round", state.settled.tolist(), "resolved", state.resolved / state.met)
+    assert state.resolved < 0.25 * state.met and state.settled[:-1].sum() > 0.3 * state.settled.sum()
+
+
+def test_repeated_query_is_the_least_vector(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.5, 9.0]), (1, [1.0, 1.0]), (2, [3.0, -1.0])]
+    want = [(0, 1, 1, 128 * 256 + 9 * 256 * 256), (0, 2, 2, 128 * 768 - 9 * 256 * 256)]
+    assert run(spark, rows) == want and run(spark, rows[::-1]) == want
