@@ -5,7 +5,7 @@ sequence is then a bin, and all that matters of a piece is its length: the count
 of bounded size, are all that the driver sees. On them runs bin completion: take the largest length left, enumerate the
 undominated fillings of the room beside it, apply one as often as the counts allow, and go on; branches whose waste
 exceeds what the incumbent leaves are pruned. Best-fit decreasing gives the first incumbent, and the search stops at the
-lower bound or after `NODES` nodes. The plan is then dealt out: the k-th piece of a length finds its bin and offset by
+lower bound or after `nodes` steps; without that limit it ends with the least number of bins. The plan is then dealt out: the k-th piece of a length finds its bin and offset by
 binary search in the plan's intervals.
 """
 
@@ -13,7 +13,10 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +27,12 @@ from ..plans.runtime import materialize
 from .common import batch, map_arrow, text_or_empty
 
 CAPACITY, END = 1024, 2
-#: Nodes that the search visits at most; fillings tried at a node.
-NODES, FILLINGS = 20_000, 3
-#: Buckets in which the pieces of one length are numbered.
-BUCKETS = 64
+#: Steps of the search at most, by default: nodes visited and items tried in their fillings. None: until it is proved.
+NODES = 500_000
+#: Fillings that a node tries first, by a look at pairs and triples; the enumeration of all of them follows.
+FIRST = 3
+#: Pieces of one length that a bucket of their numbering is to hold, about.
+BUCKET_ROWS = 20_000
 
 #: Characters on which both libraries' word patterns surely agree; other texts go to `tokenizers`.
 _PLAIN = re.compile("[^\t\n\r\x20-\x7e¡-ɏ‐-‧]")
@@ -157,8 +162,8 @@ def _dominates(a: Filling, b: Filling) -> bool:
     return any(_dominates(a[:i] + ((v - x,) if v > x else ()) + a[i + 1 :], rest) for i, v in enumerate(a) if v >= x)
 
 
-def fillings(counts: np.ndarray, room: int, most: int = FILLINGS) -> list[Filling]:
-    """The best undominated fillings of the room by lengths left (up to three large items, small ones then), fullest first."""
+def fillings(counts: np.ndarray, room: int, most: int = FIRST) -> list[Filling]:
+    """Some full undominated fillings of the room by lengths left (up to three large items, small ones then), fullest first."""
     have = np.flatnonzero(counts[: room + 1])
     have = have[have > 0]
     if not len(have):
@@ -211,55 +216,114 @@ def fillings(counts: np.ndarray, room: int, most: int = FILLINGS) -> list[Fillin
     return kept
 
 
-def bin_completion(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = NODES) -> list[tuple[Filling, int]]:
-    """Packs counts[length] items of each length 1..capacity: [(lengths of a bin, times)]."""
+def _dominated(counts: np.ndarray, f: Filling, left: int) -> bool:
+    """Whether one more item could stand in place of some of the filling's: alone a larger one, or one for several.
+
+    All subsets of up to ten items are tried, of longer fillings the single items and pairs; what is not found dominated
+    is tried in vain at worst.
+    """
+    spare = lambda y: y < len(counts) and counts[y] > f.count(y)
+    sizes = range(1, len(f) + 1) if len(f) <= 10 else (1, 2)
+    for n in sizes:
+        for s in {sum(c) for c in combinations(f, n)}:
+            if any(spare(y) for y in range(s + (n == 1), s + left + 1)):
+                return True
+    return any(spare(y) for y in range(1, left + 1))
+
+
+def completions(counts: np.ndarray, room: int, waste: Callable[[], int], step: Callable[[], bool]) -> Iterator[Filling]:
+    """All undominated fillings of the room by lengths left, those of least waste first, as long as a step is granted.
+
+    `waste` tells how much may be left at most, asked again as the search goes on. The counts may be changed while the
+    enumeration rests if they are restored before it goes on.
+    """
+    have = np.flatnonzero(counts[: room + 1])
+    have = have[have > 0].tolist()
+    number = counts[: room + 1].tolist()
+    below = np.cumsum(np.arange(room + 1) * counts[: room + 1]).tolist()  # what all items up to a length fill
+
+    def exact(left: int, at: int) -> Iterator[Filling]:
+        """Fillings that sum up to `left`, of lengths have[:at]."""
+        if not left:
+            yield ()
+            return
+        for i in range(bisect_right(have, left, 0, at) - 1, -1, -1):
+            x = have[i]
+            if below[x] < left or not step():
+                return
+            for m in range(min(number[x], left // x), 0, -1):
+                for rest in exact(left - m * x, i):
+                    yield (x,) * m + rest
+
+    w = 0
+    while w <= min(room, waste()):
+        for f in exact(room - w, len(have)):
+            if not _dominated(counts, f, w):
+                yield f
+        if not step():
+            return
+        w += 1
+
+
+def bin_completion(counts: np.ndarray, capacity: int = CAPACITY, nodes: int | None = NODES) -> list[tuple[Filling, int]]:
+    """Packs counts[length] items of each length 1..capacity: [(lengths of a bin, times)].
+
+    The best-fit plan is the incumbent. A node completes the bin of the largest length left by each undominated filling,
+    as often as the counts allow and then once; a branch ends where its waste leaves no plan of fewer bins. The search
+    stops at the lower bound, when all branches have ended, or after `nodes` steps; None sets no limit.
+    """
     counts = np.asarray(counts, np.int64).copy()
     counts = np.concatenate((counts, np.zeros(max(0, capacity + 1 - len(counts)), np.int64)))
     total = int((np.arange(len(counts)) * counts).sum())
     incumbent = best_fit(counts, capacity)
     best, least = sum(t for _, t in incumbent), lower_bound(counts, capacity)
-    # Depth first; a level holds what it applied and the fillings not tried yet.
     path: list[tuple[Filling, int]] = []
-    levels: list[list[Filling]] = []
-    waste, seen, new = 0, 0, True
-    while best > least and seen < nodes:
-        if new:
-            seen += 1
-            top = int(np.flatnonzero(counts)[-1]) if counts.any() else 0
-            if not top:
-                bins = sum(t for _, t in path)
-                if bins < best:
-                    best, incumbent = bins, list(path)
-                options: list[Filling] = []
-            else:
-                counts[top] -= 1
-                options = [(top, *f) for f in fillings(counts, capacity - top)]
-                counts[top] += 1
-            levels.append(options)
-            path.append(((), 0))
-            new = False
-        options = levels[-1]
-        if not options:
+    levels: list[Iterator[tuple[Filling, int]]] = []
+    waste = seen = 0
+
+    def step() -> bool:
+        nonlocal seen
+        seen += 1
+        return nodes is None or seen <= nodes
+
+    def options() -> Iterator[tuple[Filling, int]]:
+        top = int(np.flatnonzero(counts)[-1])
+        own = counts.copy()
+        own[top] -= 1
+        first = fillings(own, capacity - top)
+        for f in chain(first, (f for f in completions(own, capacity - top, lambda: (best - 1) * capacity - total - waste, step) if f not in first)):
+            f = (top, *f)
+            times = min(int(counts[x]) // f.count(x) for x in set(f))
+            yield f, times
+            if times > 1:
+                yield f, 1
+
+    def apply(f: Filling, times: int) -> None:
+        nonlocal waste
+        for x in f:
+            counts[x] -= times
+        waste += (capacity - sum(f)) * times
+
+    if counts.any() and best > least:
+        levels.append(options())
+    while levels and best > least and (nodes is None or seen <= nodes):
+        if len(path) == len(levels):  # back from below
+            f, times = path.pop()
+            apply(f, -times)
+        f, times = next(levels[-1], ((), 0))
+        if not times:
             levels.pop()
-            path.pop()
-            if not levels:
-                break
-            f, times = path[-1]
-            for x in f:
-                counts[x] += times
-            waste -= (capacity - sum(f)) * times
-            path[-1] = ((), 0)
             continue
-        f = options.pop(0)
-        times = min(int(counts[x]) // f.count(x) for x in set(f))
-        more = (capacity - sum(f)) * times
-        if waste + more > (best - 1) * capacity - total:  # it can't end with fewer bins than the incumbent
+        # It can't end with fewer bins than the incumbent.
+        if waste + (capacity - sum(f)) * times > (best - 1) * capacity - total:
             continue
-        for x in f:
-            counts[x] -= times
-        waste += more
-        path[-1] = (f, times)
-        new = True
+        step()
+        apply(f, times)
+        path.append((f, times))
+        if counts.any():
+            levels.append(options())
+        elif sum(t for _, t in path) < best:
+            best, incumbent = sum(t for _, t in path), list(path)
     return [(f, t) for f, t in incumbent if t]
 
 
@@ -279,18 +343,20 @@ def plan_intervals(plan: list[tuple[Filling, int]]) -> dict[int, tuple[np.ndarra
     return {x: tuple(np.array(c, np.int64) for c in zip(*r)) for x, r in rows.items()}
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end: int = END, nodes: int = NODES) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end: int = END, nodes: int | None = NODES) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, piece, start, length, ids_crc32, sequence_id, offset, one row per piece.
 
     Null text counts as empty: one piece, the end id. Repeated rows and null doc_ids are packed like any other. An empty
     table gives an empty table; other columns are ignored. Only the counts of the lengths pass through the driver.
     """
     own = materialize(pieces(docs, tokenizer, capacity, end), "pieces")
-    bucketed = own.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(BUCKETS)).cast("int"))
-    sums = bucketed.groupBy("length", "_bucket").agg(F.count("*").alias("_n"))
     counts = np.zeros(capacity + 1, np.int64)
-    for r in sums.groupBy("length").agg(F.sum("_n").alias("n")).collect():
+    for r in own.groupBy("length").agg(F.count("*").alias("n")).collect():
         counts[r["length"]] = r["n"]
+    # A length has as many buckets as its pieces need, so that none of them grows with the table.
+    buckets = F.get(F.array(*[F.lit(-(-int(n) // BUCKET_ROWS) or 1) for n in counts]), F.col("length").cast("int"))
+    bucketed = own.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), buckets).cast("int"))
+    sums = bucketed.groupBy("length", "_bucket").agg(F.count("*").alias("_n"))
     intervals = plan_intervals(bin_completion(counts, capacity, nodes))
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select("length", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))

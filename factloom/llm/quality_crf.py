@@ -6,8 +6,8 @@ backward passes give each line's marginal; the mean of the marginals, weighted b
 quality, and a logistic map fitted on the same training documents turns it into a score from 0 to 1.
 
 Features count characters and words; they know no vocabulary, language, source or id. The training sample is bounded:
-at most `TRAIN_DOCS` labelled documents, chosen by a hash of the doc_id, and of each at most `TRAIN_LINES` lines evenly
-spread. Scoring reads every line of every text.
+at most `TRAIN_DOCS` labelled documents, chosen by a hash of the doc_id, and of each one stretch of at most `TRAIN_LINES`
+neighbouring lines at a random place; the lines beside it count as neighbours. Scoring reads every line of every text.
 """
 
 from __future__ import annotations
@@ -185,14 +185,31 @@ def _gradient(seqs, w, bias, t, l2):
     return loss, gw, gb, gt
 
 
-def train(docs: list[tuple[np.ndarray, np.ndarray, int]], rounds: int = 120, l2: float = 3.0) -> LineModel:
-    """docs: (line features, line lengths, label). Without both labels the score is constant: the share of label 1, or 0.5."""
+Example = tuple[np.ndarray, np.ndarray, int, bool, bool]
+
+
+def stretch(x: np.ndarray, n: np.ndarray, lines: int, at: int) -> tuple[np.ndarray, np.ndarray, bool, bool]:
+    """`lines` neighbouring lines from a place that `at`, any number, chooses, with the line before and the line behind if
+    there are such; whether there are."""
+    start = at % max(1, len(x) - lines + 1)
+    a, b = max(0, start - 1), min(len(x), start + lines + 1)
+    return x[a:b], n[a:b], a < start, b > start + lines
+
+
+def with_context(x: np.ndarray, n: np.ndarray, before: bool, behind: bool) -> tuple[np.ndarray, np.ndarray]:
+    """A stretch's features with its neighbours', and lengths, without the lines beside it."""
+    own = slice(int(before), len(x) - int(behind))
+    return with_neighbours(x)[own], n[own]
+
+
+def train(docs: list[Example], rounds: int = 120, l2: float = 3.0) -> LineModel:
+    """docs: (line features, line lengths, label, a line before, a line behind). Without both labels the score is constant: the share of label 1, or 0.5."""
     width = 3 * len(NAMES) + 2
-    labels = {y for _, _, y in docs}
+    labels = {y for _, _, y, _, _ in docs}
     if len(labels) < 2:
         share = 0.5 if not docs else (0.98 if 1 in labels else 0.02)
         return LineModel(np.zeros(width), np.ones(width), np.zeros(width), 0.0, np.zeros((2, 2)), 0.0, math.log(share / (1 - share)))
-    full = [(with_neighbours(x), n, y) for x, n, y in docs]
+    full = [(*with_context(x, n, before, behind), y) for x, n, y, before, behind in docs]
     stack = np.concatenate([x for x, _, _ in full])
     mean, std = stack.mean(axis=0), stack.std(axis=0)
     std[std < 1e-9] = 1.0
@@ -231,35 +248,39 @@ def remainder(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 5
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, lines: int = TRAIN_LINES) -> list[tuple[np.ndarray, np.ndarray, int]]:
-    """At most `most` labelled documents outside the held-out fifth, as line features; `lines` lines of each at most."""
+def training_sample(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, lines: int = TRAIN_LINES) -> list[Example]:
+    """At most `most` labelled documents outside the held-out fifth, as line features; one stretch of `lines` lines of each.
+
+    A doc_id counts once, with its least text and least label, so that the bound holds for rows as well.
+    """
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").filter("doc_id IS NOT NULL AND quality IN (0, 1)").filter(remainder(F.col("doc_id")) != 0)
     chosen = usable.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id")
+    texts = texts.groupBy("doc_id").agg(F.first("quality").alias("quality"), F.min("text").alias("text"), F.xxhash64("doc_id", F.lit(11)).alias("at"))
 
     def fn(b: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
-        for i, t, q in zip(*[b.column(c).to_pylist() for c in range(3)]):
-            x, n = line_features(t)
-            at = np.unique(np.linspace(0, len(x) - 1, min(lines, len(x))).round().astype(int))
-            rows.append((i, int(q), x[at].astype(np.float32).tobytes(), n[at].astype(np.int64).tobytes()))
-        cols = list(zip(*rows)) or [[]] * 4
-        return batch(["doc_id", "quality", "x", "n"], *[pa.array(c, ty) for c, ty in zip(cols, (pa.int64(), pa.int32(), pa.binary(), pa.binary()))])
+        for i, q, t, at in zip(*[b.column(c).to_pylist() for c in range(4)]):
+            x, n, before, behind = stretch(*line_features(t), lines, at)
+            rows.append((i, int(q), x.astype(np.float32).tobytes(), n.astype(np.int64).tobytes(), before, behind))
+        cols = list(zip(*rows)) or [[]] * 6
+        types = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.bool_(), pa.bool_())
+        return batch(["doc_id", "quality", "x", "n", "before", "behind"], *[pa.array(c, ty) for c, ty in zip(cols, types)])
 
-    found = map_arrow(texts, fn, "doc_id long, quality int, x binary, n binary").toArrow()
-    rows = sorted(zip(*[found.column(c).to_pylist() for c in range(4)]), key=lambda r: (r[0], r[2]))
-    return [(np.frombuffer(x, np.float32).reshape(-1, len(NAMES)).astype(np.float64), np.frombuffer(n, np.int64), q) for _, q, x, n in rows]
+    found = map_arrow(texts, fn, "doc_id long, quality int, x binary, n binary, before boolean, behind boolean").toArrow()
+    rows = sorted(zip(*[found.column(c).to_pylist() for c in range(6)]))
+    return [(np.frombuffer(x, np.float32).reshape(-1, len(NAMES)).astype(np.float64), np.frombuffer(n, np.int64), q, before, behind) for _, q, x, n, before, behind in rows]
 
 
-def quality(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, threshold: float = THRESHOLD) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, lines: int = TRAIN_LINES, threshold: float = THRESHOLD) -> DataFrame:
     """docs(doc_id, text, ...), labels(doc_id, quality, ...) -> doc_id, held_out, score, predicted, n_lines, n_good.
 
     One row per row of docs. Null text counts as empty: one empty line. Texts are read whole. held_out: crc32(doc_id as
     text) mod 5 is 0; false for a null doc_id. Labels other than 0 and 1 are ignored; a doc_id with both counts as 0. If
     no usable label is left, or of one kind only, the score is one constant. Other columns are ignored. An empty table
-    gives an empty table.
+    gives an empty table. Training reads at most `most` documents and `lines` lines of each.
     """
-    model = train(training_sample(docs, labels, most))
+    model = train(training_sample(docs, labels, most, lines))
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def fn(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -275,10 +296,9 @@ def quality(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, threshol
     return map_arrow(own, fn, "doc_id long, held_out boolean, score double, predicted int, n_lines long, n_good long")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, lines: int = TRAIN_LINES, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of `docs` whose predicted quality is 1. Rows without doc_id are judged by their text like any other."""
-    model = train(training_sample(docs, labels, options.pop("most", TRAIN_DOCS)))
-    threshold = options.pop("threshold", THRESHOLD)
+    model = train(training_sample(docs, labels, most, lines))
     held = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 

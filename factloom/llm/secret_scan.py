@@ -2,12 +2,14 @@
 
 Tokens are runs of at least `TOKEN` characters of the encodings' alphabets. A token's encoding is inferred (decimal,
 hexadecimal, base32, letters, base62, base64), and on its characters' places in that alphabet run a chi-squared test of
-uniformity, a runs test about the middle and a lag-one serial-correlation test; Fisher's sum joins their p-values. A
-token that the battery rejects is not random.
-
-What is left must also be unlike text: the log-likelihood ratio of uniform against the corpus's own letter frequencies,
-standardised by its mean and variance for the token's length, gives the p-value of "this is a word". Within each band of
-lengths the Benjamini-Hochberg step-up over all the corpus's tokens holds the false-discovery rate at `RATE`.
+uniformity, a runs test about the middle and a lag-one serial-correlation test; Fisher's sum joins their p-values. Within
+each band of lengths the Benjamini-Hochberg step-up over all the corpus's tokens decides which of them the battery
+rejects, so that of the tokens rejected as not random at most the share `RATE` is random, whatever their length and
+number.
+
+What is left must also be unlike text, as a battery has little power on short tokens: the log-likelihood ratio of uniform
+against the corpus's own letter frequencies, standardised by its mean and variance for the token's length, gives the
+p-value of "this is a word", and the same step-up in each band holds the rate of false discoveries at `RATE`.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ _CHARS = "[A-Za-z0-9+/_-]"
 #: A '=' ends a token unless it is trailing padding, which counts: what stands behind NAME= is a token of its own.
 _PADDED = "|".join(rf"{_CHARS}{{{TOKEN - p}}}={{{p},}}+(?!{_CHARS})" for p in range(1, TOKEN - 3))
 RANDOM = rf"(?<!{_CHARS})(?:{_CHARS}{{{TOKEN},}}+(?:=++(?!{_CHARS}))?|(?={_CHARS}{{4,{TOKEN - 1}}}+=)(?:{_PADDED}))"
-RATE, REJECT = 0.01, 1e-3
+RATE = 0.01
 #: Upper ends of the bands of lengths.
 BANDS = (23, 31, 47, 63, 127, 1 << 30)
 
@@ -136,28 +138,31 @@ def word_p(tested: DataFrame) -> DataFrame:
     return t.withColumn("p_word", tail((F.col("_l") - F.col("n") * m1) / F.sqrt(F.col("n") * max(m2 - m1 * m1, 1e-9)))).drop("_logs", "_l")
 
 
-def discoveries(tokens: DataFrame, rate: float = RATE, reject: float = REJECT) -> DataFrame:
+def step_up(counts: list[tuple[int, int]], rate: float) -> int | None:
+    """Benjamini-Hochberg on a grid: (bin, number), bins in tenths of -log10 p, each at its largest p-value; the least bin
+    that is discovered, None if none is."""
+    m, k, least = sum(n for _, n in counts), 0, None
+    for at, n in sorted(counts, reverse=True):
+        k += n
+        if 10 ** (-at / 10) * m / k <= rate:
+            least = at
+    return least
+
+
+def discoveries(tokens: DataFrame, rate: float = RATE) -> DataFrame:
     """(token) distinct -> the tokens that are random and no words, at the false-discovery rate in each band of lengths."""
     tested = materialize(battery(tokens.select("token").distinct()), "battery")
-    scored = word_p(tested)
     band = F.lit(len(BANDS) - 1)
     for i in reversed(range(len(BANDS))):
         band = F.when(F.col("n") <= BANDS[i], i).otherwise(band)
-    # Negative tenths of the decimal logarithm: a grid on which the step-up is taken, each bin at its largest p-value.
-    scored = scored.withColumns({"band": band, "bin": F.least(F.lit(400), F.floor(-F.log10(F.greatest("p_word", F.lit(1e-40))) * 10)).cast("int")})
-    grid = scored.groupBy("band", "bin").count().collect()  # 6 x 401 rows at most
-    floor: dict[int, int] = {}
-    for b in {r["band"] for r in grid}:
-        own = sorted(((r["bin"], r["count"]) for r in grid if r["band"] == b), reverse=True)
-        m, k = sum(n for _, n in own), 0
-        for at, n in own:
-            k += n
-            if 10 ** (-at / 10) * m / k <= rate:
-                floor[b] = at
-    if not floor:
-        return scored.limit(0).select("token")
-    least = F.create_map(*[F.lit(x) for p in floor.items() for x in p])
-    return scored.filter(F.col("bin") >= F.element_at(least, F.col("band"))).filter(F.col("p_random") >= reject).select("token")
+    binned = lambda p: F.least(F.lit(400), F.floor(-F.log10(F.greatest(p, F.lit(1e-40))) * 10)).cast("int")
+    scored = word_p(tested).withColumns({"band": band, "word": binned("p_word"), "uneven": binned("p_random")})
+    tests = F.array(*[F.struct(F.lit(t).alias("test"), F.col(t).alias("bin")) for t in ("word", "uneven")])
+    grid = scored.select("band", F.explode(tests).alias("t")).groupBy("band", "t.test", "t.bin").count().collect()  # 2 x 6 x 401 rows at most
+    floor = {t: {b: step_up([(r["bin"], r["count"]) for r in grid if (r["band"], r["test"]) == (b, t)], rate) for b in {r["band"] for r in grid}} for t in ("word", "uneven")}
+    never = 401
+    least = lambda t: F.get(F.array(*[F.lit(x if (x := floor[t].get(b)) is not None else never) for b in range(len(BANDS))]), F.col("band"))
+    return scored.filter((F.col("word") >= least("word")) & (F.col("uneven") < least("uneven"))).select("token")
 
 
 def scan(docs: DataFrame, rate: float = RATE) -> DataFrame:

@@ -78,3 +78,22 @@ def test_no_labels(spark):
     d = spark.createDataFrame([(1, "a b", "", 1)], DOCS)
     lab = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert Q.quality(d, lab).first().score == 0.5 and Q.quality(d.limit(0), lab).count() == 0
+
+
+def test_a_stretch_keeps_its_neighbours():
+    rng = np.random.default_rng(4)
+    x, n = rng.normal(size=(30, len(Q.NAMES))), np.arange(30)
+    whole = Q.with_neighbours(x)
+    for at in range(40):
+        got, own = Q.with_context(*Q.stretch(x, n, 7, at))
+        assert np.array_equal(got, whole[own[0] : own[0] + 7]) and np.array_equal(own, np.arange(own[0], own[0] + 7))
+    got, own = Q.with_context(*Q.stretch(x, n, 64, 5))
+    assert np.array_equal(got, whole) and len(own) == 30
+
+
+def test_repeated_ids_count_once(spark):
+    docs, labels = make(60)
+    d = spark.createDataFrame([(*r, "", 1) for r in docs + docs[:30] * 4], DOCS)
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    assert len(Q.training_sample(d, lab, 20)) == 20
+    assert len(Q.training_sample(d, lab)) == sum(zlib.crc32(str(i).encode()) % 5 > 0 for i, *_ in labels)

@@ -81,3 +81,51 @@ def test_secrets_behind_names(spark):
     assert hit >= 0.9 * len(planted), hit
     tokens = lambda t: [m[0] for m in re.finditer(S.RANDOM, t)]
     assert tokens("a=" + "b" * 20 + "== c=" + "d" * 19 + " " + "e" * 18 + "== " + "f" * 18 + "= " + "g" * 25 + "=" + "h" * 20) == ["b" * 20 + "==", "e" * 18 + "==", "g" * 25, "h" * 20]
+
+
+def test_battery_against_an_independent_computation(spark):
+    """Each token's encoding, its three p-values and Fisher's sum, from their definitions."""
+    import math
+    from statistics import NormalDist
+
+    rng = random.Random(11)
+    sets = [string.digits, "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", string.ascii_lowercase, string.ascii_letters, string.ascii_uppercase + string.ascii_lowercase + string.digits]
+    tokens = [("".join(rng.choice(a) for _ in range(rng.randint(20, 90))), a) for a in sets for _ in range(6)] + [("abcdefghijklmnopqrstuvwxyz" * 2, string.ascii_lowercase), ("0" * 30, string.digits)]
+    up = lambda z: 1 - NormalDist().cdf(z)
+    got = {r.token: r for r in S.battery(spark.createDataFrame([(t,) for t, _ in tokens], "token string")).collect()}
+    for t, a in tokens:
+        a = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz" if a == string.ascii_letters else a
+        a = next(x for _, x in S.ENCODINGS if set(t) <= set(x))
+        x, n, k = [a.index(c) for c in t], len(t), len(a)
+        chi = sum((t.count(c) - n / k) ** 2 / (n / k) for c in a)
+        uniform = up(((chi / (k - 1)) ** (1 / 3) - (1 - 2 / (9 * (k - 1)))) / math.sqrt(2 / (9 * (k - 1))))
+        high = [v >= k / 2 for v in x]
+        n1, n2, runs = sum(high), n - sum(high), 1 + sum(p != q for p, q in zip(high, high[1:]))
+        mu = 1 + 2 * n1 * n2 / n
+        sd2 = (mu - 1) * (mu - 2) / (n - 1)
+        p_runs = min(1, 2 * up(abs(runs - mu) / math.sqrt(sd2))) if n1 and n2 and sd2 > 0 else 0.0
+        mean = sum(x) / n
+        var = sum((v - mean) ** 2 for v in x)
+        serial = min(1, 2 * up(abs((sum((p - mean) * (q - mean) for p, q in zip(x, x[1:])) / var + 1 / n) * math.sqrt(n)))) if var else 0.0
+        r = got[t]
+        for mine, want in ((r.p_uniform, uniform), (r.p_runs, p_runs), (r.p_serial, serial)):
+            assert abs(mine - want) < 2e-6, (t, mine, want)
+        h = -sum(math.log(max(p, 1e-300)) for p in (r.p_uniform, r.p_runs, r.p_serial))
+        assert math.isclose(r.p_random, math.exp(-h) * (1 + h + h * h / 2), rel_tol=1e-9)
+
+
+def test_step_up():
+    ps = [0.0001, 0.0005, 0.004, 0.02, 0.3, 0.5, 0.9]
+    bins = [(int(-10 * __import__("math").log10(p)), 1) for p in ps]
+    # Each bin counts as its largest p-value: 1e-4, 10^-3.3, 10^-2.3, 10^-1.6 ...
+    assert S.step_up(bins, 0.02) == 23 and S.step_up(bins, 0.01) == 33 and S.step_up([(1, 5)], 0.01) is None
+
+
+def test_even_patterns_are_rejected_by_the_battery(spark):
+    """Long tokens that look unlike words but are not random: the step-up on the battery's p-values throws them out."""
+    rng = random.Random(5)
+    even = ["".join(rng.choice("QZ79") for _ in range(48)) for _ in range(30)]
+    true = ["".join(rng.choice(string.ascii_letters + string.digits) for _ in range(48)) for _ in range(30)]
+    words = ["".join(rng.choice(["the", "an", "on", "ing", "er", "tion", "en"]) for _ in range(16)) for _ in range(300)]
+    found = {r.token for r in S.discoveries(spark.createDataFrame([(t,) for t in even + true + words], "token string")).collect()}
+    assert len(found & set(true)) >= 28 and not found & set(even) and len(found & set(words)) <= 1
