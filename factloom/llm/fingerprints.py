@@ -25,8 +25,8 @@ from .common import text_or_empty
 SEEDS = (17, 29)
 #: A group's terms, so that its 16-bit lanes can't overflow.
 LANE_TERMS = 32767
-#: Groups of neighbouring doc_ids for the next-document window: a power of two.
-GROUPS = 1024
+#: Groups of neighbouring doc_ids for the next-document window, a power of two: as many as hold about `GROUP_ROWS` rows.
+GROUP_ROWS, GROUPS = 4096, (1024, 65536)
 WIDTH = 5
 
 
@@ -71,7 +71,12 @@ def likeness(d: Column) -> Column:
     return F.greatest(F.lit(0.0), F.when(d == 0, F.lit(1.0)).otherwise(F.cos(d * F.lit(3.141592653589793 / 128))))
 
 
-def with_next(docs: DataFrame, groups: int = GROUPS) -> DataFrame:
+def _longs(xs: list[int]) -> Column:
+    """A constant array, as one literal."""
+    return F.split(F.lit(" ".join(map(str, xs))), " ").cast("array<bigint>") if xs else F.array().cast("array<bigint>")
+
+
+def with_next(docs: DataFrame, groups: int | None = None) -> DataFrame:
     """(doc_id, text, ...) -> (grp, rn, tail, doc_id, text, next_text): each row with the next one's text.
 
     The order is descending doc_id, nulls last, then text; after the last row comes the first. No global sort: doc_ids
@@ -80,31 +85,37 @@ def with_next(docs: DataFrame, groups: int = GROUPS) -> DataFrame:
     of each range, `groups` numbers each, pass through the driver.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    if groups is None:
+        groups = GROUPS[0]
+        rows = d.count()
+        while groups < GROUPS[1] and groups * GROUP_ROWS < rows:
+            groups *= 2
     probs = [i / groups for i in range(1, groups)]
-    bounds = d.agg(F.percentile_approx("doc_id", probs, 20000)).first()[0] or []
+    bounds = d.agg(F.percentile_approx("doc_id", probs, 20 * groups)).first()[0] or []
     bounds = sorted({int(b) for b in bounds})
     bounds += [(1 << 63) - 1] * (groups - 1 - len(bounds))
     steps = [groups >> i for i in range(1, groups.bit_length())]
-    table, walk = F.array(*map(F.lit, bounds)).cast("array<bigint>"), F.array(*map(F.lit, steps))
+    table, walk = _longs(bounds), F.array(*map(F.lit, steps))
     # Binary search: how many bounds are at most the doc_id; 0 for null. Groups go down from `groups`, as the order does.
     found = F.aggregate(walk, F.lit(0), lambda a, s: F.when(F.get(table, a + s - 1) <= F.col("doc_id"), a + s).otherwise(a))
-    grouped = d.select("doc_id", "text", (F.lit(groups) - F.when(F.col("doc_id").isNull(), -1).otherwise(found)).alias("grp"))
+    grouped = d.select("doc_id", "text", (F.lit(groups) - F.when(F.col("doc_id").isNull(), -1).otherwise(found)).cast("int").alias("grp"))
     heads = {r["grp"]: r["head"] for r in grouped.groupBy("grp").agg(F.max("doc_id").alias("head")).collect()}
     if not heads:
         return grouped.select("grp", F.lit(0).alias("rn"), F.lit(False).alias("tail"), "doc_id", "text", F.col("text").alias("next_text"))
     order = sorted(heads)
     before = {g: order[i - 1] for i, g in enumerate(order)}
-    goes = F.create_map(*[F.lit(x) for g in order for x in (g, before[g])])
-    first = F.create_map(*[F.lit(x).cast("bigint") if k else F.lit(x) for g in order for k, x in ((0, g), (1, heads[g]))])
-    is_head = F.col("doc_id").eqNullSafe(F.element_at(first, F.col("grp")))
-    places = F.when(is_head, F.array(F.struct(F.col("grp").alias("grp"), F.lit(False).alias("tail")), F.struct(F.element_at(goes, F.col("grp")).alias("grp"), F.lit(True).alias("tail"))))
+    # By group: the one whose tail its first row is, and that row's doc_id (null in the last group, of null doc_ids).
+    goes = F.get(_longs([before.get(g, 0) for g in range(groups + 2)]), F.col("grp")).cast("int")
+    first = F.when(F.col("grp") <= groups, F.get(_longs([heads.get(g) or 0 for g in range(groups + 1)]), F.col("grp")))
+    is_head = F.col("doc_id").eqNullSafe(first)
+    places = F.when(is_head, F.array(F.struct(F.col("grp").alias("grp"), F.lit(False).alias("tail")), F.struct(goes.alias("grp"), F.lit(True).alias("tail"))))
     places = places.otherwise(F.array(F.struct(F.col("grp").alias("grp"), F.lit(False).alias("tail"))))
     dealt = grouped.select("doc_id", "text", F.explode(places).alias("p")).select("p.grp", "p.tail", "doc_id", "text")
     w = Window.partitionBy("grp").orderBy("tail", F.desc_nulls_last("doc_id"), "text")
     return dealt.select("grp", F.row_number().over(w).alias("rn"), "tail", "doc_id", "text", F.lead("text").over(w).alias("next_text"))
 
 
-def document_fingerprints(docs: DataFrame, width: int = WIDTH, groups: int = GROUPS) -> DataFrame:
+def document_fingerprints(docs: DataFrame, width: int = WIDTH, groups: int | None = None) -> DataFrame:
     """(doc_id, text, ...) -> doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text is the text with its last floor(n_chars / 2) code points replaced by the first as many (or all) of
@@ -170,7 +181,7 @@ def near_links(fps: DataFrame, radius: int = 6, blocks: int = 8) -> DataFrame:
     return met.filter(table_of == a["t"]).select("a0", "a1", "b0", "b1")
 
 
-def fingerprints_with_links(docs: DataFrame, radius: int = 6, blocks: int = 8, width: int = WIDTH, groups: int = GROUPS) -> DataFrame:
+def fingerprints_with_links(docs: DataFrame, radius: int = 6, blocks: int = 8, width: int = WIDTH, groups: int | None = None) -> DataFrame:
     """`document_fingerprints` with class_id, the smallest doc_id of equal fingerprint, and n_links, how many other
     fingerprints lie within the radius."""
     own = materialize(document_fingerprints(docs, width, groups), "fingerprints")

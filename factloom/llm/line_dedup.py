@@ -150,21 +150,27 @@ def _named(d: DataFrame, p: str) -> DataFrame:
     return d.select(*[F.col(c).alias(f"{p}_{c}") for c in d.columns])
 
 
+def _apart() -> Column:
+    """In how many bits the sketches of a row's lines f and x differ."""
+    bits = [F.bit_count(F.col(f"f_o{i}").bitwiseXOR(F.col(f"x_o{i}"))) for i in range(SKETCH)]
+    return sum(bits[1:], bits[0])
+
+
 def _near(similarity: float) -> Column:
     """Whether the sketches of a row's lines f and x allow the similarity."""
-    bits = [F.bit_count(F.col(f"f_o{i}").bitwiseXOR(F.col(f"x_o{i}"))) for i in range(SKETCH)]
-    return sum(bits[1:], bits[0]) <= (F.col("f_n") + F.col("x_n")) * ((1 - similarity) / (1 + similarity)) + _EPS
+    return _apart() <= (F.col("f_n") + F.col("x_n")) * ((1 - similarity) / (1 + similarity)) + _EPS
 
 
 def _ends(f: str = "key") -> list[Column]:
     return [F.least(f"f_{f}", f"x_{f}"), F.greatest(f"f_{f}", f"x_{f}")]
 
 
-def _not_ruled_out(f: DataFrame, x: DataFrame, similarity: float, apart: bool) -> DataFrame:
+def _not_ruled_out(f: DataFrame, x: DataFrame, similarity: float, apart: bool = False, probing: bool = False) -> DataFrame:
     """Pairs (a, b) of a line of `f` and one of `x` in a bucket whose sketches allow the similarity.
 
-    With `apart`, of lines of different components (ca, cb) only. A bucket's rows of `x` are dealt into parts of about
-    `PART` lines, and its rows of `f` go to each part.
+    With `apart`, of lines of different components only, with these (ca, cb) and the sketches' differing bits d. With
+    `probing`, of the lines of `x` that are not `apart` just the closest for each line of `f` in each bucket. A bucket's
+    rows of `x` are dealt into parts of about `PART` lines, and its rows of `f` go to each part.
     """
     parts = F.expr(f"cast(size div {PART} as int)")
     left = _named(f.withColumn("part", F.explode(F.sequence(F.lit(0), parts))), "f")
@@ -172,7 +178,12 @@ def _not_ruled_out(f: DataFrame, x: DataFrame, similarity: float, apart: bool) -
     other = F.col("f_c") != F.col("x_c") if apart else F.col("f_key") != F.col("x_key")
     both = left.join(right, (F.col("f_band") == F.col("x_band")) & (F.col("f_part") == F.col("x_part")) & other & _near(similarity))
     ends = [c.alias(n) for c, n in zip(_ends(), "ab")]
-    return both.select(*ends, *([c.alias(n) for c, n in zip(_ends("c"), ("ca", "cb"))] if apart else [])).distinct()
+    if probing:
+        near = both.filter("NOT x_apart").groupBy("f_band", "f_key").agg(F.min_by("x_key", F.struct(_apart(), F.col("x_key"))).alias("x_key"))
+        return both.filter("x_apart").select(*ends).union(near.select(*ends)).distinct()
+    if apart:
+        return both.select(*ends, *[c.alias(n) for c, n in zip(_ends("c"), ("ca", "cb"))], _apart().alias("d")).distinct()
+    return both.select(*ends).distinct()
 
 
 def buckets(sigs: DataFrame) -> DataFrame:
@@ -190,9 +201,9 @@ def line_components(docs: DataFrame, sigs: DataFrame, similarity: float = SIMILA
     """(node, component): the components of all candidate pairs of line keys that are alike; lines without a link are left out.
 
     Buckets of at most `SMALL` lines compare all their pairs. A larger bucket compares its lines with one of them, its
-    leader. Where any are unlike it, `PROBES` of these meet the whole bucket, and in the end each line outside the
-    leader's component meets the bucket's lines of other components. Of all these pairs, those that parity sketches allow
-    are verified. No pair that a component needs is lost. `sets_of` gives an s of the lines,
+    leader. Where any are unlike it, `PROBES` of these meet the others and the closest of the rest, and in the end each
+    line outside the leader's component meets the bucket's lines of other components. Of all these pairs, those that
+    parity sketches allow are verified, between two components the closest first. No pair that a component needs is lost. `sets_of` gives an s of the lines,
     or texts, that keys name, and `of` makes its set of it.
     """
     shared = materialize(buckets(sigs), "buckets")
@@ -200,7 +211,7 @@ def line_components(docs: DataFrame, sigs: DataFrame, similarity: float = SIMILA
     wide = materialize(shared.join(odd_sketches(sets, of), "key"), "sketched")
     few, many = wide.filter(f"size <= {SMALL}").drop("lead"), wide.filter(f"size > {SMALL}")
     met = _named(few, "f").join(_named(few, "x"), (F.col("f_band") == F.col("x_band")) & (F.col("f_key") < F.col("x_key")) & _near(similarity))
-    led = materialize(_not_ruled_out(many.filter("key = lead"), many, similarity, False), "led")
+    led = materialize(_not_ruled_out(many.filter("key = lead"), many, similarity), "led")
     tested = materialize(_verified(met.select(F.col("f_key").alias("a"), F.col("x_key").alias("b")).union(led).distinct(), sets, of, similarity), "verified")
     # The leader has the least key of its bucket, so its pairs are (lead, key).
     left = materialize(many.filter("key <> lead").join(tested, (F.col("lead") == F.col("a")) & (F.col("key") == F.col("b")), "left_anti").select("band", "key"), "unlike")
@@ -211,16 +222,25 @@ def line_components(docs: DataFrame, sigs: DataFrame, similarity: float = SIMILA
     undecided = materialize(many.join(left.select("band").distinct(), "band", "left_semi"), "undecided")
     some = left.groupBy("band").agg(F.array(*[F.min_by("key", F.xxhash64("key", F.lit(r))) for r in range(PROBES)]).alias("_p"))
     probes = materialize(some.select("band", F.explode(F.array_distinct("_p")).alias("key")), "probes")
-    asked = materialize(_not_ruled_out(probes.join(undecided, ["band", "key"]), undecided, similarity, False).join(tested, ["a", "b"], "left_anti"), "probed")
+    # A probe meets the lines that are unlike the leader, and of those that are linked to it the one with the closest
+    # sketch in each bucket: one link is enough to join them, and what it misses is found below.
+    marked = undecided.join(left.withColumn("apart", F.lit(True)), ["band", "key"], "left")
+    asked = _not_ruled_out(probes.join(undecided, ["band", "key"]), marked.withColumn("apart", F.coalesce("apart", F.lit(False))), similarity, probing=True)
+    asked = materialize(asked.join(tested, ["a", "b"], "left_anti"), "probed")
     named = connected_components(links(tested).union(links(_verified(asked, sets, of, similarity))))
 
     own = named.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
     heads = undecided.filter("key = lead").join(own, F.col("lead") == F.col("_n"), "left").select("band", F.coalesce("_c", "lead").alias("_head"))
     labelled = undecided.join(own, F.col("key") == F.col("_n"), "left").withColumn("c", F.coalesce("_c", "key")).drop("_n", "_c", "lead")
     labelled = materialize(labelled.join(heads, "band"), "labelled")
-    more = _not_ruled_out(labelled.filter("c <> _head").drop("_head"), labelled.drop("_head"), similarity, True)
-    found = _verified(materialize(more, "rest"), sets, of, similarity)
-    found = materialize(found.select(F.col("ca").alias("src"), F.col("cb").alias("dst")).distinct(), "joined")
+    more = materialize(_not_ruled_out(labelled.filter("c <> _head").drop("_head"), labelled.drop("_head"), similarity, apart=True), "rest")
+    # Of the pairs between two components the closest comes first; the others matter only if it is no link.
+    closest = more.groupBy("ca", "cb").agg(F.min_by(F.struct("a", "b"), F.struct("d", "a", "b")).alias("p")).select("p.a", "p.b", "ca", "cb")
+    found = materialize(_verified(closest, sets, of, similarity).select("ca", "cb"), "joined")
+    others = materialize(more.join(found, ["ca", "cb"], "left_anti").join(closest, ["a", "b"], "left_anti").select("a", "b", "ca", "cb"), "others")
+    if others.limit(1).count():
+        found = found.union(materialize(_verified(others, sets, of, similarity).select("ca", "cb").distinct(), "joined"))
+    found = found.select(F.col("ca").alias("src"), F.col("cb").alias("dst"))
     if not found.limit(1).count():
         return named
     # A component is named by its least line: components join, and so do lines that had no link.

@@ -4,10 +4,12 @@ Candidate spans come from strict patterns (the base: e-mail, ip, card, phone) an
 national phone, card-like and ip-like numbers, social-security numbers, titled names). Labelers vote on each candidate
 for, against, or not at all: strict pattern, checksum and ranges, gazetteer, words of context for and against, and
 shape. Expectation-maximisation over the counts of the vote patterns estimates each labeler's reliability and the share
-of true spans in each kind, and its posteriors train a logistic span classifier on votes and shape. A base span always
-stays; another candidate is added if the classifier says so and no base span overlaps it.
+of true spans in each kind, and its posteriors train a logistic span classifier. Beside the votes it sees marks of the
+span and of what stands around it that no labeler looks at (`MARKS`), by kind, and so tells spans apart that got the same
+votes. A base span always stays; another candidate is added if the classifier says so and no base span overlaps it.
 
-The texts are read once. Vote patterns are of a bounded number, so what is gathered for training is a bounded table.
+The texts are read once. Patterns of votes and marks are of a bounded number, so what is gathered for training is a
+bounded table.
 """
 
 from __future__ import annotations
@@ -40,9 +42,19 @@ _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _PERSON = re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sra?)\.? [A-Z][a-z]{1,20}(?: [A-Z][a-z]{1,20})?\b")
 
 # Gazetteers and words of context.
-DOMAINS = frozenset("com org net edu gov io de fr es uk eu info example".split())
+DOMAINS = frozenset(
+    "com org net edu gov mil int info biz name pro io ai app dev cloud online site example me tv co eu at au be br ca ch cl cn cz de dk es fi fr gr hk hu ie il in "
+    "it jp kr lt lu lv mx my nl no nz ph pl pt ro rs ru se sg si sk th tr tw ua uk us vn za".split()
+)
 ISSUERS = ("4", "34", "37", "51", "52", "53", "54", "55", "6011", "65")
-FIRST_NAMES = frozenset("Alice Anna Bob Carlos David Emma Hans James John Juan Laura Luis Maria Marie Mary Michael Paul Peter Pierre Sophie Thomas".split())
+FIRST_NAMES = frozenset(
+    "Adam Ahmed Aisha Alan Alejandro Alexander Ali Alice Amy Ana Andrea Andreas Andrew Angela Anna Anne Antoine Antonio Barbara Ben Bob Brian Camille Carlos Carmen "
+    "Carol Charles Charlotte Chen Chloe Christian Christine Claire Claudia Daniel David Diego Dorothy Elena Elizabeth Emily Emma Eric Eva Fatima Felix Fernando Francisco "
+    "Frank Franz George Georg Giulia Grace Hannah Hans Heinrich Helen Henry Hugo Ibrahim Ines Isabel Ivan Jack Jacob James Jan Jane Javier Jean Jennifer Jessica Joao John "
+    "Jonas Jose Joseph Juan Julia Julien Jun Karen Karl Katharina Kevin Klaus Laura Lea Linda Lisa Louis Lucas Lucia Luis Lukas Manuel Marco Margaret Maria Marie Mario "
+    "Mark Marta Martin Mary Matthew Max Mei Michael Miguel Mohammed Monika Nancy Nicolas Nina Olga Oliver Pablo Patricia Paul Paula Pedro Peter Petra Philippe Pierre Rachel "
+    "Raj Richard Robert Rosa Ruth Sabine Samuel Sandra Sara Sarah Sofia Sophie Stefan Stephen Susan Thomas Ursula Victor Wei William Yuki".split()
+)
 FOR = {
     "email": re.compile(r"e-?mail|contact|mailto|write to|reach", re.I),
     "ip": re.compile(r"\bip\b|address|host|server|login from", re.I),
@@ -53,6 +65,9 @@ FOR = {
 }
 AGAINST = re.compile(r"version|build|order|invoice|isbn|serial|part no|model|page|chapter|figure|sku", re.I)
 LABELERS = ("strict", "checks", "gazetteer", "for", "against", "shape")
+#: What the classifier sees beside the votes, yes or no each.
+MARKS = ("opened", "joined", "among_digits", "long", "separators", "line_start", "capital")
+_MARKS = 1 << len(MARKS)
 
 
 def luhn(digits: str) -> bool:
@@ -146,6 +161,22 @@ def pattern(kind: int, v: tuple[int, ...]) -> int:
     return code
 
 
+def marks(text: str, start: int, end: int) -> int:
+    """The span's `MARKS` as bits: behind an opening sign, part of a longer run of letters or digits, between other
+    numbers, over 18 characters, of two kinds of separators or more, first in its line, with a capital letter."""
+    s, before, behind = text[start:end], text[max(0, start - 12) : start], text[end : end + 12]
+    found = (
+        before.rstrip(" ")[-1:] in tuple(":=<([\"'"),
+        before[-1:].isalnum() or behind[:1].isalnum(),
+        sum(map(str.isdigit, before + behind)) >= 6,
+        len(s) > 18,
+        len({c for c in s if not c.isalnum()}) > 1,
+        before.rpartition("\n")[2].strip() == "" and (start <= 12 or "\n" in before),
+        any(map(str.isupper, s)),
+    )
+    return sum(bool(x) << i for i, x in enumerate(found))
+
+
 def unpattern(code: int) -> tuple[int, tuple[int, ...]]:
     v = []
     for _ in LABELERS:
@@ -155,11 +186,11 @@ def unpattern(code: int) -> tuple[int, tuple[int, ...]]:
 
 
 def candidates(text: str) -> list[tuple[int, int, int, bool, int]]:
-    """(kind, start, end, base, vote pattern), sorted; a loose span that equals a base one of its kind is that one."""
+    """(kind, start, end, base, pattern of votes and marks), sorted; a loose span that equals a base one of its kind is that one."""
     base = base_spans(text)
     own = {(BASE.index(k), a, b) for k, spans in base.items() for a, b in spans}
     rest = {(KINDS.index(k), a, b) for k, a, b in loose_spans(text)} - own
-    return [(k, a, b, strict, pattern(k, votes(KINDS[k], text, a, b, strict))) for k, a, b, strict in sorted([(*x, True) for x in own] + [(*x, False) for x in rest])]
+    return [(k, a, b, strict, pattern(k, votes(KINDS[k], text, a, b, strict)) * _MARKS + marks(text, a, b)) for k, a, b, strict in sorted([(*x, True) for x in own] + [(*x, False) for x in rest])]
 
 
 def reliabilities(counts: dict[int, int], rounds: int = 100) -> tuple[dict[int, float], dict]:
@@ -195,19 +226,23 @@ def reliabilities(counts: dict[int, int], rounds: int = 100) -> tuple[dict[int,
 
 
 def _features(codes: list[int]) -> np.ndarray:
+    """Kind, votes, marks, and each mark within each kind."""
     rows = []
     for c in codes:
-        k, v = unpattern(c)
-        rows.append([1.0, *[float(k == i) for i in range(len(KINDS))], *[float(x == 1) for x in v], *[float(x == 0) for x in v], *[float(x == -1) for x in v], float(v[1] == 1 and v[3] == 1)])
+        votes, m = divmod(c, _MARKS)
+        k, v = unpattern(votes)
+        kinds, own = [float(k == i) for i in range(len(KINDS))], [float(m >> i & 1) for i in range(len(MARKS))]
+        rows.append([1.0, *kinds, *[float(x == 1) for x in v], *[float(x == 0) for x in v], *[float(x == -1) for x in v], float(v[1] == 1 and v[3] == 1), *own, *[x * y for x in kinds for y in own]])
     return np.array(rows)
 
 
 def classifier(counts: dict[int, int], posterior: dict[int, float], steps: int = 60, l2: float = 1.0) -> dict[int, float]:
-    """Logistic span classifier on the patterns' posteriors, by Newton steps: {pattern: probability}."""
+    """Logistic span classifier, by Newton steps, on the posteriors that the spans' votes have: {pattern of votes and
+    marks: probability}."""
     codes = sorted(counts)
     if not codes:
         return {}
-    x, y, n = _features(codes), np.array([posterior[c] for c in codes]), np.array([counts[c] for c in codes], float)
+    x, y, n = _features(codes), np.array([posterior[c // _MARKS] for c in codes]), np.array([counts[c] for c in codes], float)
     n = n / n.sum() * min(n.sum(), 10_000.0)
     w = np.zeros(x.shape[1])
     for _ in range(steps):
@@ -241,9 +276,12 @@ def find(docs: DataFrame, accept: float = 0.5) -> DataFrame:
 
     schema = "doc_id long, spans array<struct<kind:int,start:long,end:long,base:boolean,votes:long>>"
     seen = materialize(map_arrow(docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")), read, schema), "candidates")
-    # At most 6 kinds x 4^6 patterns.
+    # At most 6 kinds x 4^6 patterns of votes x 2^7 of marks, of which few occur.
     counts = {r["votes"]: r["n"] for r in seen.select(F.explode("spans").alias("s")).groupBy("s.votes").agg(F.count("*").alias("n")).collect()}
-    posterior, _ = reliabilities(counts)
+    voted: dict[int, int] = {}
+    for c, n in counts.items():
+        voted[c // _MARKS] = voted.get(c // _MARKS, 0) + n
+    posterior, _ = reliabilities(voted)
     good = frozenset(c for c, p in classifier(counts, posterior).items() if p >= accept)
 
     def tell(b: pa.RecordBatch) -> pa.RecordBatch:

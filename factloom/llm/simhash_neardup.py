@@ -3,12 +3,13 @@
 Each text gets a 64-bit fingerprint from the XXH64 of its word shingles. Two fingerprints are linked when they differ
 in at most `radius` bits. The search never compares all pairs:
 
-* A fingerprint's distances to the reference R and to the 64 references that differ from R in one bit j are taken.
-  d(x, R^j) - d(x, R) is +1 or -1, and a pair within the radius differs in at most `radius` of these 64 coordinates.
-  The coordinates are dealt into `blocks` groups, so at least ``blocks - radius`` groups agree whole. For each choice
-  of that many groups a table keyed by their coordinates brings such a pair together: no linked pair is missed.
-* Within a key, the distances to `PIVOTS` further references bound the distance from below: a pair whose largest
-  coordinate difference exceeds the radius is discarded, and the survivors are verified on the fingerprints.
+* Distances of random 64-bit fingerprints to any pivot lie close together, so pivots alone would leave nearly all pairs
+  of a large table. Block tables come first: the bits are dealt into `blocks` groups, of which at least
+  ``blocks - radius`` agree whole in a linked pair, and for each choice of that many groups a table keyed by their bits
+  brings such a pair together. No linked pair is missed.
+* Within a key, each fingerprint's Hamming distances to `PIVOTS` reference fingerprints, taken once, bound a pair's
+  distance from below: a pair whose largest coordinate difference exceeds the radius is discarded, and the survivors
+  are verified on the fingerprints.
 
 A key's rows arrive sorted in one stream. Runs of at most `RUN` rows are solved there and give a spanning forest, at
 most one edge a row. Longer runs are cut into pieces, and each pair of pieces becomes a task of its own.
@@ -75,16 +76,10 @@ def pivots(n: int = PIVOTS, seed: int = 1) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(f"pivot {seed} {i}") for i in range(n)], np.uint64)
 
 
-def pivot_keys(fp: np.ndarray, radius: int, blocks: int) -> Iterator[np.ndarray]:
-    """For each table, the key of each fingerprint: table number above the agreeing coordinates."""
-    reference = pivots(1, 0)[0]
-    near = np.bitwise_count(fp ^ reference).astype(np.int16)
-    ones = np.zeros(len(fp), np.uint64)
-    for j in range(64):  # the distance to the reference that differs in bit j is one more or one less
-        far = np.bitwise_count(fp ^ (reference ^ np.uint64(1 << j))).astype(np.int16)
-        ones |= (far < near).astype(np.uint64) << np.uint64(j)
+def block_keys(fp: np.ndarray, radius: int, blocks: int) -> Iterator[np.ndarray]:
+    """For each table, the key of each fingerprint: table number above the bits of its blocks."""
     edges = np.linspace(0, 64, blocks + 1).round().astype(int)
-    parts = [(ones >> np.uint64(a)) & np.uint64((1 << int(b - a)) - 1) for a, b in zip(edges, edges[1:])]
+    parts = [(fp >> np.uint64(a)) & np.uint64((1 << int(b - a)) - 1) for a, b in zip(edges, edges[1:])]
     widths = np.diff(edges)
     for t, chosen in enumerate(combinations(range(blocks), blocks - radius)):
         key = np.full(len(fp), t, np.uint64)
@@ -264,7 +259,7 @@ def fingerprint_links(fps: DataFrame, radius: int = 4, blocks: int = 7, run: int
         fp = b.column(0).to_numpy().view(np.uint64)
         if not len(fp):
             return None
-        keys = list(pivot_keys(fp, radius, blocks))
+        keys = list(block_keys(fp, radius, blocks))
         return batch(["key", "fp"], np.concatenate(keys), np.tile(fp.view(np.int64), len(keys)))
 
     rows = map_arrow(fps.select("fp").distinct(), keyed, "key long, fp long")
@@ -299,11 +294,28 @@ def near_duplicates(docs: DataFrame, radius: int = 4, blocks: int = 7, width: in
 
 
 def keep_one(docs: DataFrame, radius: int = 4, blocks: int = 7, width: int = 4) -> DataFrame:
-    """Keeps the row with the smallest doc_id of each component; the columns of `docs`.
+    """Keeps exactly one row of each component; the columns of `docs`.
 
-    Rows with a null doc_id are kept only if their component has no doc_id at all, one of them then.
+    It is the row with the smallest doc_id, nulls last, then the least hash of the text, then any of equal rows. Texts
+    alone decide: rows of equal doc_id and unlike texts are rows of different components and both stay.
     """
-    found = near_duplicates(docs, radius, blocks, width)
-    keep = found.filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(keep, "doc_id", "left_semi")
-    return named.dropDuplicates(["doc_id"])
+    own = docs.withColumn("_key", F.xxhash64(text_or_empty()))
+    fps = materialize(_keyed_fingerprints(docs, width), "keyed")
+    comp = connected_components(fingerprint_links(fps, radius, blocks))
+    classes = fps.join(comp, fps["fp"] == comp["node"], "left").select("key", "first", F.coalesce("component", "fp").alias("class"))
+    kept = classes.groupBy("class").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "key")).alias("k"))
+    # Null doc_ids are dealt by the hash, so that the join is on plain keys and no group of equal texts lands in one task.
+    kept = kept.select(F.coalesce("k.first", "k.key").alias("_at"), F.col("k.key").alias("_key"), F.col("k.none").alias("_none"))
+    own = own.withColumn("_none", F.col("doc_id").isNull()).withColumn("_at", F.coalesce(F.col("doc_id").cast("long"), F.col("_key")))
+    return own.join(kept, ["_at", "_key", "_none"], "left_semi").dropDuplicates(["_at", "_key", "_none"]).select(*docs.columns)
+
+
+def _keyed_fingerprints(docs: DataFrame, width: int) -> DataFrame:
+    """(key, first, fp) of the distinct texts, by their hash: least doc_id and fingerprint."""
+
+    def fn(b: pa.RecordBatch) -> pa.RecordBatch:
+        fp = np.fromiter((simhash64(t, width) for t in b.column(2).to_pylist()), np.uint64, b.num_rows)
+        return batch(["key", "first", "fp"], b.column(0), b.column(1), pa.array(fp.view(np.int64)))
+
+    own = docs.select(F.xxhash64(text_or_empty()).alias("key"), F.col("doc_id").cast("long").alias("first"), text_or_empty().alias("text"))
+    return map_arrow(own, fn, "key long, first long, fp long").groupBy("key", "fp").agg(F.min("first").alias("first"))

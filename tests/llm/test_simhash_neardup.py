@@ -61,7 +61,17 @@ def test_repeated_rows_and_empty_table(spark):
     got = S.near_duplicates(df).collect()
     assert sorted((str(r.doc_id), str(r.component_id)) for r in got) == [("7", "7")] * 3 + [("None", "7"), ("None", "None")]
     assert S.near_duplicates(df.limit(0)).count() == 0
-    assert [r.doc_id for r in S.keep_one(df).collect()] == [7]
+    assert sorted(str(r.doc_id) for r in S.keep_one(df).collect()) == ["7", "None"]
+
+
+def test_keep_one_row_of_each_component(spark):
+    """Null and repeated doc_ids: each component keeps one row, unlike texts of one doc_id both stay."""
+    a, b, c, d = ("".join(f"{x}{i} " for i in range(60)) for x in "abcd")
+    rows = [(None, a), (None, a), (7, b), (7, c), (8, b), (None, c), (None, d), (9, d + " "), (3, None), (4, ""), (None, " ")]
+    df = spark.createDataFrame([(*r, "e", 1, 2) for r in rows], DOCS)
+    got = sorted((str(r.doc_id), (r.text or "").strip()) for r in S.keep_one(df).collect())
+    assert got == sorted([("None", a.strip()), ("7", b.strip()), ("7", c.strip()), ("9", d.strip()), ("3", "")])
+    assert S.keep_one(df).columns == df.columns
 
 
 def test_long_runs_are_split_and_lose_no_link(spark):
