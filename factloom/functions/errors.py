@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -11,14 +12,10 @@ from pyspark.sql import functions as F
 
 RETRYABLE = ("RATE_LIMIT", "TIMEOUT", "MODEL_UNAVAILABLE")
 DASHBOARD_RETRYABLE = (*RETRYABLE, "INVALID_JSON", "CONTEXT_LENGTH_EXCEEDED")
-#: Marks of each class, tested in this order.
-MARKS = (
-    ("CONTEXT_LENGTH_EXCEEDED", ("context length", "context_length", "maximum context", "too many tokens")),
-    ("RATE_LIMIT", ("rate limit", "rate_limit", "429", "too many requests")),
-    ("TIMEOUT", ("timeout", "timed out")),
-    ("INVALID_JSON", ("json", "decode")),
-    ("MODEL_UNAVAILABLE", ("connection", "unavailable", "refused", "503", "502")),
-)
+# What in a message tells its class, tested in this order.
+MARKS = (("CONTEXT_LENGTH_EXCEEDED", ("context", "length", "token")), ("RATE_LIMIT", ("rate", "429")), ("TIMEOUT", ("timeout", "timed out")))
+# Exceptions whose type alone tells the class.
+KINDS = (("TIMEOUT", ("TimeoutException", "ConnectTimeout", "ReadTimeout", "WriteTimeout", "PoolTimeout")), ("MODEL_UNAVAILABLE", ("ConnectError",)), ("INVALID_JSON", ("ValueError", "KeyError", "TypeError", "JSONDecodeError")))
 
 
 def http_class(code: Column) -> Column:
@@ -26,15 +23,29 @@ def http_class(code: Column) -> Column:
     return F.when(code == 429, "RATE_LIMIT").when(code >= 500, "MODEL_UNAVAILABLE").otherwise("UNKNOWN")
 
 
-def error_class(message: Column) -> Column:
-    """ERR-02."""
+def error_class(message: Column, kind: Column | None = None, status: Column | None = None) -> Column:
+    """ERR-02: by the HTTP status if there is one, else by the exception's type, else by its message."""
     m, out = F.lower(message), F.lit("UNKNOWN")
     for name, marks in reversed(MARKS):
-        hit = F.lit(False)
-        for mark in marks:
-            hit = hit | m.contains(mark)
-        out = F.when(hit, name).otherwise(out)
-    return out
+        out = F.when(reduce(Column.__or__, [m.contains(x) for x in marks]), name).otherwise(out)
+    for name, types in KINDS if kind is not None else ():
+        out = F.when(kind.isin(*types), name).otherwise(out)
+    return out if status is None else F.when(status.isNotNull(), http_class(status)).otherwise(out)
+
+
+def exception_class(e: BaseException) -> str:
+    """ERR-02 for an exception at hand; its base classes count."""
+    status = getattr(getattr(e, "response", None), "status_code", None)
+    if status is not None:
+        return "RATE_LIMIT" if status == 429 else "MODEL_UNAVAILABLE" if status >= 500 else "UNKNOWN"
+    bases = {t.__name__ for t in type(e).__mro__}
+    of_type = next((name for name, types in KINDS if bases & set(types)), None)
+    return of_type or next((name for name, marks in MARKS if any(x in str(e).lower() for x in marks)), "UNKNOWN")
+
+
+def backoff(attempt: int, longest: int = 30) -> int:
+    """RS-03: seconds to wait after the attempt, from 0: 1, 2, 4 ... up to the longest."""
+    return min(2**attempt, longest)
 
 
 def retryable(c: Column, dashboard: bool = False) -> Column:

@@ -8,13 +8,36 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# CJK ranges of the splitter, which count CJK punctuation and full-width forms.
-CJK = r"[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{2A700}-\x{2B73F}\x{2B740}-\x{2B81F}\x{2B820}-\x{2CEAF}\x{F900}-\x{FAFF}\x{2F800}-\x{2FA1F}\x{3000}-\x{303F}\x{FF00}-\x{FFEF}\x{3100}-\x{312F}]"
-#: The narrower ranges of entity checks.
-CJK_NAME = r"[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{F900}-\x{FAFF}\x{3040}-\x{30FF}\x{AC00}-\x{D7AF}]"
-#: Control, zero-width and byte-order characters that names should not hold.
-SUSPICIOUS = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F\x{200B}-\x{200F}\x{2028}-\x{202F}\x{2060}-\x{206F}\x{FEFF}\x{FFFD}]"
-UNITS = "元|万元|亿元|美元|人|个|年|月|日|天|小时|分钟|秒|米|公里|千米|厘米|公斤|千克|克|吨|度|倍|次|位|名|%|％|kg|km|cm|mm|m|g|MB|GB|TB|KB"
+# Code points that count as CJK for the splitter, and the fewer that do in entity names.
+CJK = (
+    r"[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{2A700}-\x{2B73F}\x{2B740}-\x{2B81F}\x{F900}-\x{FAFF}"
+    r"\x{2F800}-\x{2FA1F}\x{3000}-\x{303F}\x{FF00}-\x{FFEF}\x{2E80}-\x{2EFF}\x{31C0}-\x{31EF}]"
+)
+CJK_NAME = r"[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{2A700}-\x{2B73F}\x{2B740}-\x{2B81F}\x{F900}-\x{FAFF}]"
+# Control, replacement, zero-width and byte-order characters that names should not hold.
+SUSPICIOUS = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F\x{FFFD}\x{FFFE}\x{FFFF}\x{200B}-\x{200F}\x{FEFF}]"
+# What a number with a unit ends in.
+UNITS = "|".join((
+    "[元块角分]", "万元?", "[亿万千百]元?", "[天年月日周时分钟秒]", "[个只条件次项笔张份篇页本节章]", "[%％]", "[倍成]", "[点份股手]",
+    "ng/ml", "ng/mL", "ng/dl", "ng/L", "mmol/L", "mmol/l", "μmol/L", "pg/ml", "pg/mL", "g/L", "mg/L", "U/L", "U/ml", "mIU/L",
+    r"[×xX]10\^?\p{Nd}+/L", "kg", "g", "mg", "μg", "[mkc]?m", "[kMGT]?Hz", "[kMGT]?B", "[kMGT]?bps",
+))
+# Identity cards, phone numbers, codes, dates and times, as whole names.
+ID_CARD = r"^\p{Nd}{17}[\p{Nd}Xx]$"
+PHONE = r"^\p{Nd}{3}-?\p{Nd}{7,8}$|^\p{Nd}{4}-?\p{Nd}{7,8}$|^\p{Nd}{11}$"
+CODES = (r"^\p{Nd}{8,}$", r"^\p{Nd}{2,4}[-/]\p{Nd}{2,4}[-/]\p{Nd}{2,8}$", r"^\p{Nd}{6,}[A-Za-z]{1,3}\p{Nd}*$", r"^(?=.*\p{Nd})[A-Za-z0-9]{12,}$")
+DATES = (
+    r"^\p{Nd}{4}年(\p{Nd}{1,2}月(\p{Nd}{1,2}日?)?)?$", r"^\p{Nd}{4}-\p{Nd}{2}(-\p{Nd}{2})?$", r"^\p{Nd}{4}/\p{Nd}{1,2}(/\p{Nd}{1,2})?$",
+    r"^\p{Nd}{4}\.\p{Nd}{1,2}(\.\p{Nd}{1,2})?$", r"^\p{Nd}{1,2}:\p{Nd}{2}(:\p{Nd}{2})?$", r"^\p{Nd}+\s*[天年月日周时分钟秒]$", r"^\p{Nd}{4}$",
+)
+# Endings of Chinese names of organisations, places, people and undertakings; frequent surnames.
+NAME_ENDINGS = tuple(
+    "大学 学院 中学 小学 学校 研究院 研究所 公司 集团 中心 部门 委员会 办公室 办事处 银行 医院 图书馆 博物馆 省 市 县 区 镇 村 街道 山 河 湖 海 岛 教授 博士 老师 先生 女士 同学 "
+    "项目 计划 方案 报告 通知 办法 规定 系统 平台 模型 方法 技术 理论 工程 专业 课程 教材 论文 实验".split()
+)
+SURNAMES = frozenset(
+    "王李张刘陈杨黄赵周吴徐孙马胡朱郭何罗高林郑梁谢唐许冯宋韩邓彭曹曾田萧潘袁蔡蒋余于杜叶程魏苏吕丁任卢姚沈钟姜崔谭陆汪范金石廖贾夏韦付方白邹孟熊秦邱江尹薛闫段雷侯龙史陶黎贺顾毛郝龚邵万钱严覃武戴莫孔向汤温康"
+)
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"
 
 
@@ -76,36 +99,44 @@ def _split(text: str, pattern: str) -> list[str]:
     return [x for x in (p.strip() for p in re.split(pattern, text)) if x]
 
 
+def _levels(text: str, limit: int, splits: list) -> list[str]:
+    """Parts by the first of the splits, packed; what is still too long goes on to the next one."""
+    out: list[str] = []
+    for part in pack_parts(splits[0](text), limit):
+        if len(part) <= limit:
+            out.append(part)
+        elif len(splits) > 1:
+            out += _levels(part, limit, splits[1:])
+        else:
+            out += [part[i : i + limit] for i in range(0, len(part), limit)]
+    return out
+
+
 def chunk(text: str | None, max_chars: int = 24000, overlap: int = 500) -> list[str]:
-    """STR-08: paragraphs, then lines, sentences and hard cuts for what is too long; each chunk but the first is led by
-    the tail of the one before."""
+    """STR-08: paragraphs; what is too long by lines, then sentences, then hard cuts, packed anew at each level. A chunk is
+    led by the tail of the one before if that is longer than the overlap."""
     if not (text or "").strip():
         return []
-    out: list[str] = []
-    for part in pack_parts(_split(text, r"\n\s*\n"), max_chars):
-        if len(part) <= max_chars:
-            out.append(part)
-            continue
-        small: list[str] = []
-        for line in (x.strip() for x in part.splitlines()):
-            if not line:
-                continue
-            for s in [line] if len(line) <= max_chars else _split(line, r"(?<=[.!?。！？])\s+"):
-                small += [s] if len(s) <= max_chars else [s[i : i + max_chars] for i in range(0, len(s), max_chars)]
-        out += pack_parts(small, max_chars)
+    by_lines = lambda t: [x for x in map(str.strip, t.splitlines()) if x]
+    out = _levels(text, max_chars, [lambda t: _split(t, r"\n\s*\n"), by_lines, lambda t: _split(t, r"(?<=[.!?。！？])\s+")])
     if overlap <= 0:
         return out
-    return out[:1] + [a[-overlap:] + "\n\n" + b for a, b in zip(out, out[1:])]
+    return out[:1] + [a[-overlap:] + "\n\n" + b if len(a) > overlap else b for a, b in zip(out, out[1:])]
 
 
-def resplit(text: str) -> list[str]:
-    """STR-09: one halving, at the best boundary between a quarter and a half of the text."""
-    half, low = len(text) // 2, len(text) // 4
-    for mark in ("\n\n", "\n", "。", ". ", " "):
-        at = text.rfind(mark, low, half + len(mark))
-        if at > 0:
-            return [x for x in (text[: at + len(mark)].strip(), text[at + len(mark) :].strip()) if x]
-    return [x for x in (text[:half], text[half:]) if x]
+def resplit(text: str, depth: int = 0, deepest: int = 3) -> list[str]:
+    """STR-09: two halves, cut behind the last paragraph, else line, else sentence that ends in the second quarter; from
+    the depth `deepest` on in the middle, whatever stands there."""
+    half = len(text) // 2
+    if depth >= deepest:
+        return [text[:half], text[half:]]
+    # The boundaries, in the order they are looked for.
+    for mark in ("\n\n", "\n", ". ", "。", "! ", "？", "? "):
+        at = text.rfind(mark, 0, half)
+        if at > 0 and at > half // 2:
+            half = at + len(mark)
+            break
+    return [x for x in (text[:half].strip(), text[half:].strip()) if x]
 
 
 def chunk_udf(max_chars: int, overlap: int):
@@ -128,11 +159,11 @@ def char_entropy(c: Column) -> Column:
 
 
 def repeated_ngrams(c: Column, n: int = 2) -> Column:
-    """STR-11: share of the distinct n-grams that occur more than once."""
+    """STR-11: share of the distinct n-grams that occur more than once; 0 for texts of less than two of them."""
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (n - 1), F.lit(1))), lambda i: F.substring(c, i, F.lit(n)))
     distinct = F.array_distinct(grams)
     again = F.size(F.filter(distinct, lambda x: F.size(F.filter(grams, lambda y: y == x)) > 1))
-    return F.when(F.length(c) < n, F.lit(0.0)).otherwise(again / F.size(distinct))
+    return F.when(F.length(c) < 2 * n, F.lit(0.0)).otherwise(again / F.size(distinct))
 
 
 def has_repeated_chars(c: Column, threshold: int = 4) -> Column:
@@ -158,29 +189,38 @@ def gibberish(c: Column) -> Column:
     return F.when(trim(c) == "", F.lit(1.0)).otherwise(F.least(F.lit(1.0), score))
 
 
+def _digits(c: Column) -> Column:
+    return F.regexp_count(c, F.lit(r"\p{Nd}"))
+
+
 def numeric_dominant(c: Column) -> Column:
-    """STR-15."""
-    digits, n = F.regexp_count(c, F.lit("[0-9]")), F.length(c)
-    pure = c.rlike(r"^[-+]?[0-9][0-9,.]*[%％]?$") & (n >= 2)
-    unit = (digits / n >= 0.3) & c.rlike(rf"({UNITS})$")
-    prefix = c.rlike(r"^[0-9][0-9,.]*[^0-9]{0,6}$") & (digits >= 2)
-    return F.when(n > 0, pure | unit | prefix).otherwise(F.lit(False))
+    """STR-15: a plain number; a third of digits or nearly, and a unit; or a number with up to six characters behind it."""
+    s = trim(c)
+    bare = F.regexp_replace(s, r"""(?U)[,，\s'"]""", "")
+    number = bare.rlike(r"^[\p{Nd}.+-]+$") & (_digits(bare) / F.length(bare) >= 0.5) & (F.length(bare) >= 2)
+    measured = (_digits(s) >= F.length(s) * 0.3) & s.rlike(rf"({UNITS})$") & (_digits(s) > 0)
+    lead = r"(?U)^[-+]?\s*[\p{Nd},，.\s]+"
+    led = s.rlike(lead) & (F.length(F.regexp_replace(s, lead, "")) <= 6) & (_digits(s) >= 2)
+    return F.when(s == "", F.lit(False)).otherwise(number | measured | led)
 
 
 def is_phone(c: Column) -> Column:
-    return c.rlike(r"^1[3-9][0-9]{9}$|^\+[0-9]{1,3}[ -]?[0-9]{6,14}$|^0[0-9]{2,3}-[0-9]{7,8}$")
+    return trim(c).rlike(PHONE)
+
+
+def _any(c: Column, patterns: tuple[str, ...]) -> Column:
+    return c.rlike("|".join(f"(?:{p})" for p in patterns))
 
 
 def code_like(c: Column) -> Column:
     """STR-16."""
-    card = c.rlike(r"^[0-9]{17}[0-9Xx]$|^[0-9]{15}$")
-    coded = c.rlike(r"^[0-9]{8,}$") | c.rlike(r"^[0-9]{6,}[A-Za-z]+$") | (c.rlike(r"^[A-Za-z0-9]{12,}$") & c.rlike("[0-9]"))
-    return card | (~is_phone(c) & coded)
+    s = trim(c)
+    return s.rlike(ID_CARD) | (~is_phone(s) & _any(s, CODES))
 
 
 def date_like(c: Column) -> Column:
     """STR-17."""
-    return c.rlike(r"^[0-9]{4}[-/.年][0-9]{1,2}([-/.月][0-9]{1,2}日?)?月?$|^[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{2,4}$|^[0-9]{1,2}月[0-9]{1,2}日$|^(19|20)[0-9]{2}年?$")
+    return _any(trim(c), DATES)
 
 
 def is_literal(c: Column) -> Column:
@@ -188,9 +228,36 @@ def is_literal(c: Column) -> Column:
     return (trim(c) == "") | (~is_phone(c) & (numeric_dominant(c) | code_like(c) | date_like(c)))
 
 
+_NAME_CHAR = re.compile(re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: chr(int(m[1], 16)), CJK_NAME))
+
+
+def plausible_word(name: str, segment) -> bool:
+    """STR-19 for one name: `segment` cuts it into words. Up to two Chinese characters, a known ending or a surname before
+    two characters pass; mostly single characters, or one long word and little else, do not."""
+    own = _NAME_CHAR.findall(name)
+    if len(own) <= 2 or name.endswith(NAME_ENDINGS) or (len(own) == 3 and own[0] in SURNAMES):
+        return True
+    words = list(segment(name))
+    chinese = [w for w in words if w and all(map(_NAME_CHAR.match, w))]
+    long_words = [w for w in chinese if len(w) > 1]
+    if (len(chinese) - len(long_words)) * 2 > len(own) or (len(long_words) == 1 and len(long_words[0]) > 2):
+        return False
+    return len(own) < 4 or len(words) > 2 or len(long_words) > 1
+
+
+def word_check(segment):
+    """STR-19 over a column, with an injected segmenter (str -> words)."""
+
+    @F.pandas_udf("boolean")
+    def fn(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: plausible_word(x or "", segment))
+
+    return fn
+
+
 def string_similarity(a: Column, b: Column) -> Column:
     """STR-20, SET-06."""
-    x, y = F.lower(trim(a)), F.lower(trim(b))
+    x, y = F.lower(a), F.lower(b)
     sets = lambda c: F.array_distinct(F.filter(F.split(c, ""), lambda v: v != ""))
     shared = F.size(F.array_intersect(sets(x), sets(y))) / F.greatest(F.size(sets(x)), F.size(sets(y)), F.lit(1))
     return F.when((x == "") | (y == ""), 0.0).when(x == y, 1.0).when(x.contains(y) | y.contains(x), 0.85).otherwise(shared)

@@ -8,29 +8,35 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..plans.runtime import materialize
+from ..sources.files import IMAGES, suffix
 from . import graph, relational, updates, vector
 
 
-def flags(name: Column, degree: Column, sources: Column, ocr: Column) -> Column:
-    """QA-01: what is suspicious about an entity, as an array."""
-    g = text.gibberish(name)
+def flags(name: Column, degree: Column, sources: Column, ocr: Column, images: Column, word: Column | None = None) -> Column:
+    """QA-01: what is suspicious about an entity, as an array. `word`: whether its Chinese parts make words, if that is known."""
     n = F.length(name)
     tests = (
-        ("gibberish", g >= 0.5),
-        ("numeric", text.numeric_dominant(name)),
-        ("code", text.code_like(name)),
-        ("date", text.date_like(name)),
-        ("isolated", degree <= 1),
-        ("short", n <= 1),
-        ("long", n > 50),
-        ("ocr_only", (ocr > 0) & (ocr >= sources)),
+        ("too_short", n <= 1),
+        ("too_long", n > 15),
+        ("gibberish", text.gibberish(name) >= 0.3),
+        ("not_a_word", F.lit(False) if word is None else name.rlike(text.CJK_NAME) & ~word),
+        ("isolated", degree == 0),
+        ("ocr_only", (ocr > 0) & (ocr == sources)),
+        ("image_source", (sources > 0) & (images == sources)),
+        ("numeric_dominant", text.numeric_dominant(name)),
+        ("looks_like_code", text.code_like(name)),
+        ("looks_like_date", text.date_like(name)),
     )
     return F.array_compact(F.array(*[F.when(t, F.lit(f)) for f, t in tests]))
 
 
-def check(entities: DataFrame) -> DataFrame:
-    """QA-01: entities(name, degree, sources, ocr) with flags, score and verdict (two flags or more)."""
-    out = entities.withColumns({"flags": flags(F.col("name"), F.col("degree"), F.col("sources"), F.col("ocr")), "score": text.gibberish(F.col("name"))})
+def check(entities: DataFrame, segment: Callable[[str], list[str]] | None = None) -> DataFrame:
+    """QA-01: entities(name, degree, sources, ocr, images) with flags, score and verdict: suspect with two flags or more.
+    `segment` cuts Chinese names into words; without it all of them pass."""
+    word = text.word_check(segment)(F.col("name")) if segment else None
+    own = [F.col(c) for c in ("name", "degree", "sources", "ocr", "images")]
+    out = entities.withColumns({"flags": flags(*own, word), "score": text.gibberish(F.col("name"))})
     return out.withColumn("suspect", F.size("flags") >= 2)
 
 
@@ -45,12 +51,12 @@ def flag_stats(checked: DataFrame) -> DataFrame:
 
 
 def entity_table(facts: DataFrame, files: DataFrame) -> DataFrame:
-    """QA-03: name, degree, number of sources, number of OCR sources."""
+    """QA-03: name, degree, and the numbers of its files, of those read by OCR and of images among them."""
     deg = graph.degrees(graph.build_edges(facts))
     named = facts.filter("status = 'active'").select("file_id", F.explode(F.array("subject", "object")).alias("name")).distinct()
-    ocr = files.select(F.col("id").alias("file_id"), F.col("error_msg").ilike("%OCR%").alias("o"))
-    src = named.join(ocr, "file_id").groupBy("name").agg(F.count("*").alias("sources"), F.count_if("o").alias("ocr"))
-    return graph.nodes(facts).join(deg, "name", "left").join(src, "name", "left").fillna(0, ["degree", "sources", "ocr"])
+    known = files.select(F.col("id").alias("file_id"), F.col("error_msg").ilike("%OCR%").alias("o"), suffix(F.col("path")).isin(*IMAGES).alias("i"))
+    src = named.join(known, "file_id").groupBy("name").agg(F.count("*").alias("sources"), F.count_if("o").alias("ocr"), F.count_if("i").alias("images"))
+    return graph.nodes(facts).join(deg, "name", "left").join(src, "name", "left").fillna(0, ["degree", "sources", "ocr", "images"])
 
 
 def suspect_proposals(facts: DataFrame, files: DataFrame, proposals: DataFrame) -> DataFrame:
@@ -62,16 +68,15 @@ def suspect_proposals(facts: DataFrame, files: DataFrame, proposals: DataFrame)
 def merge_candidates(entities: DataFrame, similarity: float = 0.8, string_least: float = 0.4, most: int | None = 100) -> DataFrame:
     """ER-01, JOIN-11, SET-07, TOPK-08: entities(name, embedding) -> (entity_a, entity_b, similarity).
 
-    A string similarity of 0.4 needs a shared character: pairs meet by their characters, in an equi-join, and the dot
-    product is taken in a later step, only for pairs that pass on strings. The cap is the feature's own.
+    Pairs come from the vectors, tile by tile, and few pass their threshold; strings are compared last. The cap, by
+    name, is the feature's own.
     """
     own = entities.filter(~text.numeric_dominant(F.col("name")) & ~text.code_like(F.col("name")) & (text.gibberish(F.col("name")) < 0.5))
-    chars = own.select("name", F.explode(F.array_distinct(F.filter(F.split(F.lower("name"), ""), lambda c: c != ""))).alias("c"))
-    met = chars.alias("a").join(chars.alias("b"), (F.col("a.c") == F.col("b.c")) & (F.col("a.name") < F.col("b.name"))).select(F.col("a.name").alias("entity_a"), F.col("b.name").alias("entity_b")).distinct()
-    near = met.filter(text.string_similarity(F.col("entity_a"), F.col("entity_b")) >= string_least)
-    v = lambda p: own.select(F.col("name").alias(f"entity_{p}"), vector.normalised(F.col("embedding")).alias(f"v{p}"))
-    both = near.join(v("a"), "entity_a").join(v("b"), "entity_b").withColumn("similarity", vector.dot(F.col("va"), F.col("vb"))).filter(F.col("similarity") >= similarity)
-    out = both.select("entity_a", "entity_b", "similarity")
+    named = materialize(own.select("name", F.xxhash64("name").alias("fact_id"), "embedding").dropDuplicates(["name"]), "names")
+    pairs = vector.similar_pairs(named, similarity, strict=False)
+    of = lambda p: named.select(F.col("fact_id").alias(p), F.col("name").alias(f"n{p}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b").select(F.least("na", "nb").alias("entity_a"), F.greatest("na", "nb").alias("entity_b"), F.col("cosine").alias("similarity"))
+    out = both.filter(text.string_similarity(F.col("entity_a"), F.col("entity_b")) >= string_least)
     if most:
         out = out.orderBy("entity_a", "entity_b").limit(most)
     return out.orderBy(F.desc("similarity"), "entity_a", "entity_b")
@@ -101,18 +106,22 @@ def apply_merges(facts: DataFrame, triaged: DataFrame) -> DataFrame:
     return updates.map_names(facts, names)
 
 
-def allocate(cited: DataFrame, total: float, mode: str = "relevance", by: str | None = None) -> DataFrame:
+def allocate(cited: DataFrame, total: float, mode: str = "relevance", by: str | None = None, order: str = "fact_id") -> DataFrame:
     """FB-01, WIN-04: cited(fact_id, similarity_score) with its delta: equal shares, or proportional ones rounded to 4
-    places, the last row taking the rest."""
+    places, the last row by `order` taking the rest. A missing score counts as 1. `by`: the answer that cites the rows;
+    without it all of them are one answer's, which is a short list."""
     part = Window.partitionBy(by or F.lit(0))
-    every, before = part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), part.orderBy(F.desc("similarity_score"), "fact_id")
-    n, s = F.count("*").over(every), F.sum("similarity_score").over(every)
+    every, before = part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), part.orderBy(order, "fact_id")
+    n = F.count("*").over(every)
     if mode == "uniform":
         return cited.withColumn("delta", F.lit(float(total)) / n)
-    share = F.when(s > 0, F.round(total * F.col("similarity_score") / s, 4)).otherwise(F.round(total / n, 4))
+    signal = F.coalesce("similarity_score", F.lit(1.0))
+    s = F.sum(signal).over(every)
+    share = F.round(abs(total) * signal / F.when(s == 0, F.lit(1.0)).otherwise(s), 4)
     given = cited.withColumns({"_share": share, "_n": n, "_i": F.row_number().over(before)})
     used = F.coalesce(F.sum("_share").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return given.withColumn("delta", F.when(F.col("_i") == F.col("_n"), total - used).otherwise(F.col("_share"))).drop("_share", "_n", "_i")
+    sign = 1.0 if total > 0 else -1.0
+    return given.withColumn("delta", sign * F.when(F.col("_i") == F.col("_n"), abs(total) - used).otherwise(F.col("_share"))).drop("_share", "_n", "_i")
 
 
 def fold_votes(votes: DataFrame, start: DataFrame | None = None) -> DataFrame:

@@ -74,6 +74,11 @@ def merge_nodes(edges: DataFrame, old: str, new: str) -> DataFrame:
     return kept.select(F.col("_s").alias("src"), F.col("_d").alias("dst"), "predicate", "fact_id", "confidence")
 
 
+def rewired(edges: DataFrame, old: str) -> DataFrame:
+    """GR-05: how many edges `merge_nodes` takes from the old node."""
+    return edges.filter((F.col("src") == old) | (F.col("dst") == old)).agg(F.count("*").alias("n"))
+
+
 def explore(edges: DataFrame, query: str, hops: int = 1) -> tuple[DataFrame, DataFrame] | None:
     """GR-07: the shortest of the ten best matches, expanded by 1..3 hops."""
     best = search_nodes(edges, query, 10).orderBy(F.length("name"), "name").first()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,11 +36,26 @@ def due(failed: DataFrame, now, limit: int = 10) -> DataFrame:
     return ready.orderBy("created_at", "id").limit(limit)
 
 
-def proposals_by(proposals: DataFrame, status: str | None = None, kind: str | None = None) -> DataFrame:
-    """FLT-11, FLT-12, TOPK-11."""
-    if status:
-        proposals = proposals.filter(F.col("status") == status)
-    return proposals.filter(F.col("proposal_type") == kind) if kind else proposals
+def proposals_by(proposals: DataFrame, status: str | None = "proposed", kind: str | None = None) -> DataFrame:
+    """FLT-11, TOPK-11: proposals of a status, the open ones if none is named, the surest first."""
+    out = proposals.filter(F.col("status") == status)
+    return (out.filter(F.col("proposal_type") == kind) if kind else out).orderBy(F.desc("confidence"), "id")
+
+
+def all_proposals(proposals: DataFrame, kind: str | None = None) -> DataFrame:
+    """FLT-12: proposals of any status, the newest first."""
+    out = proposals.filter(F.col("proposal_type") == kind) if kind else proposals
+    return out.orderBy(F.desc("created_at"), F.desc("id"))
+
+
+def transcript(chat: DataFrame, kb: str, session: str) -> DataFrame:
+    """FLT-13: a session's messages in order."""
+    return chat.filter((F.col("kb_name") == kb) & (F.col("session_id") == session)).orderBy("created_at", "id")
+
+
+def directories(table: DataFrame) -> DataFrame:
+    """FLT-03: the watched directories by path."""
+    return table.orderBy("path")
 
 
 def file_filter(files: DataFrame, status: str | None = None, search: str | None = None) -> DataFrame:
@@ -54,14 +71,15 @@ def vanished(files: DataFrame, listing: DataFrame) -> DataFrame:
     return files.filter("status <> 'deleted'").join(listing.select("path").distinct(), "path", "left_anti")
 
 
-def list_files(files: DataFrame, chunks: DataFrame, facts: DataFrame, status=None, search=None, limit: int = 50, offset: int = 0, zero_facts: bool = False) -> DataFrame:
-    """JOIN-01, AGG-02, AGG-03, TOPK-04: files with their chunk and active fact counts; each side is summed before the join."""
+def list_files(files: DataFrame, chunks: DataFrame, facts: DataFrame, status=None, search=None, limit: int | None = 50, offset: int = 0, zero_facts: bool = False) -> DataFrame:
+    """JOIN-01, AGG-02, AGG-03, TOPK-04: files with their chunk and active fact counts; each side is summed before the join.
+    Without a limit all of them, in no order."""
     c = chunks.groupBy(F.col("file_id").alias("id")).agg(F.count("*").alias("chunk_count"))
     a = facts.filter("status = 'active'").groupBy(F.col("file_id").alias("id")).agg(F.count("*").alias("fact_count"))
     out = file_filter(files, status, search).join(c, "id", "left").join(a, "id", "left").fillna(0, ["chunk_count", "fact_count"])
     if zero_facts:
         out = out.filter("fact_count = 0")
-    return page(out, [F.desc_nulls_last("indexed_at"), F.desc("created_at"), "id"], limit, offset)
+    return out if limit is None else page(out, [F.desc_nulls_last("indexed_at"), F.desc("created_at"), "id"], limit, offset)
 
 
 def count_files(files: DataFrame, facts: DataFrame, zero_facts: bool = False) -> DataFrame:
@@ -104,6 +122,15 @@ def valid_entities(facts: DataFrame) -> DataFrame:
     return live.select(F.col("subject").alias("name")).union(objects).distinct()
 
 
+def counted_entities(facts: DataFrame) -> DataFrame:
+    """SET-03 with AGG-04 in one scan and one exchange: names and their occurrences; a name that is a literal stays only
+    if it is a subject somewhere."""
+    ends = F.array(F.struct(F.col("subject").alias("name"), F.lit(True).alias("subject")), F.struct(F.col("object").alias("name"), F.lit(False).alias("subject")))
+    each = facts.filter("status = 'active'").select(F.explode(ends).alias("e")).select("e.*")
+    own = each.groupBy("name").agg(F.count("*").alias("n"), F.max("subject").alias("subject"))
+    return own.filter(F.col("subject") | ~text.is_literal(F.col("name"))).select("name", "n")
+
+
 def proposal_names(proposals: DataFrame, kind: str) -> DataFrame:
     """JOIN-07, JOIN-08: names in open proposals of a kind; for merges either side, as two equi-joins' keys."""
     p = proposals.filter("status = 'proposed'").filter(F.col("proposal_type") == kind)
@@ -113,7 +140,7 @@ def proposal_names(proposals: DataFrame, kind: str) -> DataFrame:
 
 def list_entities(facts, proposals, search=None, sort_by: str = "count", descending: bool = True, page_no: int = 1, page_size: int = 50, suspect_only=False, merge_only=False) -> DataFrame:
     """QA-05, JOIN-13, TOPK-05: entities with counts and proposal badges, filtered, ordered and paged."""
-    names = valid_entities(facts)
+    names = counted_entities(facts)
     if search:
         names = names.filter(F.lower("name").contains(search.lower()))
     suspects, merges = proposal_names(proposals, "suspect"), proposal_names(proposals, "merge")
@@ -121,9 +148,8 @@ def list_entities(facts, proposals, search=None, sort_by: str = "count", descend
         names = names.join(suspects, "name", "left_semi")
     if merge_only:
         names = names.join(merges, "name", "left_semi")
-    counted = names.join(entity_counts(facts), "name")
     badge = lambda d, c: d.withColumn(c, F.lit(True))
-    out = counted.join(badge(suspects, "has_suspect"), "name", "left").join(badge(merges, "has_merge"), "name", "left").fillna(False, ["has_suspect", "has_merge"])
+    out = names.join(badge(suspects, "has_suspect"), "name", "left").join(badge(merges, "has_merge"), "name", "left").fillna(False, ["has_suspect", "has_merge"])
     first = F.col("name") if sort_by == "name" else F.col("n")
     return page(out, [first.desc() if descending else first.asc(), "name"], page_size, (page_no - 1) * page_size)
 
@@ -160,6 +186,13 @@ def counts(files: DataFrame, facts: DataFrame, chunks: DataFrame) -> DataFrame:
     return n(files, "files").crossJoin(n(facts.filter("status = 'active'"), "facts")).crossJoin(n(chunks.filter("status = 'done'"), "chunks_done"))
 
 
+def status(files: DataFrame, facts: DataFrame, chunks: DataFrame, edges: DataFrame, vectors: DataFrame, runs: DataFrame) -> DataFrame:
+    """AGG-16: the totals with those of the graph and the vectors, and the last run's status."""
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("name"))
+    rest = (ends.agg(F.count_distinct("name").alias("nodes")), edges.agg(F.count("*").alias("edges")), vectors.agg(F.count("*").alias("vectors")), runs.agg(F.max_by("status", "id").alias("last_run")))
+    return reduce(DataFrame.crossJoin, rest, counts(files, facts, chunks))  # one row each
+
+
 def chat_sessions(chat: DataFrame, kb: str) -> DataFrame:
     """AGG-05."""
     s = chat.filter(F.col("kb_name") == kb).groupBy("session_id")
@@ -213,6 +246,6 @@ def ranks(df: DataFrame, by: str, order: list[Column]) -> DataFrame:
 
 
 def with_overlap(chunks: DataFrame, overlap: int) -> DataFrame:
-    """WIN-02: each chunk led by the tail of the one before it."""
+    """WIN-02: each chunk led by the tail of the one before it, if that one is longer than the overlap."""
     before = F.lag("content").over(Window.partitionBy("file_id").orderBy("chunk_index"))
-    return chunks.withColumn("content", F.when(before.isNull(), F.col("content")).otherwise(F.concat(F.right(before, F.lit(overlap)), F.lit("\n\n"), F.col("content"))))
+    return chunks.withColumn("content", F.when(F.length(before) > overlap, F.concat(F.right(before, F.lit(overlap)), F.lit("\n\n"), F.col("content"))).otherwise(F.col("content")))

@@ -28,11 +28,13 @@ def fuse(vec: DataFrame, fts: DataFrame, graph: DataFrame | None, scores: DataFr
 
 
 def context(hydrated: DataFrame, most: int = 8) -> DataFrame:
-    """RET-03: one block of text of the best facts."""
+    """RET-03: one block of text of the best facts: title or triple, file, evidence, and the description if there is one."""
     best = hydrated.orderBy(F.desc("score"), "fact_id").limit(most)
-    triple = F.concat_ws(" ", "subject", "predicate", "object")
-    line = F.concat(F.lit("- "), triple, F.lit(" ("), F.coalesce("path", F.lit("unknown")), F.lit(")"))
-    ranked = best.select(F.struct((-F.col("score")).alias("s"), "fact_id", line.alias("l")).alias("x"))
+    blank = lambda c: F.coalesce(F.col(c), F.lit(""))
+    title = F.when(blank("title") != "", F.col("title")).otherwise(F.concat_ws(" ", "subject", "predicate", "object"))
+    lines = [F.format_string("[Fact %d] %s\n", "fact_id", title), F.concat(F.lit("  Source: "), blank("path"), F.lit("\n")), F.concat(F.lit("  Evidence: "), blank("evidence_span"), F.lit("\n"))]
+    told = F.concat(*lines, F.when(blank("description") != "", F.concat(F.lit("  Description: "), F.col("description"), F.lit("\n"))).otherwise(""))
+    ranked = best.select(F.struct((-F.col("score")).alias("s"), "fact_id", told.alias("l")).alias("x"))
     return ranked.agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["l"]), "\n").alias("context"))
 
 
@@ -59,16 +61,34 @@ def boost(facts: DataFrame, topics: list[str]) -> DataFrame:
     return facts.withColumn("boost", F.least(F.lit(2.0), 1.0 + 0.05 * shared))
 
 
-def ask(question: str, facts: DataFrame, files: DataFrame, vectors: DataFrame, embed: Callable[[list[str]], list[list[float]]], answer: Callable[[str, str], str] | None = None, top_k: int = 20, fts_k: int = 10) -> dict:
-    """RET-02, RET-07: the question pipeline. Only the bounded top rows reach the driver."""
+def near_facts(edges: DataFrame, names: DataFrame) -> DataFrame:
+    """GR-04 for several entities: the facts of their edges, at distance 1, for the graph's list of the fusion."""
+    ends = edges.select("fact_id", F.explode(F.array("src", "dst")).alias("name"))
+    return ends.join(F.broadcast(names.select("name")), "name", "left_semi").select("fact_id").distinct().withColumn("distance", F.lit(1))
+
+
+def with_history(question: str, history: list[dict], most: int = 6) -> str:
+    """RET-07: the last messages (role, content) before the question."""
+    told = [f"{m['role']}: {m['content']}" for m in history[-most:]]
+    return "\n".join([*told, question])
+
+
+def ask(
+    question: str, facts: DataFrame, files: DataFrame, vectors: DataFrame, embed: Callable[[list[str]], list[list[float]]], answer: Callable[[str, str], str] | None = None,
+    top_k: int = 20, fts_k: int = 10, edges: DataFrame | None = None, history: list[dict] | None = None,
+) -> dict:
+    """RET-02, RET-07: the question pipeline. Vectors and full text find facts, the graph adds those around their entities
+    if `edges` are given, and the fused best are the context. Only the bounded top rows reach the driver."""
     if not question.strip():
         return {"answer": "Please enter a question.", "sources": [], "related": [], "count": 0}
     vec = vector.search(vectors, embed([question])[0], 2 * top_k)
     fts = fulltext.search(facts, "id", question, fts_k).withColumnRenamed("id", "fact_id")
-    ranked = fuse(vec, fts, None, facts.select(F.col("id").alias("fact_id"), "user_score"), limit=30)
-    rows = relational.hydrate(ranked, facts, files)
+    scores = facts.select(F.col("id").alias("fact_id"), "user_score")
+    graph = None if edges is None else near_facts(edges, seeds(relational.hydrate(fuse(vec, fts, None, scores, limit=30), facts, files)))
+    rows = relational.hydrate(fuse(vec, fts, graph, scores, limit=30), facts, files)
     text = context(rows).first()["context"]
     if not text:
-        return {"answer": "The knowledge base does not contain this.", "sources": [], "related": [], "count": 0}
+        return {"answer": "The knowledge base does not contain information about this.", "sources": [], "related": [], "count": 0}
     found = related(rows).collect()
-    return {"answer": answer(question, text) if answer else text, "sources": [r.asDict() for r in sources(rows).collect()], "related": [r.asDict() for r in found], "count": len(found)}
+    said = answer(with_history(question, history or []), text) if answer else text
+    return {"answer": said, "sources": [r.asDict() for r in sources(rows).collect()], "related": [r.asDict() for r in found], "count": len(found)}

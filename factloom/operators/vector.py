@@ -38,15 +38,45 @@ def without(vectors: DataFrame, ids: DataFrame) -> DataFrame:
     return vectors.join(ids.select("fact_id").distinct(), "fact_id", "left_anti")
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, block: str | None = None) -> DataFrame:
-    """VEC-04, JOIN-12: pairs a < b above a cosine, within a batch key if there is one."""
-    own = vectors.select("fact_id", *([block] if block else []), normalised(F.col("embedding")).alias("v"))
-    a, b = own.alias("a"), own.alias("b")
-    on = F.col("a.fact_id") < F.col("b.fact_id")
-    if block:
-        on = on & (F.col(f"a.{block}") == F.col(f"b.{block}"))
-    cos = dot(F.col("a.v"), F.col("b.v"))
-    return a.join(b, on & (cos > threshold)).select(F.col("a.fact_id").alias("a"), F.col("b.fact_id").alias("b"), cos.alias("cosine"))
+#: Vectors of a tile of the pair matrix.
+TILE = 512
+
+
+def search_for(vectors: DataFrame, query: DataFrame, k: int = 20) -> DataFrame:
+    """VEC-01 for the one row (embedding) of `query`, in one job: the row is crossed in, a single row on one side."""
+    one = F.broadcast(query.select(F.col("embedding").alias("_q")).limit(1))
+    met = vectors.crossJoin(one).filter(F.size("embedding") == F.size("_q"))
+    return met.select("fact_id", dot(F.col("embedding"), F.col("_q")).alias("score")).orderBy(F.desc("score"), "fact_id").limit(k)
+
+
+def similar_pairs(vectors: DataFrame, threshold: float, block: str | None = None, strict: bool = True) -> DataFrame:
+    """VEC-04, JOIN-12: (a, b, cosine), a < b, above a cosine (or at it, if not `strict`), within a batch key if there is
+    one, of vectors of one length.
+
+    The rows of a block are dealt into tiles of about `TILE` rows, and each pair of tiles is one task's matrix product, so
+    no task holds more than two tiles, however large a block is.
+    """
+    own = vectors.select("fact_id", (F.col(block) if block else F.lit(0)).alias("_b"), "embedding").filter("embedding IS NOT NULL AND fact_id IS NOT NULL")
+    own = own.withColumn("_d", F.size("embedding"))
+    tiles = own.groupBy("_b", "_d").agg(F.ceil(F.count("*") / TILE).cast("int").alias("_t"))
+    dealt = own.join(tiles, ["_b", "_d"]).withColumn("_i", F.pmod(F.xxhash64("fact_id"), F.col("_t")).cast("int"))
+    sent = dealt.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_t") - 1)))
+    sent = sent.select("_b", "_d", F.least("_i", "_j").alias("_x"), F.greatest("_i", "_j").alias("_y"), (F.col("_i") > F.col("_j")).alias("_right"), "fact_id", "embedding")
+
+    def product(g: pd.DataFrame) -> pd.DataFrame:
+        v = np.array(g["embedding"].tolist(), np.float64).reshape(len(g), -1)
+        n = np.linalg.norm(v, axis=1, keepdims=True)
+        v, ids = np.divide(v, n, out=v, where=n > 0), g["fact_id"].to_numpy()
+        one = g["_x"].iloc[0] == g["_y"].iloc[0]
+        left = np.ones(len(g), bool) if one else ~g["_right"].to_numpy(bool)
+        right = left if one else ~left
+        cos = v[left] @ v[right].T
+        hit = (cos > threshold if strict else cos >= threshold) & ((ids[left][:, None] < ids[right][None, :]) if one else (ids[left][:, None] != ids[right][None, :]))
+        i, j = np.nonzero(hit)
+        p, q = ids[left][i], ids[right][j]
+        return pd.DataFrame({"a": np.minimum(p, q), "b": np.maximum(p, q), "cosine": cos[i, j]})
+
+    return sent.groupBy("_b", "_d", "_x", "_y").applyInPandas(product, "a long, b long, cosine double")
 
 
 def greedy(ids: list, confidence: list, pairs: set) -> list:

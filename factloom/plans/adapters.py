@@ -7,6 +7,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Eight kinds of files, by doc_id.
+_SUFFIX = "CASE abs(doc_id) % 8 WHEN 0 THEN '.md' WHEN 1 THEN '.txt' WHEN 2 THEN '.py' WHEN 3 THEN '.csv' WHEN 4 THEN '.html' WHEN 5 THEN '.png' WHEN 6 THEN '.PDF' ELSE '.xyz' END"
 _STATUS = "CASE {0} % 7 WHEN 0 THEN 'pending' WHEN 4 THEN 'failed' WHEN 5 THEN 'deleted' WHEN 6 THEN 'processing' ELSE 'done' END"
 _FACTS = """
 SELECT cast(n_nationkey AS BIGINT) AS id, n_name AS subject, 'in_region' AS predicate, r_name AS object FROM nation JOIN region ON n_regionkey = r_regionkey
@@ -16,12 +18,13 @@ UNION ALL SELECT 20000000 + o_orderkey, concat('Order ', cast(o_orderkey AS STRI
 UNION ALL SELECT 60000000 + o_orderkey, concat('Order ', cast(o_orderkey AS STRING)), 'placed_on', substr(cast(o_orderdate AS STRING), 1, 10) FROM orders
 """
 _VIEWS = {
-    "files": "SELECT doc_id AS id, doc_id % 5 AS directory_id, concat('/kb/', source, '/', cast(doc_id AS STRING), '.md') AS path, sha256 AS sha256, "
+    "files": "SELECT doc_id AS id, doc_id % 5 AS directory_id, concat('/kb/', source, '/', cast(doc_id AS STRING), " + _SUFFIX + ") AS path, sha256 AS sha256, "
     + _STATUS.format("doc_id")
     + " AS status, CASE WHEN doc_id % 7 = 4 THEN CASE WHEN doc_id % 2 = 0 THEN 'ocr used' ELSE 'parse error' END END AS error_msg, file_size, "
     "CASE WHEN doc_id % 7 IN (1, 2, 3) THEN doc_id * 60 END AS indexed_at, doc_id * 30 AS created_at, cast(doc_id % 5 AS INT) AS retry_count FROM hashed",
     "facts": "SELECT id, id % 997 AS file_id, id AS chunk_id, subject, predicate, object, cast(30 + id % 70 AS INT) AS confidence, "
-    "cast(0.5 + (id % 4) * 0.5 AS DOUBLE) AS user_score, CASE WHEN id % 11 = 0 THEN 'deleted' ELSE 'active' END AS status FROM triples",
+    "CASE id % 3 WHEN 0 THEN concat(subject, ' and ', object) ELSE '' END AS title, CASE id % 4 WHEN 0 THEN concat('Recorded in row ', cast(id AS STRING)) ELSE '' END AS description, "
+    "concat(subject, ' ', predicate, ' ', object) AS evidence_span, cast(0.5 + (id % 4) * 0.5 AS DOUBLE) AS user_score, CASE WHEN id % 11 = 0 THEN 'deleted' ELSE 'active' END AS status FROM triples",
     "failed_chunks": "SELECT event_id AS id, event_id * 3 AS chunk_id, event_id % 997 AS file_id, CASE event_id % 6 WHEN 0 THEN 'CONTEXT_LENGTH_EXCEEDED' WHEN 1 THEN 'RATE_LIMIT' "
     "WHEN 2 THEN 'TIMEOUT' WHEN 3 THEN 'INVALID_JSON' WHEN 4 THEN 'MODEL_UNAVAILABLE' ELSE 'UNKNOWN' END AS error_class, props AS error_msg, cast(event_id % 4 AS INT) AS retry_count, "
     "CASE WHEN event_id % 3 > 0 THEN event_id % 1000 END AS next_retry_at, CASE event_id % 5 WHEN 0 THEN 'done' WHEN 1 THEN 'skipped' ELSE 'pending' END AS status, "
@@ -31,10 +34,10 @@ _VIEWS = {
     "feedback": "SELECT event_id AS id, event_id % 5000 AS fact_id, CASE event_type WHEN 'error' THEN 'negative' ELSE 'positive' END AS feedback_type, user_id FROM events "
     "WHERE event_type IN ('purchase', 'signup', 'error')",
     "proposals": "SELECT s_suppkey AS id, s_name AS entity_a, concat(s_name, ' Ltd') AS entity_b, cast((s_suppkey % 100) / 100.0 AS DOUBLE) AS confidence, "
-    "CASE s_suppkey % 4 WHEN 0 THEN 'approved' WHEN 1 THEN 'rejected' ELSE 'proposed' END AS status, CASE WHEN s_suppkey % 3 = 0 THEN 'suspect' ELSE 'merge' END AS proposal_type FROM supplier",
+    "CASE s_suppkey % 4 WHEN 0 THEN 'approved' WHEN 1 THEN 'rejected' ELSE 'proposed' END AS status, cast(s_suppkey % 17 AS BIGINT) AS created_at, CASE WHEN s_suppkey % 3 = 0 THEN 'suspect' ELSE 'merge' END AS proposal_type FROM supplier",
     "runs": "SELECT cast(n_nationkey AS BIGINT) AS id, CASE n_nationkey % 4 WHEN 0 THEN 'running' WHEN 1 THEN 'cancelled' ELSE 'completed' END AS status, n_nationkey * 10 AS files_total, "
     "n_nationkey % 3 AS stop_requested FROM nation",
-    "previous": "SELECT doc_id AS id, concat('/kb/', source, '/', cast(CASE WHEN doc_id % 13 = 0 THEN -doc_id - 1 ELSE doc_id END AS STRING), '.md') AS path, "
+    "previous": "SELECT doc_id AS id, concat('/kb/', source, '/', cast(CASE WHEN doc_id % 13 = 0 THEN -doc_id - 1 ELSE doc_id END AS STRING), " + _SUFFIX + ") AS path, "
     "CASE WHEN doc_id % 9 = 0 THEN 'old' ELSE sha256 END AS sha256 FROM hashed",
 }
 

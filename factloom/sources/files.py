@@ -12,12 +12,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Suffixes by the way a file is read.
-TEXT = (".txt", ".md", ".rst", ".log", ".yaml", ".yml", ".toml", ".ini", ".cfg")
-CODE = (".py", ".js", ".ts", ".java", ".go", ".rs", ".c", ".cpp", ".h", ".rb", ".sh", ".sql")
-DATA = (".csv", ".json")
+TEXT = (".md", ".txt", ".rst", ".log", ".yaml", ".yml", ".toml", ".cfg")
 WEB = (".html", ".htm")
-EXTERNAL = (".pdf", ".docx", ".pptx", ".xlsx", ".doc", ".ppt", ".xls", ".png", ".jpg", ".jpeg")
-SUPPORTED = (*TEXT, *CODE, *DATA, *WEB, *EXTERNAL)
+OFFICE = (".docx", ".xlsx", ".pptx", ".doc", ".ppt", ".xls")
+CODE = (".py", ".js", ".ts", ".go", ".rs", ".java", ".c", ".h", ".cpp", ".hpp")
+IMAGES = (".jpg", ".jpeg", ".png", ".tiff", ".bmp", ".gif", ".webp")
+DATA = (".csv", ".json")
+PDF = ".pdf"
+EXTERNAL = (*OFFICE, *IMAGES, PDF)
+SUPPORTED = (*TEXT, *WEB, *CODE, *DATA, *EXTERNAL)
 MAX_BYTES = 50 << 20
 
 
@@ -56,10 +59,10 @@ def route(path: Column, size: Column) -> Column:
     return out.otherwise("unsupported")
 
 
-def needs_ocr(text: Column, size: Column, image: Column) -> Column:
-    """SRC-11: too little text, alone or for the size of a page image."""
-    n = F.length(F.regexp_replace(text, r"\s+", ""))
-    return (n < 200) | (image & (size > (1 << 20)) & (n * 1024.0 / size < 10))
+def needs_ocr(text: Column, size: Column, path: Column) -> Column:
+    """SRC-11: under 200 letters, digits and inner blanks; or, in a PDF or image over 1 MB, under 10 of them a KB."""
+    n = F.length(F.regexp_replace(F.regexp_replace(text, r"(?U)[^\p{L}\p{N}\s]", ""), r"(?U)^\s+|\s+$", ""))
+    return (n < 200) | (suffix(path).isin(PDF, *IMAGES) & (size / 1024 > 1024) & (n / (size / 1024) < 10))
 
 
 def with_ocr(text: Column, ocr: Column) -> Column:
@@ -76,42 +79,54 @@ def html_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(t, r"\s+", " "))
 
 
-#: Lines of a source file that tell what it declares.
-DECLARES = r"^\s*(import |from |#include|package |use |export |class |struct |interface |enum |trait |impl |def |fn |func |function |public |private |protected |const |let |var |//|#|/\*|\*)"
+# How lines begin that tell what a source file declares, blanks before them aside, and lines that hold a
+# one-line documentation comment.
+DECLARES = r"^(?:(?:import|from|require|#include|use|package|func|fn|function|def|class|interface|type|struct|enum)\s|//|/\*\*.*\*/|#)"
 
 
 def code_outline(text: Column) -> Column:
-    """SRC-15."""
-    return F.array_join(F.filter(F.slice(F.split(text, "\n"), 1, 500), lambda x: x.rlike(DECLARES)), "\n")
+    """SRC-15: of the first 500 lines those that declare, import or comment."""
+    return F.array_join(F.filter(F.slice(F.split(text, r"\r\n|\r|\n"), 1, 500), lambda x: F.trim(x, F.lit(" \t\x0b\x0c")).rlike(DECLARES)), "\n")
+
+
+def _signature(f: ast.FunctionDef) -> str:
+    """Decorators, name, plain arguments, result and docstring; three dots stand for a body that has none."""
+    args = ", ".join(a.arg + (f": {ast.unparse(a.annotation)}" if a.annotation else "") for a in f.args.args)
+    head = [f"@{ast.unparse(d)}" for d in f.decorator_list] + [f"def {f.name}({args})" + (f" -> {ast.unparse(f.returns)}" if f.returns else "") + ":"]
+    doc = ast.get_docstring(f)
+    return "\n".join(head) + (f'\n    """{doc}"""' if doc else " ...")
 
 
 def python_outline(source: str) -> str:
-    """SRC-14: imports, signatures and docstrings, no bodies; at a syntax error the first 200 lines."""
+    """SRC-14: imports, functions and classes with their docstrings, outermost first; a class also lists its methods, which
+    come again on their own. At a syntax error the first 200 lines."""
     try:
         tree = ast.parse(source)
     except (SyntaxError, ValueError):
         return "\n".join(source.splitlines()[:200])
-    out = [ast.get_docstring(tree)] if tree.body and ast.get_docstring(tree) else []
+    doc = ast.get_docstring(tree, clean=False)
+    out = [] if doc is None else [f'""" {doc} """']
     for node in ast.walk(tree):
-        if isinstance(node, ast.Import | ast.ImportFrom):
-            out.append(ast.unparse(node))
-        elif isinstance(node, ast.ClassDef):
-            out.append(f"class {node.name}({', '.join(map(ast.unparse, node.bases))})")
-        elif isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef):
-            out.append(f"def {node.name}({ast.unparse(node.args)})")
-        else:
-            continue
-        if isinstance(node, ast.ClassDef | ast.FunctionDef | ast.AsyncFunctionDef) and ast.get_docstring(node):
-            out.append(ast.get_docstring(node))
+        match node:
+            case ast.Import() | ast.ImportFrom():
+                out.append(ast.unparse(node))
+            case ast.FunctionDef():
+                out.append(_signature(node))
+            case ast.ClassDef():
+                bases = ", ".join(map(ast.unparse, node.bases))
+                out.append(f"\nclass {node.name}" + (f"({bases})" if bases else "") + ":")
+                out += [f'    """{d}"""' for d in [ast.get_docstring(node)] if d]
+                out += ["    " + _signature(x) for x in node.body if isinstance(x, ast.FunctionDef)]
     return "\n".join(out)
 
 
-def csv_summary(text: str) -> str:
-    """SRC-16."""
+def csv_summary(text: str, name: str = "") -> str:
+    """SRC-16: name, columns, number of rows and the first ten."""
     rows = list(csv.reader(io.StringIO(text)))
     if not rows:
-        return "(empty table)"
-    return "\n".join([f"Columns: {', '.join(rows[0])}", f"Rows: {len(rows) - 1}", *[" | ".join(r) for r in rows[1:11]]])
+        return "(empty CSV)"
+    out = [f"CSV file: {name}", f"Columns ({len(rows[0])}): {', '.join(rows[0])}", f"Rows: {len(rows) - 1}"]
+    return "\n".join(out + (["\nSample (first 10 rows):"] + ["  " + " | ".join(r) for r in rows[1:11]] if rows[1:] else []))
 
 
 def json_text(text: str, most: int = 10000) -> str:
@@ -134,22 +149,22 @@ def decode(content: bytes) -> str:
 def parse(files: DataFrame, external=None) -> DataFrame:
     """SRC-06..17: (path, content, file_size, ...) with route and text. `external` reads what needs a converter or OCR
     (SRC-08..10, SRC-13): a function bytes -> text; without it such files have no text."""
-    readers = {"python": python_outline, "csv": csv_summary, "json": json_text}
+    readers = {"python": lambda t, _: python_outline(t), "csv": csv_summary, "json": lambda t, _: json_text(t)}
 
     @F.pandas_udf("string")
-    def read(how: pd.Series, content: pd.Series) -> pd.Series:
-        def one(h, c):
+    def read(how: pd.Series, content: pd.Series, path: pd.Series) -> pd.Series:
+        def one(h, c, p):
             if h in ("too_large", "unsupported") or c is None:
                 return None
             if h == "external":
                 return external(c) if external else None
             t = decode(bytes(c))
-            return readers[h](t) if h in readers else t
+            return readers[h](t, p.rpartition("/")[2]) if h in readers else t
 
-        return pd.Series([one(h, c) for h, c in zip(how, content)], dtype=object)
+        return pd.Series([one(h, c, p) for h, c, p in zip(how, content, path)], dtype=object)
 
     routed = files.withColumn("route", route(F.col("path"), F.col("file_size")))
-    raw = routed.withColumn("text", read("route", "content"))
+    raw = routed.withColumn("text", read("route", "content", "path"))
     return raw.withColumn("text", F.when(F.col("route") == "html", html_text(F.col("text"))).when(F.col("route") == "code", code_outline(F.col("text"))).otherwise(F.col("text")))
 
 
