@@ -46,3 +46,15 @@ def test_unspaced_lines_against_brute_force(spark):
                 label = [label[j] if x == label[i] else x for x in label]
     want = {i for i, c in enumerate(label) if c in label[:i]}
     assert 50 < len(want) and len(dropped ^ want) <= 1
+
+
+def test_bands_are_the_lines_of_a_plane():
+    """Any two minima share one band, and the recall at 0.8, over all ways in which minima may agree, is what is said."""
+    from itertools import combinations
+
+    assert len(set(L.BANDS)) == 12 and all(sum({a, b} <= set(x) for x in L.BANDS) == 1 for a, b in combinations(range(L.MINIMA), 2))
+    recall = 0.0
+    for n in range(L.MINIMA + 1):
+        for same in combinations(range(L.MINIMA), n):
+            recall += any(set(x) <= set(same) for x in L.BANDS) * 0.8**n * 0.2 ** (L.MINIMA - n)
+    assert 0.990 < recall < 0.991
