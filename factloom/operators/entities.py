@@ -117,7 +117,7 @@ def allocate(cited: DataFrame, total: float, mode: str = "relevance", by: str |
         return cited.withColumn("delta", F.lit(float(total)) / n)
     signal = F.coalesce("similarity_score", F.lit(1.0))
     s = F.sum(signal).over(every)
-    share = F.round(abs(total) * signal / F.when(s == 0, F.lit(1.0)).otherwise(s), 4)
+    share = F.floor(abs(total) * signal / F.when(s == 0, F.lit(1.0)).otherwise(s) * 10000 + 0.5) / 10000  # halves go up
     given = cited.withColumns({"_share": share, "_n": n, "_i": F.row_number().over(before)})
     used = F.coalesce(F.sum("_share").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     sign = 1.0 if total > 0 else -1.0

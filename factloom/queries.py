@@ -450,7 +450,7 @@ query("er_02_triage")(lambda k: entities.triage(entities.merge_candidates(_embed
 query("er_03_apply")(lambda k: entities.apply_merges(k.facts, entities.triage(entities.merge_candidates(_embedded_names(k)))).select("id", "subject", "object"))
 query(
     "fb_01_allocate",
-    "SELECT id AS fact_id, round(CASE WHEN i = n THEN 0.3 - coalesce(sum(share) OVER (PARTITION BY file_id ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) ELSE share END, 6) AS delta FROM (SELECT id, file_id, round(0.3::DOUBLE * confidence / sum(confidence::DOUBLE) OVER (PARTITION BY file_id), 4) AS share, count(*) OVER (PARTITION BY file_id) AS n, row_number() OVER (PARTITION BY file_id ORDER BY id) AS i FROM facts)",
+    "SELECT id AS fact_id, round(CASE WHEN i = n THEN 0.3 - coalesce(sum(share) OVER (PARTITION BY file_id ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) ELSE share END, 6) AS delta FROM (SELECT id, file_id, floor(0.3::DOUBLE * confidence / sum(confidence::DOUBLE) OVER (PARTITION BY file_id) * 10000 + 0.5::DOUBLE) / 10000 AS share, count(*) OVER (PARTITION BY file_id) AS n, row_number() OVER (PARTITION BY file_id ORDER BY id) AS i FROM facts)",
 )(lambda k: entities.allocate(k.facts.select(F.col("id").alias("fact_id"), "file_id", F.col("confidence").cast("double").alias("similarity_score")), 0.3, by="file_id").select("fact_id", F.round("delta", 6).alias("delta")))
 _VOTES = "SELECT fact_id, round(list_reduce(list_prepend(1.0::DOUBLE, list(CASE feedback_type WHEN 'positive' THEN 0.7::DOUBLE ELSE -0.7 END ORDER BY id)), lambda s, x: least(2.0, greatest(0.0, s + x))), 6) AS user_score FROM feedback GROUP BY 1"
 query("fb_02_votes", _VOTES)(lambda k: entities.fold_votes(k.feedback.select("fact_id", F.col("id").alias("seq"), F.when(F.col("feedback_type") == "positive", 0.7).otherwise(-0.7).alias("delta"))).select("fact_id", F.round("user_score", 6).alias("user_score")))
