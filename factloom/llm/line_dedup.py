@@ -174,7 +174,8 @@ def _ends(f: str = "key") -> list[Column]:
 def _not_ruled_out(f: DataFrame, x: DataFrame, similarity: float, apart: bool = False, probing: bool = False) -> DataFrame:
     """Pairs (a, b) of a line of `f` and one of `x` in a bucket whose sketches allow the similarity.
 
-    With `apart`, of lines of different components only, with these (ca, cb) and the sketches' differing bits d. With
+    With `apart`, of lines of different components only, once for all buckets that they share, by their `bands`, with the
+    components (ca, cb) and the sketches' differing bits d. With
     `probing`, of the lines of `x` that are not `apart` just the closest for each line of `f` in each bucket. A bucket's
     rows of `x` are dealt into parts of about `PART` lines, and its rows of `f` go to each part.
     """
@@ -182,7 +183,10 @@ def _not_ruled_out(f: DataFrame, x: DataFrame, similarity: float, apart: bool =
     left = _named(f.withColumn("part", F.explode(F.sequence(F.lit(0), parts))), "f")
     right = _named(x.withColumn("part", F.pmod(F.xxhash64("key", F.lit(3)), parts + 1).cast("int")), "x")
     other = F.col("f_c") != F.col("x_c") if apart else F.col("f_key") != F.col("x_key")
-    both = left.join(right, (F.col("f_band") == F.col("x_band")) & (F.col("f_part") == F.col("x_part")) & other & _near(similarity))
+    met = (F.col("f_band") == F.col("x_band")) & (F.col("f_part") == F.col("x_part")) & other & _near(similarity)
+    if apart:
+        met = met & (F.get(F.array_intersect("f_bands", "x_bands"), F.lit(0)) == F.col("f_band"))
+    both = left.join(right, met)
     ends = [c.alias(n) for c, n in zip(_ends(), "ab")]
     if probing:
         near = both.filter("NOT x_apart").groupBy("f_band", "f_key").agg(F.min_by("x_key", F.struct(_apart(), F.col("x_key"))).alias("x_key"))
@@ -238,6 +242,7 @@ def line_components(docs: DataFrame, sigs: DataFrame, similarity: float = SIMILA
     own = named.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
     heads = undecided.filter("key = lead").join(own, F.col("lead") == F.col("_n"), "left").select("band", F.coalesce("_c", "lead").alias("_head"))
     labelled = undecided.join(own, F.col("key") == F.col("_n"), "left").withColumn("c", F.coalesce("_c", "key")).drop("_n", "_c", "lead")
+    labelled = labelled.join(sigs.select("key", "bands"), "key")  # so that a pair is met once, in its first bucket
     labelled = materialize(labelled.join(heads, "band"), "labelled")
     more = materialize(_not_ruled_out(labelled.filter("c <> _head").drop("_head"), labelled.drop("_head"), similarity, apart=True), "rest")
     # Of the pairs between two components the closest comes first; the others matter only if it is no link.
