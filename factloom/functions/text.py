@@ -43,7 +43,8 @@ LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"
 
 def trim(c: Column) -> Column:
     """Trim of Unicode white space."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    ends = F.concat(F.left(c, F.lit(1)), F.right(c, F.lit(1)))  # most texts have nothing to trim
+    return F.when(ends.rlike(r"(?U)\s"), F.regexp_replace(c, r"(?U)^\s+|\s+$", "")).otherwise(c)
 
 
 def is_cjk(c: Column, names: bool = False) -> Column:
@@ -190,18 +191,23 @@ def gibberish(c: Column) -> Column:
 
 
 def _digits(c: Column) -> Column:
-    return F.regexp_count(c, F.lit(r"\p{Nd}"))
+    """How many digits; ASCII texts are counted without a pattern."""
+    return F.when(F.length(c) == F.octet_length(c), F.length(c) - F.length(F.translate(c, "0123456789", ""))).otherwise(F.regexp_count(c, F.lit(r"\p{Nd}")))
+
+
+#: The characters that units end in: others need no look at the units.
+UNIT_ENDS = tuple("元块角分万亿千百天年月日周时钟秒个只条件次项笔张份篇页本节章%％倍成点股手lLmgzBs")
 
 
 def numeric_dominant(c: Column) -> Column:
     """STR-15: a plain number; a third of digits or nearly, and a unit; or a number with up to six characters behind it."""
     s = trim(c)
     bare = F.regexp_replace(s, r"""(?U)[,，\s'"]""", "")
-    number = bare.rlike(r"^[\p{Nd}.+-]+$") & (_digits(bare) / F.length(bare) >= 0.5) & (F.length(bare) >= 2)
-    measured = (_digits(s) >= F.length(s) * 0.3) & s.rlike(rf"({UNITS})$") & (_digits(s) > 0)
+    number = s.rlike(r"""(?U)^[\p{Nd}.+,，\s'"-]+$""") & (_digits(bare) / F.length(bare) >= 0.5) & (F.length(bare) >= 2)
+    measured = F.right(s, F.lit(1)).isin(*UNIT_ENDS) & (_digits(s) >= F.length(s) * 0.3) & (_digits(s) > 0) & s.rlike(rf"({UNITS})$")
     lead = r"(?U)^[-+]?\s*[\p{Nd},，.\s]+"
     led = s.rlike(lead) & (F.length(F.regexp_replace(s, lead, "")) <= 6) & (_digits(s) >= 2)
-    return F.when(s == "", F.lit(False)).otherwise(number | measured | led)
+    return F.when(s == "", F.lit(False)).otherwise(F.coalesce(number, F.lit(False)) | measured | led)
 
 
 def is_phone(c: Column) -> Column:
