@@ -59,9 +59,14 @@ def characters(line: Column) -> Column:
     return F.encode(line, "UTF-32")
 
 
+def shingle_at(chars: Column, p: Column) -> Column:
+    """The hash of the shingle that starts at the p-th, from 1, of such bytes."""
+    return F.xxhash64(F.substring(chars, p, F.lit(4 * SHINGLE)))
+
+
 def shingle(chars: Column, i: Column) -> Column:
     """The hash of the i-th shingle, from 0, of such bytes."""
-    return F.xxhash64(F.substring(chars, i * 4 + 1, F.lit(4 * SHINGLE)))
+    return shingle_at(chars, i * 4 + 1)
 
 
 def last_start(chars: Column) -> Column:
@@ -72,7 +77,8 @@ def last_start(chars: Column) -> Column:
 def shingles(line: Column) -> Column:
     """The hashes of all the line's shingles, repeats included."""
     # The outer array binds the bytes to a name: a plain expression would be evaluated anew for each shingle.
-    of = lambda e: F.transform(F.sequence(F.lit(0), last_start(e)), lambda i: shingle(e, i))
+    # Its steps are bytes, as functions of arrays are interpreted and each operation in them is paid for.
+    of = lambda e: F.transform(F.sequence(F.lit(1), last_start(e) * 4 + 1, F.lit(4)), lambda p: shingle_at(e, p))
     return F.get(F.transform(F.array(characters(line)), of), F.lit(0))
 
 
