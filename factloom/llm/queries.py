@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, line_dedup, mixing, packing, pii, quality_crf, secret_scan, simhash_neardup, token_counts, topk_search
+from . import fingerprints, line_dedup, merkle, mixing, packing, pii, quality_crf, secret_scan, simhash_neardup, token_counts, topk_search
 from .common import table
 
 
@@ -50,6 +50,17 @@ def op10_nra_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    own = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    tampered = merkle.row_digest(*own[:3], own[3] + 1, own[4])
+    chosen = F.crc32(own[0].cast("string").cast("binary")) % 7 == 0
+    proven = merkle.manifest(docs, "lang", "doc_id", ["doc_id", "source", "lang", "n_chars", "text"], {"tampered": F.when(chosen, tampered)})
+    out = proven.withColumn("folded_root", merkle.fold(F.coalesce("tampered", "leaf"), F.col("proof")))
+    proof = F.sha2(merkle.siblings(F.col("proof")), 256)
+    return out.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 _ALL = (
     op1_token_counts,
     op2_simhash_pivot,
@@ -61,10 +72,12 @@ _ALL = (
     op8_secret_battery,
     op9_simhash_fingerprints,
     op10_nra_topk,
+    op11_merkle_manifest,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
 ORACLE_SQL = {
+    "op11_merkle_manifest": merkle.ORACLE,
     "op3_curriculum_mix": mixing.ORACLE,
     "op10_nra_topk": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
