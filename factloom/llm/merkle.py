@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.runtime import materialize
+from .common import CRC32_SQL
 
 #: Nodes of a run that become one parent.
 WIDTH = 2
@@ -138,10 +139,6 @@ def manifest(rows: DataFrame, group: str, order: str, values: list[str], carry:
     )
 
 
-#: CRC-32 of a decimal number, in DuckDB's words: eight shifts a byte, marked by 256, behind the byte itself.
-CRC32_SQL = """xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(string_split({0}::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, 256, 256, 256, 256, 256, 256, 256, 256]))),
-  lambda a, x: CASE WHEN x < 256 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END))"""
-
 _FIELD = "coalesce(octet_length(encode({0}::VARCHAR))::VARCHAR || ':' || {0}::VARCHAR, '-')"
 _LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "{0}", "text")) + ")"
 _FOLDED = "coalesce(s.l, '') || f.h || coalesce(s.r, '')"
