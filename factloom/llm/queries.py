@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, line_dedup, merkle, mixing, packing, period_runs, pii, quality_crf, secret_scan, simhash_neardup, token_counts, topk_search
+from . import fingerprints, line_dedup, merkle, mixing, ngram_join, packing, period_runs, pii, quality_crf, secret_scan, simhash_neardup, token_counts, topk_search
 from .common import table
 
 
@@ -61,6 +61,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op12_multi_order_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_components(table(spark, sf_dir, "documents"))
+
+
 def op13_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return period_runs.planted_runs(table(spark, sf_dir, "documents"))
 
@@ -77,11 +81,13 @@ _ALL = (
     op9_simhash_fingerprints,
     op10_nra_topk,
     op11_merkle_manifest,
+    op12_multi_order_join,
     op13_period_runs,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
 ORACLE_SQL = {
+    "op12_multi_order_join": ngram_join.ORACLE,
     "op13_period_runs": period_runs.ORACLE,
     "op11_merkle_manifest": merkle.ORACLE,
     "op3_curriculum_mix": mixing.ORACLE,
