@@ -41,6 +41,8 @@ ORDERS = 2
 _ODD = [xxhash.xxh64_intdigest(f"order {i}") | 1 for i in range(ORDERS)]
 #: Texts of a bucket that gives all its pairs; rows that one part of a larger one's comparison holds, about.
 SMALL, PART = 6, 512
+#: Texts of a large bucket, and as many outside the leader's class, that those outside it meet before they meet all.
+PROBES = 6
 #: The bitmap of shared shingles: so many parts of 32,768 bits (4 KB), 4 MB in all, whatever the size of the tables.
 BITMAP_PARTS, _BITS = 1024, 32768
 #: Words of 64 bits of a set's parity sketch.
@@ -216,23 +218,52 @@ def classes(docs: DataFrame, rows: DataFrame, width: int, percent: int) -> DataF
     named = connected_components(_edges(links))
     links, named = _link_rest(pairs.join(best, ["a", "b"], "left_anti"), named, links, members, percent)
 
-    # In large buckets, texts outside the leader's class meet all texts of other classes.
+    # In large buckets, texts outside the leader's class meet a few texts of the bucket, then all of other classes.
+    for last in (False, True):
+        labelled = _labelled(many, named)
+        apart = labelled.filter("c <> head")
+        if not apart.limit(1).count():
+            return named
+        wide = labelled.join(apart.select("h").distinct(), "h", "left_semi").join(members.select("key", "sketch"), "key")
+        wide = materialize(wide, "undecided", "uncompressed")
+        more = materialize(_met(wide, percent, last).join(pairs, ["a", "b"], "left_anti"), "more", "uncompressed")
+        pairs = pairs.union(more)
+        links, named = _link_rest(more, named, links, members, percent)
+    return named
+
+
+def _labelled(many: DataFrame, named: DataFrame) -> DataFrame:
+    """The rows of large buckets with c, a text's class, and head, its leader's."""
     own = named.select(F.col("node").alias("key"), F.col("component").alias("c"))
     labelled = many.join(own, "key", "left").withColumn("c", F.coalesce("c", "key"))
     heads = labelled.filter("key = lead").select("h", F.col("c").alias("head"))
-    labelled = materialize(labelled.join(heads, "h"), "labelled", "uncompressed")
-    apart = labelled.filter("c <> head")
-    if not apart.limit(1).count():
-        return named
-    wide = labelled.join(apart.select("h").distinct(), "h", "left_semi").join(members.select("key", "sketch"), "key")
-    parts = F.expr(f"cast(size div {PART} as int)")
-    x = wide.select("h", F.pmod(F.xxhash64("key", F.lit(3)), parts + 1).cast("int").alias("part"), F.col("key").alias("xk"), F.col("c").alias("xc"), F.col("n").alias("xn"), F.col("sketch").alias("xs"))
-    f = wide.filter("c <> head").select("h", F.explode(F.sequence(F.lit(0), parts)).alias("part"), F.col("key").alias("fk"), F.col("c").alias("fc"), F.col("n").alias("fn"), F.col("sketch").alias("fs"))
-    bits = reduce(Column.__add__, [F.bit_count(F.get("fs", F.lit(i)).bitwiseXOR(F.get("xs", F.lit(i)))) for i in range(SKETCH)])
-    near = (100 + percent) * bits <= (100 - percent) * (F.col("fn") + F.col("xn"))
-    more = f.join(x, ["h", "part"]).filter((F.col("fc") != F.col("xc")) & _sizes_fit(F.col("fn"), F.col("xn"), percent) & near)
-    more = more.select(F.least("fk", "xk").alias("a"), F.greatest("fk", "xk").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    return _link_rest(materialize(more, "more", "uncompressed"), named, links, members, percent)[1]
+    return materialize(labelled.join(heads, "h"), "labelled", "uncompressed")
+
+
+def _met(wide: DataFrame, percent: int, whole: bool) -> DataFrame:
+    """(a, b): texts outside the leader's class and texts of other classes in their bucket whose sketches allow a link.
+
+    whole: all of these, each pair in the first bucket that it shares; else `PROBES` of the bucket and of those outside.
+    """
+    held = wide
+    if whole:
+        held = wide.join(wide.groupBy("key").agg(F.sort_array(F.collect_list("h")).alias("hs")), "key")
+    else:
+        some = lambda d, seed: d.groupBy("h").agg(F.array(*[F.min_by("key", F.xxhash64("key", F.lit(seed + r))) for r in range(PROBES)]).alias("p"))
+        probes = some(wide, 100).union(some(wide.filter("c <> head"), 200)).select("h", F.explode("p").alias("key")).distinct()
+        held = wide.join(materialize(probes, "probes", "uncompressed"), ["h", "key"], "left_semi")
+    parts = F.expr(f"cast(size div {PART} as int)") if whole else F.lit(0)
+    dealt = F.pmod(F.xxhash64("key", F.lit(3)), parts + 1).cast("int") if whole else F.lit(0)
+    named = lambda d, p: d.select("h", "part", *[F.col(c).alias(f"{p}_{c}") for c in ("key", "c", "n", "sketch", *(["hs"] if whole else []))])
+    x = named(held.withColumn("part", dealt), "x")
+    own = (held if whole else wide).filter("c <> head")
+    f = named(own.withColumn("part", F.explode(F.sequence(F.lit(0), parts))), "f")
+    bits = reduce(Column.__add__, [F.bit_count(F.get("f_sketch", F.lit(i)).bitwiseXOR(F.get("x_sketch", F.lit(i)))) for i in range(SKETCH)])
+    near = (100 + percent) * bits <= (100 - percent) * (F.col("f_n") + F.col("x_n"))
+    ok = (F.col("f_c") != F.col("x_c")) & _sizes_fit(F.col("f_n"), F.col("x_n"), percent) & near
+    if whole:
+        ok = ok & (F.get(F.array_intersect("f_hs", "x_hs"), F.lit(0)) == F.col("h"))
+    return f.join(x, ["h", "part"]).filter(ok).select(F.least("f_key", "x_key").alias("a"), F.greatest("f_key", "x_key").alias("b")).distinct()
 
 
 def join_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
