@@ -7,6 +7,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .runtime import stored_path
+
 # Eight kinds of files, by doc_id.
 _SUFFIX = "CASE abs(doc_id) % 8 WHEN 0 THEN '.md' WHEN 1 THEN '.txt' WHEN 2 THEN '.py' WHEN 3 THEN '.csv' WHEN 4 THEN '.html' WHEN 5 THEN '.png' WHEN 6 THEN '.PDF' ELSE '.xyz' END"
 _STATUS = "CASE {0} % 7 WHEN 0 THEN 'pending' WHEN 4 THEN 'failed' WHEN 5 THEN 'deleted' WHEN 6 THEN 'processing' ELSE 'done' END"
@@ -17,6 +19,7 @@ UNION ALL SELECT 10000000 + s_suppkey, s_name, 'in_nation', n_name FROM supplier
 UNION ALL SELECT 20000000 + o_orderkey, concat('Order ', cast(o_orderkey AS STRING)), 'placed_by', c_name FROM orders JOIN customer ON o_custkey = c_custkey
 UNION ALL SELECT 60000000 + o_orderkey, concat('Order ', cast(o_orderkey AS STRING)), 'placed_on', substr(cast(o_orderdate AS STRING), 1, 10) FROM orders
 """
+_FACT_TABLES = ("nation", "region", "customer", "supplier", "orders")
 _VIEWS = {
     "files": "SELECT doc_id AS id, doc_id % 5 AS directory_id, concat('/kb/', source, '/', cast(doc_id AS STRING), " + _SUFFIX + ") AS path, sha256 AS sha256, "
     + _STATUS.format("doc_id")
@@ -61,17 +64,20 @@ class KnowledgeBase:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def stored(self, tag: str) -> str:
+        """Where something that is built of the facts is kept as long as their tables stay the same."""
+        return stored_path(self.spark, tag, [f"{self.sf_dir}/{n}.parquet" for n in _FACT_TABLES])
+
     @cached_property
     def hashed(self) -> DataFrame:
         return self.table("documents").select("doc_id", "source", F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("long").alias("file_size"))
 
     @cached_property
     def triples(self) -> DataFrame:
-        names = ("nation", "region", "customer", "supplier", "orders")
         q = _FACTS
-        for n in names:
+        for n in _FACT_TABLES:
             q = q.replace(f" {n} ", f" {{{n}}} ").replace(f" {n}\n", f" {{{n}}}\n")
-        return self.spark.sql(q, **{n: self.table(n) for n in names})
+        return self.spark.sql(q, **{n: self.table(n) for n in _FACT_TABLES})
 
     def _view(self, name: str, source: str, df: DataFrame) -> DataFrame:
         return self.spark.sql(_VIEWS[name].replace(f"FROM {source}", "FROM {src}"), src=df)

@@ -11,6 +11,8 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
+from hashlib import sha256
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,8 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-#: Paths written since each `scratch` block began, innermost last.
-_scopes: list[list[str]] = []
+#: Paths written since each `scratch` block of this thread or task began, innermost last.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
 def materialize(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:
@@ -35,7 +37,7 @@ def materialize(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
-    for scope in _scopes:
+    for scope in _scopes.get():
         scope.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -43,11 +45,12 @@ def materialize(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame
 @contextmanager
 def scratch() -> Iterator[list[str]]:
     """Collects the paths that `materialize` writes in the block, for `discard` once nothing reads them any more."""
-    _scopes.append([])
+    paths: list[str] = []
+    token = _scopes.set((*_scopes.get(), paths))
     try:
-        yield _scopes[-1]
+        yield paths
     finally:
-        _scopes.pop()
+        _scopes.reset(token)
 
 
 def discard(spark: SparkSession, paths: list[str]) -> None:
@@ -56,3 +59,13 @@ def discard(spark: SparkSession, paths: list[str]) -> None:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
     paths.clear()
+
+
+def stored_path(spark: SparkSession, tag: str, tables: list[str]) -> str:
+    """A folder of the application for something that is built of these tables: another one once a file of theirs changes."""
+    seen = []
+    for table in tables:
+        at = spark._jvm.org.apache.hadoop.fs.Path(table)
+        for f in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at):
+            seen.append((str(f.getPath()), f.getLen(), f.getModificationTime()))
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{tag}-{sha256(repr(sorted(seen)).encode()).hexdigest()[:32]}"
