@@ -72,7 +72,7 @@ def invert(u: Column, knots: tuple[tuple[float, float], ...]) -> Column:
     return out
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, copies: int = COPIES, schedules: dict | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, copies: int = COPIES, schedules: dict | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """docs(doc_id, text, source, ...) -> doc_id, size, source, source_size, target, taken, position, positions.
 
     One row per row. taken: the words that the mix takes from the document, repeats counted; a source's taken words are
@@ -80,10 +80,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     it is not taken; positions: those of all copies taken. Null text has size 0; documents of size 0 take nothing. Null
     sources are one source, the last. Equal rows share a place in the order in either way. A null doc_id is ordered as
     an empty one. An empty table gives an empty table; other columns are ignored. Only one row for each source passes
-    through the driver.
+    through the driver, in jobs while the query is being built. `keep`: columns of `docs` that stay as they are.
     """
     schedules = schedules or SCHEDULES
-    sized = docs.select(F.col("doc_id").cast("long"), "source", word_count(F.col("text")).alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("_key"))
+    sized = docs.select(F.col("doc_id").cast("long"), "source", word_count(F.col("text")).alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("_key"), *keep)
     stats = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
     goal = targets([(r["source"], r["size"]) for r in stats], weights, share, copies)
     rows = [(s, *goal[s]) for s in goal]
@@ -100,7 +100,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     info = F.broadcast(info) if len(rows) <= BROADCAST_SOURCES else info
     base = base.join(info, base["_s"].eqNullSafe(info["_source"])).drop("_source")
     joined = bucketed.join(base, bucketed["source"].eqNullSafe(base["_s"]) & (bucketed["_bucket"] == base["_b"])).drop("_s", "_b")
-    within = Window.partitionBy("source", "_bucket").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "_bucket").orderBy("_key", "doc_id", "size", *keep).rowsBetween(Window.unboundedPreceding, -1)
     placed = joined.withColumn("_at", F.col("_base") + F.coalesce(F.sum("size").over(within), F.lit(0)))
     goal_words = F.floor(F.col("target") + 0.5)
     takes = [F.greatest(F.lit(0), F.least(F.col("size"), goal_words - F.col("_at") - F.col("source_size") * c)) for c in range(copies)]
@@ -114,7 +114,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
 
     placed = placed.withColumns({f"_p{c}": when(c) for c in range(copies)} | {"taken": sum(takes[1:], takes[0]).cast("long")})
     return placed.select(
-        "doc_id", "size", "source", "source_size", "target", "taken", F.col("_p0").alias("position"), F.array_compact(F.array(*[F.col(f"_p{c}") for c in range(copies)])).alias("positions")
+        "doc_id", "size", "source", "source_size", "target", "taken", F.col("_p0").alias("position"), F.array_compact(F.array(*[F.col(f"_p{c}") for c in range(copies)])).alias("positions"), *keep
     )
 
 
@@ -128,12 +128,20 @@ def positioned(docs: DataFrame, **options) -> DataFrame:
 def training_order(docs: DataFrame, **options) -> DataFrame:
     """The documents that the mix takes, a row for each copy, range-sorted by training position; the columns of `docs`.
 
-    A document at a source's border is kept whole. Rows with a null doc_id are left out, as no decision can name them;
-    rows of equal doc_id share their decisions, and are repeated once for each copy of any of them.
+    A document at a source's border is kept whole. Decisions name rows, by their files and places there, so that rows
+    of equal or null doc_id each keep their own. `docs` that do not stand in files as they are, are written first.
     """
-    taken = mix(docs, **options).filter("taken > 0").select(F.col("doc_id").alias("_id"), F.explode("positions").alias("_position"))
-    both = docs.join(taken, docs["doc_id"] == taken["_id"])
-    return both.repartitionByRange(F.col("_position"), F.col("_id")).sortWithinPartitions("_position", "_id").select(*[docs[c] for c in docs.columns])
+    docs = docs if _is_scan(docs) else materialize(docs, "unmixed")
+    placed = docs.withColumns({"_mix_file": F.col("_metadata.file_path"), "_mix_place": F.col("_metadata.row_index")})
+    taken = mix(placed, keep=("_mix_file", "_mix_place"), **options).filter("taken > 0").select("_mix_file", "_mix_place", F.explode("positions").alias("_position"))
+    both = placed.join(taken, ["_mix_file", "_mix_place"])
+    return both.repartitionByRange("_position", "_mix_file", "_mix_place").sortWithinPartitions("_position", "_mix_file", "_mix_place").select(*docs.columns)
+
+
+def _is_scan(docs: DataFrame) -> bool:
+    """Whether the rows are those of files, so that each has a file and a place in it."""
+    plan = docs._jdf.queryExecution().analyzed()
+    return plan.nodeName() == "LogicalRelation" and "_metadata" not in docs.columns and bool(docs.inputFiles())
 
 
 #: The same in DuckDB's SQL, the three schedules' inverted integrals written out: 1.5 to 0.5; 1; 0.5 to 0.75 to 2.

@@ -8,7 +8,7 @@ rejects, so that of the tokens rejected as not random at most the share `RATE` i
 number.
 
 What is left must also be unlike text, as a battery has little power on short tokens: the log-likelihood ratio of uniform
-against the corpus's own letter frequencies, standardised by its mean and variance for the token's length, gives the
+against the letter frequencies of the corpus's other text, with a fixed prior for a corpus that has little of it, standardised by its mean and variance for the token's length, gives the
 p-value of "this is a word", and the same step-up in each band holds the rate of false discoveries at `RATE`.
 """
 
@@ -49,6 +49,15 @@ ENCODINGS = (
     ("mixed", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"),
 )
 
+LETTERS = ENCODINGS[5][1]
+#: Letters that the prior counts for.
+PRIOR_LETTERS = 1000
+# Letters of prose in Latin script, of a thousand.
+PRIOR = {
+    "a": 82, "b": 15, "c": 28, "d": 43, "e": 127, "f": 22, "g": 20, "h": 61, "i": 70, "j": 2, "k": 8, "l": 40, "m": 24,
+    "n": 67, "o": 75, "p": 19, "q": 1, "r": 60, "s": 63, "t": 91, "u": 28, "v": 10, "w": 24, "x": 2, "y": 20, "z": 1,
+}
+
 
 def tail(z: Column) -> Column:
     """P(Z > z) of the normal law, to 1e-7 relative in the bulk; falls to 0 far out."""
@@ -124,14 +133,29 @@ def battery(tokens: DataFrame) -> DataFrame:
     return t.drop("squares", "high", "mean", "n1", "runs", "var", "cov", "h", "x", "alphabet")
 
 
-def word_p(tested: DataFrame) -> DataFrame:
-    """Adds p_word: how likely text is to look as unlike text as the token does, for its length."""
-    every = ENCODINGS[-1][1]
-    letters = tested.filter("encoding IN ('lower', 'letters')").select(F.explode("chars").alias("c")).groupBy("c").count()
-    seen = {r["c"]: r["count"] for r in letters.collect()}  # 52 rows at most
+def letter_counts(texts: Column) -> list[Column]:
+    """For each letter, in how many places of the texts it is: sums."""
+    return [F.coalesce(F.sum(F.length(texts) - F.length(F.replace(texts, F.lit(c)))), F.lit(0)).alias(f"c{i}") for i, c in enumerate(LETTERS)]
+
+
+def shares(seen: dict[str, int]) -> dict[str, float]:
+    """How often each character of the tokens' alphabet stands in text, of these numbers of letters and the prior's."""
+    every, weight = ENCODINGS[-1][1], PRIOR_LETTERS / sum(PRIOR.values())
+    seen = {c: max(0, seen.get(c, 0)) + weight * PRIOR[c.lower()] * (0.05 if c.isupper() else 0.95) for c in LETTERS}
     total = sum(seen.values())
-    share = {c: 0.95 * seen.get(c, 0) / total + 0.05 / len(every) if total else 1 / len(every) for c in every}
-    logs = F.create_map(*[F.lit(v) for c in every for v in (c, -math.log(share[c]))])
+    return {c: 0.95 * seen.get(c, 0) / total + 0.05 / len(every) for c in every}
+
+
+def letter_shares(docs: DataFrame, tokens: DataFrame) -> dict[str, float]:
+    """`shares` of the letters of all texts that are not in tokens; two rows of sums reach the driver."""
+    own = docs.select(*letter_counts(text_or_empty())).first()
+    inside = tokens.select(*letter_counts(F.col("token"))).first()
+    return shares({c: own[i] - inside[i] for i, c in enumerate(LETTERS)})
+
+
+def word_p(tested: DataFrame, share: dict[str, float]) -> DataFrame:
+    """Adds p_word: how likely text with these shares of characters is to look as unlike text as the token does, for its length."""
+    logs = F.create_map(*[F.lit(v) for c in share for v in (c, -math.log(share[c]))])
     m1 = sum(p * -math.log(p) for p in share.values())
     m2 = sum(p * math.log(p) ** 2 for p in share.values())
     t = tested.withColumn("_logs", logs).withColumn("_l", F.expr("aggregate(chars, 0D, (a, c) -> a + coalesce(element_at(_logs, c), 0D))"))
@@ -149,14 +173,14 @@ def step_up(counts: list[tuple[int, int]], rate: float) -> int | None:
     return least
 
 
-def discoveries(tokens: DataFrame, rate: float = RATE) -> DataFrame:
-    """(token) distinct -> the tokens that are random and no words, at the false-discovery rate in each band of lengths."""
+def discoveries(tokens: DataFrame, rate: float = RATE, share: dict[str, float] | None = None) -> DataFrame:
+    """(token) -> the tokens that are random and no words, at the false-discovery rate in each band of lengths."""
     tested = materialize(battery(tokens.select("token").distinct()), "battery")
     band = F.lit(len(BANDS) - 1)
     for i in reversed(range(len(BANDS))):
         band = F.when(F.col("n") <= BANDS[i], i).otherwise(band)
     binned = lambda p: F.least(F.lit(400), F.floor(-F.log10(F.greatest(p, F.lit(1e-40))) * 10)).cast("int")
-    scored = word_p(tested).withColumns({"band": band, "word": binned("p_word"), "uneven": binned("p_random")})
+    scored = word_p(tested, share or shares({})).withColumns({"band": band, "word": binned("p_word"), "uneven": binned("p_random")})
     tests = F.array(*[F.struct(F.lit(t).alias("test"), F.col(t).alias("bin")) for t in ("word", "uneven")])
     grid = scored.select("band", F.explode(tests).alias("t")).groupBy("band", "t.test", "t.bin").count().collect()  # 2 x 6 x 401 rows at most
     floor = {t: {b: step_up([(r["bin"], r["count"]) for r in grid if (r["band"], r["test"]) == (b, t)], rate) for b in {r["band"] for r in grid}} for t in ("word", "uneven")}
@@ -165,6 +189,17 @@ def discoveries(tokens: DataFrame, rate: float = RATE) -> DataFrame:
     return scored.filter((F.col("word") >= least("word")) & (F.col("uneven") < least("uneven"))).select("token")
 
 
+def _without_overlaps(spans: DataFrame) -> DataFrame:
+    """The spans without random ones that overlap one of the named patterns, by a sweep from either end of a text."""
+    own = Window.partitionBy("doc_id", "key")
+    named = lambda c: F.when(F.col("kind") < 3, F.col(c))
+    before = own.orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    behind = own.orderBy(F.desc("start"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, -1)
+    swept = spans.withColumns({"_until": F.max(named("end")).over(before), "_from": F.min(named("start")).over(behind)})
+    clear = (F.coalesce("_until", "start") <= F.col("start")) & (F.coalesce("_from", "end") >= F.col("end"))
+    return swept.filter((F.col("kind") < 3) | clear).drop("_until", "_from")
+
+
 def scan(docs: DataFrame, rate: float = RATE) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans; one row per row.
 
@@ -174,12 +209,11 @@ def scan(docs: DataFrame, rate: float = RATE) -> DataFrame:
     """
     found = materialize(matches(docs), "matches")
     base = found.filter("kind < 3")
-    random = found.filter("kind = 3").join(discoveries(found.filter("kind = 3"), rate), "token").select("doc_id", "key", "kind", "start", "end")
-    spans = base.select("doc_id", "key", "kind", "start", "end").union(random)
+    tokens = found.filter("kind = 3")
+    random = tokens.join(discoveries(tokens, rate, letter_shares(docs, tokens)), "token").select("doc_id", "key", "kind", "start", "end")
+    spans = _without_overlaps(base.select("doc_id", "key", "kind", "start", "end").union(random))
     grouped = spans.groupBy("doc_id", "key").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("s"))
-    named = F.filter("s", lambda x: x["kind"] < 3)
-    grouped = grouped.withColumn("b", named).withColumn("r", F.expr("filter(s, x -> x.kind = 3 AND NOT exists(filter(s, y -> y.kind < 3), y -> y.start < x.end AND x.start < y.end))"))
-    grouped = grouped.withColumn("all", F.sort_array(F.concat("b", "r")))
+    grouped = grouped.select("doc_id", "key", F.col("s").alias("all"), F.filter("s", lambda x: x["kind"] < 3).alias("b"))
     names = F.array(*map(F.lit, KINDS))
     text = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"], x["end"])), ",")
     count = lambda k: F.size(F.filter("all", lambda x: x["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")

@@ -63,6 +63,27 @@ def test_training_order_and_empty(spark):
     assert M.mix(df.limit(0)).count() == 0 and M.training_order(df.limit(0)).count() == 0
 
 
+def test_training_order_of_repeated_and_null_ids(spark, tmp_path):
+    """Each row comes as often as the mix takes it, whatever its doc_id: repeated, null, equal rows, equal texts."""
+    rng = random.Random(6)
+    rows = [(rng.choice([None, 1, 1, 2, i]), rng.choice(["a b c d", "e f g", f"w{i} x", None, ""]), rng.choice("stu"), 1, "") for i in range(150)]
+    df = spark.createDataFrame([*rows, *rows[:20]], DOCS)
+    df.write.parquet(str(tmp_path / "docs"))
+    for d in (df, spark.read.parquet(str(tmp_path / "docs"))):
+        own = sorted(((r.doc_id, r.source, r.size, len(r.positions)) for r in M.mix(d).collect()), key=repr)
+        want = {}
+        for i, s, n, copies in own:
+            want[i, s, n] = want.get((i, s, n), 0) + copies
+        got = {}
+        for r in M.training_order(d).collect():
+            k = (r.doc_id, r.source, len((r.text or "").split()))
+            got[k] = got.get(k, 0) + 1
+        assert got == {k: n for k, n in want.items() if n}
+        words = sum(n * c for (_, _, n), c in got.items())
+        taken = sum(r.taken for r in M.mix(d).collect())
+        assert taken <= words <= taken + 3 * 3 * 4  # a document at the border of each source's copies is kept whole
+
+
 def test_oracle(spark, sf):
     """The query's rows, positions included, are those of the SQL, to the last bit; and they come in order of position."""
     import duckdb

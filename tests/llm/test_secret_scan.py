@@ -129,3 +129,36 @@ def test_even_patterns_are_rejected_by_the_battery(spark):
     words = ["".join(rng.choice(["the", "an", "on", "ing", "er", "tion", "en"]) for _ in range(16)) for _ in range(300)]
     found = {r.token for r in S.discoveries(spark.createDataFrame([(t,) for t in even + true + words], "token string")).collect()}
     assert len(found & set(true)) >= 28 and not found & set(even) and len(found & set(words)) <= 1
+
+
+def test_corpora_without_long_words(spark):
+    """Random tokens are found in prose of short words, and in texts that hold nothing else; prose alone has none."""
+    rng = random.Random(21)
+    words = "the of and mill river stone lamp oak was seen by men at dawn over field with cart and mule".split()
+    some = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    token = lambda: "".join(rng.choices(some, k=40))
+    prose = [" ".join(rng.choices(words, k=60)) for _ in range(300)]
+    found = lambda texts: [r.n_random for r in sorted(S.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())]
+    mixed = found([f"{p} {token()} {p}" if i < 40 else p for i, p in enumerate(prose)])
+    assert mixed == [1] * 40 + [0] * 260
+    assert found([token() for _ in range(40)]) == [1] * 40
+    assert found(["Incomprehensibilities of antidisestablishmentarianism", *prose[:20]]) == [0] * 21
+
+
+def test_many_spans_in_one_text(spark):
+    """Thousands of named and random spans of one text are swept, not compared with each other."""
+    rng = random.Random(2)
+    hexes = ["".join(rng.choices("0123456789abcdef", k=16)) for _ in range(4000)]
+    some = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    tokens = ["".join(rng.choices(some, k=40)) for _ in range(4000)]
+    (row,) = S.scan(spark.createDataFrame([(1, " ".join(f"{h} {t} token={h}AAAA" for h, t in zip(hexes, tokens)))], "doc_id long, text string")).collect()
+    assert row.n_assign == 4000 and row.n_hex == 8000 and row.n_random > 3900
+
+
+def test_sweep_against_all_pairs(spark):
+    rng = random.Random(5)
+    spans = [(d, 0, k, s, s + rng.randint(1, 9)) for d in range(6) for k in range(4) for s in rng.sample(range(60), 9)]
+    df = spark.createDataFrame(spans, "doc_id long, key long, kind int, start long, end long")
+    want = [x for x in spans if x[2] < 3 or not any(y[0] == x[0] and y[2] < 3 and y[3] < x[4] and x[3] < y[4] for y in spans)]
+    got = [tuple(r) for r in S._without_overlaps(df).select("doc_id", "key", "kind", "start", "end").collect()]
+    assert sorted(got) == sorted(want) and len(got) < len(spans)
