@@ -13,9 +13,7 @@ cells whose bound reaches the k-th score that was found.
 
 from __future__ import annotations
 
-import json
 import math
-import uuid
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -23,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.runtime import materialize
+from ..plans.segments import Segments, bucket
 from .fulltext import FIELDS, K1, B, parse_query, sanitise, tokens
 
 #: Folders of a segment; ids of a cell; cells that are scored before any other.
@@ -34,7 +33,7 @@ _TERMS = "term string, df long, bucket int"
 
 
 def _bucket(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+    return bucket(term, BUCKETS)
 
 
 def cut(docs: DataFrame, key: str = "id", fields=FIELDS, status: str | None = "status") -> DataFrame:
@@ -61,10 +60,7 @@ def _lengths(docs: DataFrame, fields) -> DataFrame:
 
 @dataclass
 class Index:
-    """A stored index: a folder of segments and of numbered manifests, each a small JSON text that names the segments.
-
-    A manifest is written last, under a new number, so that a reader has the state before a change or after it.
-    """
+    """A stored index in a folder; see `plans.segments` for how changes become visible."""
 
     spark: SparkSession
     path: str
@@ -74,34 +70,19 @@ class Index:
     #: Of the last search: postings of its terms, and those that were read.
     read: dict = field(default_factory=dict)
 
-    # -- manifests
-
-    def _fs(self):
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return at, at.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def _versions(self) -> list[int]:
-        at, fs = self._fs()
-        if not fs.exists(at):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(at)]
-        return sorted(int(n[1:]) for n in names if n.startswith("v") and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS")))
+    def __post_init__(self):
+        self.files = Segments(self.spark, self.path)
 
     @property
     def segments(self) -> list[dict]:
-        """Of the newest manifest, oldest first: path, n and dl (rows and words it adds, less those it takes away), dead."""
-        v = self._versions()
-        return json.loads(self.spark.read.text(f"{self.path}/v{v[-1]}").first()[0]) if v else []
-
-    def _commit(self, segments: list[dict]) -> None:
-        v = (self._versions() or [0])[-1] + 1
-        self.spark.createDataFrame([(json.dumps(segments),)], "value string").coalesce(1).write.mode("error").text(f"{self.path}/v{v}")
+        """Of each segment: path, n and dl (rows and words it adds, less those it takes away), put, dead."""
+        return self.files.segments()
 
     # -- changes
 
     def change(self, put: DataFrame | None = None, taken: DataFrame | None = None) -> None:
         """Puts rows in and takes rows out, which are given as they were when they were put in; an update is both."""
-        at = f"{self.path}/s-{uuid.uuid4().hex}"
+        at = self.files.new()
         counts, n, dl = [], 0, 0
         for rows, sign in ((put, 1), (taken, -1)):
             if rows is None:
@@ -111,24 +92,21 @@ class Index:
             told = _lengths(rows, self.fields).agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("dl")).first()
             n, dl = n + sign * told["n"], dl + sign * told["dl"]
             if sign > 0:
-                self._write(rows_of(own), f"{at}/postings")
+                self.files.write(rows_of(own), f"{at}/postings", "term", "cell")
             else:
                 rows.select(F.col(self.key).cast("long").alias("id")).write.parquet(f"{at}/dead")
         terms = reduce(DataFrame.union, counts).groupBy("term").agg(F.sum("df").alias("df")).filter("df <> 0")
-        self._write(terms.select("term", "df", _bucket(F.col("term")).alias("bucket")), f"{at}/terms")
-        self._commit([*self.segments, {"path": at, "n": n, "dl": dl, "put": put is not None, "dead": taken is not None}])
+        self.files.write(terms.select("term", "df", _bucket(F.col("term")).alias("bucket")), f"{at}/terms", "term")
+        self.files.commit([*self.segments, {"path": at, "n": n, "dl": dl, "put": put is not None, "dead": taken is not None}])
 
     def merge(self) -> None:
         """One segment of all; what was taken out is no longer stored."""
-        at, old = f"{self.path}/s-{uuid.uuid4().hex}", self.segments
+        at, old = self.files.new(), self.segments
         live = self._postings(old).select("term", F.explode(F.arrays_zip("ids", "tfs", "dls", "live")).alias("p"), "seg")
         live = live.select("term", F.col("p.ids").alias("id"), F.col("p.tfs").alias("tf"), F.col("p.dls").alias("dl"), F.col("p.live").alias("live"), "seg")
-        self._write(rows_of(self._without_dead(live, old)), f"{at}/postings")
-        self._write(self._terms(old).groupBy("term", "bucket").agg(F.sum("df").alias("df")).filter("df <> 0").select("term", "df", "bucket"), f"{at}/terms")
-        self._commit([{"path": at, "n": sum(s["n"] for s in old), "dl": sum(s["dl"] for s in old), "put": True, "dead": False}])
-
-    def _write(self, rows: DataFrame, path: str) -> None:
-        rows.repartitionByRange("bucket", "term", *[c for c in ("cell",) if c in rows.columns]).sortWithinPartitions("bucket", "term").write.option("parquet.block.size", str(8 << 20)).partitionBy("bucket").parquet(path)
+        self.files.write(rows_of(self._without_dead(live, old)), f"{at}/postings", "term", "cell")
+        self.files.write(self._terms(old).groupBy("term", "bucket").agg(F.sum("df").alias("df")).filter("df <> 0").select("term", "df", "bucket"), f"{at}/terms", "term")
+        self.files.commit([{"path": at, "n": sum(s["n"] for s in old), "dl": sum(s["dl"] for s in old), "put": True, "dead": False}])
 
     # -- reads
 

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.components import connected_components
+from ..plans.runtime import materialize
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -79,37 +81,100 @@ def similar_pairs(vectors: DataFrame, threshold: float, block: str | None = None
     return sent.groupBy("_b", "_d", "_x", "_y").applyInPandas(product, "a long, b long, cosine double")
 
 
-def greedy(ids: list, confidence: list, pairs: set) -> list:
-    """VEC-05 within one component: in order, a fact that is near a kept one goes, unless it is more confident."""
-    alive = dict.fromkeys(ids, True)
-    for i, a in enumerate(ids):
-        if not alive[a]:
+#: Links of a component that one task decides.
+PART = 20_000
+
+
+def greedy(links: list[tuple], confidence: dict) -> set:
+    """VEC-05 by its rule: links (a, b), a < b -> the facts that go. In order, a fact that still stands drops each later one that
+    is near, still stands and is no more confident; the first more confident one drops it instead, and ends its turn."""
+    near: dict = {}
+    for a, b in links:
+        near.setdefault(a, []).append(b)
+    gone: set = set()
+    for a in sorted(near):
+        if a in gone:
             continue
-        for b in ids[i + 1 :]:
-            if alive[b] and (a, b) in pairs:
-                if confidence[ids.index(b)] > confidence[i]:
-                    alive[a] = False
-                    break
-                alive[b] = False
-    return [a for a in ids if alive[a]]
+        for b in sorted(near[a]):
+            if b in gone:
+                continue
+            if confidence[b] > confidence[a]:
+                gone.add(a)
+                break
+            gone.add(b)
+    return gone
 
 
-def near_dedup(facts: DataFrame, threshold: float = 0.9, block: str | None = None) -> DataFrame:
-    """VEC-05: facts (fact_id, confidence, embedding) without near duplicates. Decisions interact only along links, so
-    each component is decided by itself."""
-    pairs = similar_pairs(facts, threshold, block).select("a", "b")
-    comp = connected_components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    rows = comp.join(facts.select(F.col("fact_id").alias("node"), "confidence"), "node")
-    linked = rows.join(pairs.groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("near")), "node", "left")
+def _decided(links: DataFrame, by: str) -> DataFrame:
+    """(fact_id) of the facts that go: one sequential run of the rule for each `by`."""
 
     def decide(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("node")
-        near = {(a, b) for a, n in zip(g["node"], g["near"]) if n is not None for b in n}
-        kept = set(greedy(g["node"].tolist(), g["confidence"].tolist(), near))
-        return g.loc[~g["node"].isin(kept), ["node"]].rename(columns={"node": "fact_id"})
+        confidence = dict(zip(g["a"], g["ca"])) | dict(zip(g["b"], g["cb"]))
+        return pd.DataFrame({"fact_id": sorted(greedy(list(zip(g["a"], g["b"])), confidence))}, dtype="int64")
+
+    return links.groupBy(by).applyInPandas(decide, "fact_id long")
+
+
+def _without_ends(links: DataFrame, ids: DataFrame) -> DataFrame:
+    for end in "ab":
+        links = links.join(ids.select(F.col("fact_id").alias(end)), end, "left_anti")
+    return links
+
 
-    lost = linked.groupBy("component").applyInPandas(decide, "fact_id long")
-    return facts.join(lost, "fact_id", "left_anti")
+def _round(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(ids that go, ids whose turn is over): the turns of all facts that are first among those up to two links away.
+
+    No two of these have a neighbour in common, and nothing before them is open, so their turns are the rule's.
+    """
+    both = links.select("a", "b", "ca", "cb").union(links.select("b", "a", "cb", "ca"))
+    first = both.groupBy("a").agg(F.min("b").alias("_b")).select("a", F.least("a", "_b").alias("m"))
+    around = both.join(first.select(F.col("a").alias("b"), "m"), "b").groupBy("a").agg(F.min("m").alias("m")).filter("a <= m").select("a")
+    turn = both.join(around, "a").groupBy("a").agg(F.min(F.when(F.col("cb") > F.col("ca"), F.col("b"))).alias("stop"))
+    turn = materialize(turn, "turns")
+    dropped = both.join(turn, "a").filter(F.col("stop").isNull() | (F.col("b") < F.col("stop"))).select(F.col("b").alias("fact_id"))
+    gone = dropped.union(turn.filter("stop IS NOT NULL").select(F.col("a").alias("fact_id"))).distinct()
+    return materialize(gone, "gone"), turn.select(F.col("a").alias("fact_id"))
+
+
+def dropped_facts(links: DataFrame) -> DataFrame:
+    """VEC-05: links (a, b, ca, cb), a < b, of near facts with their confidences -> (fact_id) of those that go by the rule `greedy`.
+
+    Decisions interact along links only. Components of at most `PART` links are decided by one task each. Of larger ones, the
+    links of the first facts, about `PART` of them, go to one task a round, as their turns depend on nothing later; then
+    all facts that are first within two links have their turn at once. What is decided leaves the graph.
+    """
+    lost = []
+    while True:
+        links = materialize(links, "links")
+        comp = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+        named = materialize(links.join(comp.select(F.col("node").alias("a"), "component"), "a"), "named")
+        sizes = materialize(named.groupBy("component").agg(F.count("*").alias("n")), "sizes")
+        small = named.join(sizes.filter(F.col("n") <= PART).select("component"), "component", "left_semi")
+        lost.append(materialize(_decided(small, "component"), "lost"))
+        large = named.join(sizes.filter(F.col("n") > PART).select("component", "n"), "component")
+        if not large.limit(1).count():
+            return reduce(DataFrame.union, lost)
+        large = materialize(large, "large")
+        # The first facts of each large component: links by a, up to PART of them; a fact's links stay together.
+        degree = large.groupBy("component", "a").agg(F.count("*").alias("d"))
+        least = degree.withColumn("_i", F.row_number().over(Window.partitionBy("component").orderBy("a"))).filter(F.col("_i") <= PART)
+        upto = F.sum("d").over(Window.partitionBy("component").orderBy("a").rowsBetween(Window.unboundedPreceding, -1))
+        head = materialize(least.withColumn("_upto", F.coalesce(upto, F.lit(0))).filter(F.col("_upto") + F.col("d") <= PART).select("component", "a"), "head")
+        gone = materialize(_decided(large.join(head, ["component", "a"], "left_semi"), "component"), "lost")
+        lost.append(gone)
+        done = head.select(F.col("a").alias("fact_id"))
+        rest = materialize(_without_ends(large.select("a", "b", "ca", "cb"), gone.union(done)), "rest")
+        gone, done = _round(rest)
+        lost.append(gone)
+        links = _without_ends(rest, gone.union(done))
+
+
+def near_dedup(facts: DataFrame, threshold: float = 0.9, block: str | None = None) -> DataFrame:
+    """VEC-05: facts (fact_id, confidence, embedding) without near duplicates, by the order of their ids."""
+    pairs = similar_pairs(facts, threshold, block).select("a", "b")
+    for end in "ab":
+        pairs = pairs.join(facts.select(F.col("fact_id").alias(end), F.col("confidence").alias(f"c{end}")), end)
+    return facts.join(dropped_facts(pairs.select("a", "b", "ca", "cb")), "fact_id", "left_anti")
 
 
 def embedding_text(title: Column, subject: Column, predicate: Column, obj: Column, description: Column) -> Column:

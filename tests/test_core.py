@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as entry
 from factloom import queries
 from factloom.functions import errors, text
-from factloom.operators import entities, fulltext, graph, lifecycle, relational, retrieve, updates, vector
+from factloom.operators import entities, fulltext, graph, lifecycle, relational, retrieve, stored_graph, updates, vector
 from factloom.plans.components import connected_components
 from factloom.sources import files as source_files
 from factloom.streaming import feeds
@@ -132,25 +132,73 @@ def test_errors_and_json(spark):
 
 
 def test_graph(spark):
-    facts = spark.createDataFrame(
-        [(1, "Mill", "stands_by", "River", 61, "active"), (2, "The Mill", "belongs_to", "Miller", 62, "active"), (3, "Miller", "fishes_in", "River", 63, "active"), (4, "Mill", "grinds", "Rye", 64, "active"), (5, "Mill", "built", "1850", 65, "active")],
-        "id long, subject string, predicate string, object string, confidence int, status string",
-    )
+    rows = [
+        (11, "Ferry", "crosses", "Sound", 40, "active"), (12, "Sound", "parts", "Isle", 71, "active"), (13, "Isle", "has", "Lighthouse", 55, "active"), (14, "Lighthouse", "warns", "Ferry", 90, "active"),
+        (15, "Keeper", "lives_in", "Lighthouse", 35, "active"), (16, "Keeper", "writes", "Log", 52, "active"), (17, "Lighthouse", "height", "31m", 66, "active"), (18, "Old Ferry", "crosses", "Sound", 47, "active"),
+        (19, "Ferry", "crosses", "Sound", 20, "active"), (20, "Ferry", "sank_in", "Harbour", 80, "deleted"),
+    ]
+    facts = spark.createDataFrame(rows, "id long, subject string, predicate string, object string, confidence int, status string")
     e = graph.build_edges(facts)
-    assert {r["name"] for r in graph.nodes(facts).collect()} == {"Mill", "River", "The Mill", "Miller", "Rye"}
-    assert graph.build_properties(facts).first().properties == {"built": ["1850"]}
-    assert graph.nodes(updates.rename_entity(facts, "The Mill", "Mill")).count() == 4
-    merged = {(r.src, r.dst) for r in graph.merge_nodes(e, "The Mill", "Mill").collect()}
-    assert merged == {("Mill", "River"), ("Mill", "Miller"), ("Miller", "River"), ("Mill", "Rye")} and graph.rewired(e, "The Mill").first().n == 1
-    seen, own = graph.expand(e, "Miller", 1)
-    assert {r["name"] for r in seen.collect()} == {"Miller", "The Mill", "River"} and own.count() == 2
+    assert {r["name"] for r in graph.nodes(facts).collect()} == {"Ferry", "Sound", "Isle", "Lighthouse", "Keeper", "Log", "Old Ferry"}
+    assert graph.build_properties(facts).first().properties == {"height": ["31m"]}
+    assert e.filter("src = 'Ferry'").first().fact_id == 19
+    assert graph.nodes(updates.rename_entity(facts, "Old Ferry", "Ferry")).count() == 6
+    merged = {(r.src, r.dst, r.fact_id) for r in graph.merge_nodes(e, "Old Ferry", "Ferry").collect()}
+    assert merged == {("Ferry", "Sound", 19), ("Sound", "Isle", 12), ("Isle", "Lighthouse", 13), ("Lighthouse", "Ferry", 14), ("Keeper", "Lighthouse", 15), ("Keeper", "Log", 16)}
+    assert graph.rewired(e, "Lighthouse").first().n == 3
+    seen, own = graph.expand(e, "Log", 2)
+    assert {(r["name"], r.depth) for r in seen.collect()} == {("Log", 0), ("Keeper", 1), ("Lighthouse", 2)} and own.count() == 2
 
 
 def test_vectors_and_dedup(spark):
-    df = spark.createDataFrame([(1, 85, [1.0, 0.1, 0.0]), (2, 70, [0.99, 0.12, 0.0]), (3, 70, [0.0, 0.0, 1.0])], "fact_id long, confidence int, embedding array<float>")
-    assert sorted(r.fact_id for r in vector.near_dedup(df, 0.9).collect()) == [1, 3]
-    assert [r.fact_id for r in vector.search(df, [0.0, 0.0, 1.0], 2).collect()][0] == 3
-    assert vector.embed(spark.createDataFrame([("a b",), ("a b",)], "t string"), "t").select("embedding").distinct().count() == 1
+    rows = [(3, 50, [0.6, 0.8]), (5, 50, [0.62, 0.785]), (6, 20, [-1.0, 0.05]), (8, 65, [-0.98, 0.2]), (9, 65, [0.0, -1.0]), (12, 10, [0.1, -0.99])]
+    df = spark.createDataFrame(rows, "fact_id long, confidence int, embedding array<float>")
+    assert sorted(r.fact_id for r in vector.near_dedup(df, 0.95).collect()) == [3, 8, 9]
+    assert [r.fact_id for r in vector.search(df, [0.0, -1.0], 2).collect()] == [9, 12]
+    assert vector.embed(spark.createDataFrame([("oak elm",), ("oak elm",)], "t string"), "t").select("embedding").distinct().count() == 1
+
+
+def test_dedup_rule_in_rounds(spark, monkeypatch):
+    """Random graphs, chains in order and against it, stars and cliques, in tasks of a few links: what the plain loop leaves."""
+    rng = random.Random(14)
+    pairs = {tuple(sorted(rng.sample(range(60), 2))) for _ in range(110)}
+    pairs |= {(i, i + 1) for i in range(100, 140)} | {(200, i) for i in range(201, 215)} | {(i, 314) for i in range(300, 314)} | {(i, j) for i in range(400, 407) for j in range(i + 1, 407)}
+    confidence = {i: rng.randrange(4) for p in pairs for i in p}
+    nodes, gone = sorted(confidence), set()
+    for a in nodes:
+        for b in nodes:
+            if a in gone:
+                break
+            if b > a and b not in gone and (a, b) in pairs:
+                gone.add(b if confidence[a] >= confidence[b] else a)
+    assert vector.greedy(sorted(pairs), confidence) == gone
+    links = spark.createDataFrame([(a, b, confidence[a], confidence[b]) for a, b in pairs], "a long, b long, ca int, cb int")
+    monkeypatch.setattr(vector, "PART", 30)
+    got = [r.fact_id for r in vector.dropped_facts(links).collect()]
+    assert set(got) == gone and len(got) == len(gone)
+    assert vector.dropped_facts(links.limit(0)).count() == 0
+
+
+def test_stored_graph(spark, tmp_path):
+    """A stored graph after changes and a merge has the edges, and the surroundings, of one that is built anew."""
+    rng = random.Random(8)
+    rows = [(i, f"n{rng.randrange(25)}", "p", f"n{rng.randrange(25)}" if i % 9 else "31m", 1, "active" if i % 7 else "deleted") for i in range(120)]
+    frame = lambda r: spark.createDataFrame(r, "id long, subject string, predicate string, object string, confidence int, status string")
+    g = stored_graph.build(frame(rows[:80]), str(tmp_path / "g"))
+    g.change(put=frame(rows[80:]), taken=frame(rows[:20]))
+    moved = [(i, s, "q", o, 2, st) for i, s, _, o, _, st in rows[20:40]]
+    g.change(put=frame(moved), taken=frame(rows[20:40]))
+    now = frame(moved + rows[40:])
+    for merged in (False, True):
+        e = graph.build_edges(now)
+        assert sorted(g.edges().collect()) == sorted(e.select("src", "dst", "predicate", "fact_id", "confidence").collect())
+        for start, hops, most in (("n3", 1, 500), ("n3", 2, 9), ("nowhere", 2, 500)):
+            want, own = graph.expand(e, start, hops, most)
+            seen, edges = g.expand(start, hops, most)
+            assert sorted(map(tuple, seen.collect())) == sorted(map(tuple, want.select("name", "depth", "degree").collect()))
+            assert sorted(map(str, edges.select("src", "dst", "fact_id").collect())) == sorted(map(str, own.select("src", "dst", "fact_id").collect()))
+        g.merge()
+    assert stored_graph.StoredGraph(spark, str(tmp_path / "none")).expand("x")[0].count() == 0
 
 
 def test_similar_pairs_by_tiles(spark, monkeypatch):
