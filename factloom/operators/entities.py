@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +15,9 @@ from ..plans.runtime import materialize
 from ..sources.files import IMAGES, suffix
 from . import graph, relational, updates, vector
 
+#: The range of user scores.
+LEAST, MOST = 0.0, 2.0
+
 
 def flags(name: Column, degree: Column, sources: Column, ocr: Column, images: Column, word: Column | None = None) -> Column:
     """QA-01: what is suspicious about an entity, as an array. `word`: whether its Chinese parts make words, if that is known."""
@@ -65,18 +71,73 @@ def suspect_proposals(facts: DataFrame, files: DataFrame, proposals: DataFrame)
     return found.select(F.col("name").alias("entity_a"), F.round(1 - F.col("score"), 4).alias("confidence"), F.to_json(F.struct("flags")).alias("llm_response"), F.lit("proposed").alias("status"), F.lit("suspect").alias("proposal_type"))
 
 
+#: Names that meet all others at a time: as many at first, four times as many from block to block, and blocks before tiles
+#: take the rest. The last block's vectors are what is sent to each task.
+HEADS, BLOCKS = 64, 4
+
+
+def _met(names: DataFrame, heads: list, least: float) -> DataFrame:
+    """(entity_a, entity_b, similarity) of each head with the names behind it: their vectors' cosine, for vectors of one length."""
+    groups: dict[int, list] = {}
+    for h in heads:
+        groups.setdefault(len(h["embedding"]), []).append(h)
+    tables = {n: ([h["name"] for h in g], _unit(np.array([h["embedding"] for h in g], np.float64).reshape(len(g), n))) for n, g in groups.items()}
+    sent = names.sparkSession.sparkContext.broadcast(tables)
+
+    def product(batches):
+        for batch in batches:
+            of: dict[int, list[int]] = {}
+            own, vectors = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for i, v in enumerate(vectors):
+                of.setdefault(len(v), []).append(i)
+            out = ([], [], [])
+            for n, rows in of.items():
+                if n not in sent.value:
+                    continue
+                firsts, table = sent.value[n]
+                cosine = _unit(np.array([vectors[i] for i in rows], np.float64).reshape(len(rows), n)) @ table.T
+                for i, j in zip(*np.nonzero(cosine >= least)):
+                    if firsts[j].encode() < own[rows[i]].encode():
+                        for column, value in zip(out, (firsts[j], own[rows[i]], float(cosine[i, j]))):
+                            column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.float64())], names=["entity_a", "entity_b", "similarity"])
+
+    return names.mapInArrow(product, "entity_a string, entity_b string, similarity double")
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    n = np.linalg.norm(v, axis=1, keepdims=True)
+    return np.divide(v, n, out=v, where=n > 0)
+
+
 def merge_candidates(entities: DataFrame, similarity: float = 0.8, string_least: float = 0.4, most: int | None = 100) -> DataFrame:
-    """ER-01, JOIN-11, SET-07, TOPK-08: entities(name, embedding) -> (entity_a, entity_b, similarity).
+    """ER-01, JOIN-11, SET-07, TOPK-08: entities(name, embedding) -> (entity_a, entity_b, similarity), the most similar first.
 
-    Pairs come from the vectors, tile by tile, and few pass their threshold; strings are compared last. The cap, by
-    name, is the feature's own.
+    The first `most` pairs by name are the feature's own cap, so names are taken in their order, a block of them against
+    all behind, and no more than are needed to reach it: mostly one block, and then the work grows with the names, not with
+    their pairs. Without a cap, and behind `BLOCKS` blocks, pairs come tile by tile. Strings are compared last.
     """
-    own = entities.filter(~text.numeric_dominant(F.col("name")) & ~text.code_like(F.col("name")) & (text.gibberish(F.col("name")) < 0.5))
-    named = materialize(own.select("name", F.xxhash64("name").alias("fact_id"), "embedding").dropDuplicates(["name"]), "names")
-    pairs = vector.similar_pairs(named, similarity, strict=False)
-    of = lambda p: named.select(F.col("fact_id").alias(p), F.col("name").alias(f"n{p}"))
-    both = pairs.join(of("a"), "a").join(of("b"), "b").select(F.least("na", "nb").alias("entity_a"), F.greatest("na", "nb").alias("entity_b"), F.col("cosine").alias("similarity"))
-    out = both.filter(text.string_similarity(F.col("entity_a"), F.col("entity_b")) >= string_least)
+    own = entities.filter(~text.numeric_dominant(F.col("name")) & ~text.code_like(F.col("name")) & (text.gibberish(F.col("name")) < 0.5) & F.col("embedding").isNotNull())
+    named = materialize(own.select("name", "embedding").dropDuplicates(["name"]), "names")
+    like = text.string_similarity(F.col("entity_a"), F.col("entity_b")) >= string_least
+    found, n, last, size = [], 0, None, HEADS
+    for _ in range(BLOCKS if most else 0):
+        rest = named if last is None else named.filter(F.col("name") > last)
+        heads = rest.orderBy("name").limit(size).collect()
+        if not heads:
+            break
+        met = materialize(_met(rest, heads, similarity).filter(like).orderBy("entity_a", "entity_b").limit(most - n), "met")
+        found.append(met)
+        n, last, size = n + met.count(), heads[-1]["name"], 4 * size
+        if n >= most:
+            break
+    else:
+        rest = (named if last is None else named.filter(F.col("name") > last)).withColumn("fact_id", F.xxhash64("name"))
+        pairs = vector.similar_pairs(rest, similarity, strict=False)
+        of = lambda p: rest.select(F.col("fact_id").alias(p), F.col("name").alias(f"n{p}"))
+        both = pairs.join(of("a"), "a").join(of("b"), "b").select(F.least("na", "nb").alias("entity_a"), F.greatest("na", "nb").alias("entity_b"), F.col("cosine").alias("similarity"))
+        found.append(both.filter(like))
+    out = reduce(DataFrame.union, found) if found else named.select(F.col("name").alias("entity_a"), F.col("name").alias("entity_b"), F.lit(0.0).alias("similarity")).limit(0)
     if most:
         out = out.orderBy("entity_a", "entity_b").limit(most)
     return out.orderBy(F.desc("similarity"), "entity_a", "entity_b")
@@ -99,10 +160,24 @@ def triage(pairs: DataFrame, auto: float = 0.85, judge: Callable[[list[tuple[str
     return sure.union(told)
 
 
+def in_order(merges: list[tuple[str, str]]) -> dict[str, str]:
+    """What each name is called after renames (old, new) one after another; names that keep theirs are left out."""
+    now: dict[str, str] = {}
+    called: dict[str, set[str]] = {}  # name: those that have come to be called so
+    for old, new in merges:
+        if old == new:
+            continue
+        group = called.pop(old, set()) | (set() if old in now else {old})
+        now |= dict.fromkeys(group, new)
+        called.setdefault(new, set()).update(group)
+    return {a: b for a, b in now.items() if a != b}
+
+
 def apply_merges(facts: DataFrame, triaged: DataFrame) -> DataFrame:
-    """ER-03: facts with the other name of each auto-approved pair replaced by the canonical one."""
-    rows = triaged.filter("status = 'auto_approved'").orderBy("entity_a", "entity_b").collect()  # capped at the candidates
-    names = {(r["entity_b"] if r["canonical"] == r["entity_a"] else r["entity_a"]): r["canonical"] for r in rows}
+    """ER-03: facts of any status after the auto-approved merges, one after another, the most similar first: the other name of a
+    pair becomes the canonical one. As many merges reach the driver as there are candidates, which are capped."""
+    rows = triaged.filter("status = 'auto_approved'").orderBy(F.desc("similarity"), "entity_a", "entity_b").collect()
+    names = in_order([(r["entity_b"] if r["canonical"] == r["entity_a"] else r["entity_a"], r["canonical"]) for r in rows])
     return updates.map_names(facts, names)
 
 
@@ -124,13 +199,36 @@ def allocate(cited: DataFrame, total: float, mode: str = "relevance", by: str |
     return given.withColumn("delta", sign * F.when(F.col("_i") == F.col("_n"), abs(total) - used).otherwise(F.col("_share"))).drop("_share", "_n", "_i")
 
 
+def _composed(batches):
+    """Sorted votes (fact_id, at, delta) -> for each fact's stretch of a batch the function that its votes make together:
+    a score s becomes least(high, greatest(low, s + add)). Votes are such functions, and so is one after another."""
+    for batch in batches:
+        ids, at, deltas = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        starts = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1]))) if len(ids) else np.zeros(0, int)
+        out = []
+        for a, b in zip(starts, [*starts[1:], len(ids)]):
+            votes, low, high = deltas[a:b].tolist(), LEAST, MOST  # from any score, the first vote leads between these
+            for d in votes[1:]:
+                low, high = min(MOST, max(LEAST, low + d)), min(MOST, max(LEAST, high + d))
+            out.append((sum(votes), low, high))
+        columns = list(zip(*out)) if out else [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(ids[starts], pa.int64()), pa.array(at[starts], pa.int64()), *[pa.array(c, pa.float64()) for c in columns]], names=["fact_id", "at", "add", "low", "high"])
+
+
 def fold_votes(votes: DataFrame, start: DataFrame | None = None) -> DataFrame:
-    """FB-02, STM-03: votes(fact_id, seq, delta) folded in order, held to 0..2 after each."""
-    each = votes.groupBy("fact_id").agg(F.sort_array(F.collect_list(F.struct("seq", "delta"))).alias("v"))
-    s0 = F.lit(1.0)
+    """FB-02, STM-03: votes(fact_id, seq, delta) folded in order, held to 0..2 after each; votes without a fact or a delta are left out.
+
+    Votes are dealt by ranges of fact and order, so that a fact of very many votes is split; each batch of sorted votes
+    becomes a function a fact, and only these meet, in order, and are applied to the score.
+    """
+    by = ["fact_id", "seq", "delta"]
+    own = votes.select(F.col("fact_id").cast("long"), "seq", F.col("delta").cast("double")).dropna(subset=["fact_id", "delta"])
+    dealt = own.repartitionByRange(*by).sortWithinPartitions(*by).select("fact_id", F.monotonically_increasing_id().alias("at"), "delta")
+    parts = dealt.mapInArrow(_composed, "fact_id long, at long, add double, low double, high double")
+    each, s0 = parts.groupBy("fact_id").agg(F.sort_array(F.collect_list(F.struct("at", "add", "low", "high"))).alias("v")), F.lit(1.0)
     if start is not None:
         each, s0 = each.join(start.select("fact_id", F.col("user_score").alias("_s")), "fact_id", "left"), F.coalesce("_s", F.lit(1.0))
-    return each.select("fact_id", F.aggregate("v", s0, lambda s, x: updates.clamp(s, x["delta"])).alias("user_score"))
+    return each.select("fact_id", F.aggregate("v", s0, lambda s, f: F.least(f["high"], F.greatest(f["low"], s + f["add"]))).alias("user_score"))
 
 
 def apply_feedback(facts: DataFrame, cited: DataFrame, kind: str, delta: float = 0.1) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import errors, text
+from ..plans.runtime import materialize
 from . import relational, updates
 
 Extractor = Callable[[str, int], str]
@@ -73,7 +74,7 @@ def repair(runs: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
 def dead_letters(failed: DataFrame, chunks: DataFrame, extractor: Extractor = rule_extractor, now=0, batch: int = 10) -> tuple[DataFrame, DataFrame]:
     """RS-02, DLQ-01: due entries tried again: (facts, entries with their new status)."""
     ready = relational.due(failed, now, batch).filter(errors.retryable(F.col("error_class")))
-    again = extract(chunks.join(ready.select(F.col("chunk_id").alias("id")), "id", "left_semi"), extractor)
+    again = materialize(extract(chunks.join(ready.select(F.col("chunk_id").alias("id")), "id", "left_semi"), extractor), "extracted")
     bad = again.filter("error IS NOT NULL").select("chunk_id").distinct().withColumn("_bad", F.lit(True))
     done = ready.join(bad, "chunk_id", "left").select("id", F.when(F.col("_bad"), "failed").otherwise("done").alias("_new"))
     new = failed.join(done, "id", "left").withColumn("status", F.coalesce("_new", "status")).drop("_new")
@@ -84,9 +85,9 @@ def index_run(listing: DataFrame, files: DataFrame, extractor: Extractor = rule_
     """IX-01, IX-02: listing(path, sha256, text) against the known files: changes, files, chunks, facts, failures."""
     changes = relational.snapshot_diff(listing, files.filter("status <> 'deleted'"))
     work = listing.join(changes.filter("change IN ('added', 'modified')").select("path"), "path", "left_semi")
-    named = work.withColumn("file_id", F.abs(F.xxhash64("path") % 1_000_000_007))
-    pieces = named.select("file_id", F.posexplode(text.chunk_udf(max_chars, overlap)(F.col("text"))).alias("chunk_index", "content"))
-    chunks = pieces.withColumn("id", F.abs(F.xxhash64("file_id", "chunk_index") % 1_000_000_000_007))
-    raw = extract(chunks, extractor)
+    named = work.withColumn("file_id", updates.id_of("path"))
+    pieces = named.select("path", "file_id", F.posexplode(text.chunk_udf(max_chars, overlap)(F.col("text"))).alias("chunk_index", "content"))
+    chunks = pieces.withColumn("id", updates.id_of("path", "chunk_index")).drop("path")
+    raw = materialize(extract(chunks, extractor), "extracted")  # read twice, and a model is asked once
     failed = raw.filter("error IS NOT NULL").select("chunk_id", "file_id", "error_class", text.cut(F.col("error")).alias("error_msg"))
     return {"changes": changes, "chunks": chunks, "facts": extracted_facts(raw), "failed_chunks": failed, "files": named.select("path", "sha256", "file_id")}

@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def id_of(*columns: str) -> Column:
+    """An id that is not negative, from the 63 upper bits of the columns' hash."""
+    return F.shiftrightunsigned(F.xxhash64(*columns), 1)
+
+
 def set_where(df: DataFrame, condition: Column, **values) -> DataFrame:
     """UPD-01, UPD-10, UPD-13, UPD-14, UPD-18: columns set on the rows that a condition holds for."""
     new = {c: F.when(condition, v if isinstance(v, Column) else F.lit(v)).otherwise(F.col(c)) for c, v in values.items()}
@@ -70,19 +75,10 @@ def batch_entities(facts: DataFrame, operations: list[dict]) -> tuple[DataFrame,
 
 
 def map_names(facts: DataFrame, names: dict[str, str]) -> DataFrame:
-    """ER-03: many renames at once; chains are resolved first, so one pass is the same as one after another."""
-
-    def last(x: str) -> str:
-        seen = set()
-        while x in names and x not in seen:
-            seen.add(x)
-            x = names[x]
-        return x
-
-    final = {a: last(a) for a in names}
-    if not final:
+    """ER-03: many renames at once, each name as it is to be called in the end."""
+    if not names:
         return facts
-    rows = facts.sparkSession.createDataFrame(list(final.items()), "_old string, _new string")
+    rows = facts.sparkSession.createDataFrame(list(names.items()), "_old string, _new string")
     for c in ("subject", "object"):
         facts = facts.join(rows, facts[c] == rows["_old"], "left").withColumn(c, F.coalesce("_new", c)).drop("_old", "_new")
     return facts
@@ -122,7 +118,7 @@ def upsert(files: DataFrame, new: DataFrame) -> DataFrame:
     n = new.select("path", *[F.col(c).alias(f"_{c}") for c in new.columns if c != "path"])
     out = files.withColumn("_known", F.lit(True)).join(n.withColumn("_given", F.lit(True)), "path", "full_outer")
     given = {c: F.when(F.col("_given"), F.col(f"_{c}")).otherwise(F.col(c)) for c in new.columns if c != "path" and c in files.columns and c != "id"}
-    given["id"] = F.coalesce("id", F.abs(F.xxhash64("path") % 1_000_000_007))
+    given["id"] = F.coalesce("id", id_of("path"))
     return out.withColumns(given).select(*files.columns)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import errors, text
@@ -81,9 +81,16 @@ def _with(*ctes: str) -> str:
 
 
 def _placed(df: DataFrame) -> DataFrame:
-    """A short ordered list with its places, so that a comparison of rows compares the order too."""
-    schema = "place long, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
-    return df.sparkSession.createDataFrame([(i + 1, *r) for i, r in enumerate(df.collect())], schema)
+    """An ordered table with its rows' places, so that a comparison of rows compares the order too.
+
+    The rows stay in their sorted partitions; counts of these, a row each, are summed up to where each begins.
+    """
+    rows = runtime.materialize(df.withColumn("_at", F.monotonically_increasing_id()), "placed")
+    part = F.shiftright("_at", 33)
+    counts = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")
+    begin = counts.select("_part", (before - F.col("_first") + 1).alias("_shift"))
+    return rows.join(begin, part == F.col("_part")).select((F.col("_at") + F.col("_shift")).alias("place"), *df.columns)
 
 
 # Sources

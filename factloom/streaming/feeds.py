@@ -29,17 +29,24 @@ def ingest(stream: DataFrame, known: Callable[[], DataFrame], sink: Callable[[Da
 
 
 def score_votes(votes: DataFrame) -> DataFrame:
-    """STM-03: a stream of votes (fact_id, seq, delta) -> the running score of each fact, held to 0..2 after each vote."""
+    """STM-03: a stream of votes (fact_id, seq, delta) -> the running score of each fact, held to 0..2 after each vote.
+
+    A batch's votes are folded by seq. A vote that comes in a later batch than one of higher seq is late: it is folded when it
+    comes, on the score as it is then, and counted: (fact_id, user_score, late). Votes are taken batch by batch of Arrow's,
+    so that a fact of many votes holds their numbers only.
+    """
 
     def fold(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        score = state.get[0] if state.exists else 1.0
-        rows = pd.concat(list(batches)).sort_values("seq")
-        for d in rows["delta"]:
+        score, last, late = state.get if state.exists else (1.0, None, 0)
+        rows = sorted((s, d) for b in batches for s, d in zip(b["seq"].tolist(), b["delta"].tolist()))
+        late += sum(last is not None and s < last for s, _ in rows)
+        for _, d in rows:
             score = min(2.0, max(0.0, score + d))
-        state.update((score,))
-        yield pd.DataFrame({"fact_id": [key[0]], "user_score": [score]})
+        last = max(rows[-1][0], last) if last is not None else rows[-1][0]
+        state.update((score, last, late))
+        yield pd.DataFrame({"fact_id": [key[0]], "user_score": [score], "late": [late]})
 
-    return votes.groupBy("fact_id").applyInPandasWithState(fold, "fact_id long, user_score double", "score double", "update", "NoTimeout")
+    return votes.groupBy("fact_id").applyInPandasWithState(fold, "fact_id long, user_score double, late long", "score double, last long, late long", "update", "NoTimeout")
 
 
 def windows(events: DataFrame, size: str = "1 day", slide: str | None = None, late: str = "1 hour", stream: bool = False) -> DataFrame:

@@ -256,6 +256,74 @@ def test_feedback(spark):
     assert updates.decay(facts, 0.5).first().user_score == 1.25
 
 
+def test_merges_one_after_another(spark):
+    """Renames in order against a loop over the names; triaged pairs, the most similar first."""
+    rng = random.Random(17)
+    for _ in range(200):
+        merges = [tuple(rng.choices("abcdef", k=2)) for _ in range(rng.randrange(9))]
+        want = {}
+        for name in "abcdefg":
+            now = name
+            for old, new in merges:
+                now = new if now == old else now
+            if now != name:
+                want[name] = now
+        assert entities.in_order(merges) == want, merges
+    pairs = [("ab", "abd", 0.9, "abd"), ("ab", "abc", 0.99, "abc"), ("a", "bb", 0.9, "bb"), ("bb", "ccc", 0.99, "ccc"), ("x", "xy", 0.5, "xy")]
+    triaged = spark.createDataFrame([(*p, "auto_approved" if p[2] > 0.8 else "proposed") for p in pairs], "entity_a string, entity_b string, similarity double, canonical string, status string")
+    facts = spark.createDataFrame([(i, s, o) for i, (s, o) in enumerate([("ab", "a"), ("bb", "x"), ("abd", "ccc")])], "id long, subject string, object string")
+    assert sorted((r.subject, r.object) for r in entities.apply_merges(facts, triaged).collect()) == [("abc", "bb"), ("abd", "ccc"), ("ccc", "x")]
+
+
+def test_merge_candidates_in_order(spark, monkeypatch):
+    """Block by block, capped or not, tiles behind the blocks: the pairs of a plain loop over the sorted names."""
+    rng = random.Random(23)
+    names = sorted({"".join(rng.choices("abcdxyz", k=rng.randint(3, 7))) for _ in range(90)}, key=str.encode)
+    rows = [(n, [rng.gauss(0, 1) for _ in range(2 + i % 2)]) for i, n in enumerate(names)]
+    df = spark.createDataFrame([*rows, ("nothing", None), ("12345678", [1.0, 0.0])], "name string, embedding array<double>")
+    plain = {r["name"] for r in df.filter(~text.numeric_dominant(F.col("name")) & ~text.code_like(F.col("name")) & (text.gibberish(F.col("name")) < 0.5) & F.col("embedding").isNotNull()).collect()}
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5
+    overlap = lambda a, b: 0.85 if a in b or b in a else len(set(a) & set(b)) / max(len(set(a)), len(set(b)))
+    want = [(a, b) for i, (a, v) in enumerate(rows) for b, w in rows[i + 1 :] if {a, b} <= plain and len(v) == len(w) and cos(v, w) >= 0.9 and overlap(a, b) >= 0.4]
+    monkeypatch.setattr(entities, "HEADS", 3)
+    monkeypatch.setattr(entities, "BLOCKS", 2)
+    assert len(want) > 60
+    for most in (2, 50, None):
+        got = entities.merge_candidates(df, 0.9, most=most).collect()
+        assert sorted((r.entity_a, r.entity_b) for r in got) == want[:most]
+        assert [r.similarity for r in got] == sorted((r.similarity for r in got), reverse=True)
+
+
+def test_votes_compose(spark):
+    """Votes in many partitions and batches, one fact with most of them, against the plain fold; with scores to start from."""
+    rng = random.Random(19)
+    votes = [(rng.choice([1, 1, 1, 2, 3, 4]), i, rng.choice([-0.7, -0.3, 0.2, 0.9, 3.0])) for i in range(3000)]
+    rng.shuffle(votes)
+    start = {1: 0.4, 2: 1.9}
+    want = {}
+    for f, _, d in sorted(votes, key=lambda v: v[1]):
+        want[f] = min(2.0, max(0.0, want.get(f, start.get(f, 1.0)) + d))
+    df = spark.createDataFrame(votes, "fact_id long, seq long, delta double").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        got = {r.fact_id: r.user_score for r in entities.fold_votes(df, spark.createDataFrame(list(start.items()), "fact_id long, user_score double")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got.keys() == want.keys() and all(abs(got[f] - want[f]) < 1e-9 for f in want)
+    assert entities.fold_votes(df.limit(0)).count() == 0
+
+
+def test_stream_of_votes_in_batches(spark, tmp_path):
+    """Scores go on from batch to batch; a late vote is folded when it comes, and counted."""
+    schema = "fact_id long, seq long, delta double"
+    for name, rows in (("a", [(1, 1, 5.0), (1, 4, -0.5), (2, 2, 0.25)]), ("b", [(1, 3, -1.0), (1, 5, 0.1)])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        q = feeds.score_votes(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))).writeStream.foreachBatch(lambda d, i: d.write.mode("overwrite").parquet(str(tmp_path / "out"))).outputMode("update")
+        q.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    (row,) = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert (row.fact_id, round(row.user_score, 9), row.late) == (1, 0.6, 1)
+
+
 def test_index_run_and_retry(spark):
     listing = spark.createDataFrame([("/a.md", "h1", "Alice is a boss.\n\nBob is tall."), ("/b.md", "h2", "same")], "path string, sha256 string, text string")
     known = spark.createDataFrame([("/b.md", "h2", "done"), ("/c.md", "h3", "done")], "path string, sha256 string, status string")
