@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import errors, text
-from .operators import entities, fulltext, graph, lifecycle, postings, relational, retrieve, stored_graph, updates, vector
+from .operators import entities, fulltext, graph, indexed, lifecycle, postings, relational, retrieve, stored_graph, updates, vector
 from .plans import adapters, runtime
 from .plans.adapters import KnowledgeBase
 from .sources import files as source_files
@@ -524,6 +524,19 @@ def _listing(k: KnowledgeBase) -> DataFrame:
 
 
 query("ix_01_run")(lambda k: lifecycle.index_run(_listing(k), k.previous.withColumn("status", F.lit("done")))["facts"].select("subject", "predicate", "object"))
+
+
+def _indexed(k: KnowledgeBase) -> DataFrame:
+    """The files of a stored knowledge base after a run over older texts and one over those of now."""
+    base = indexed.IndexedBase(k.spark, f"{runtime.shared_dir(k.spark)}/{k.spark.sparkContext.applicationId}/indexed-{uuid.uuid4().hex}")
+    now = _listing(k).select("path", "sha256", "text")
+    old = F.pmod(F.xxhash64("path"), F.lit(9)) == 0
+    base.run(now.withColumns({"text": F.when(old, "Once it was other.").otherwise(F.col("text")), "sha256": F.when(old, "old").otherwise(F.col("sha256"))}))
+    base.run(now)
+    return base.table("files").select("path", "sha256", "status")
+
+
+query("ix_01_stored_run", "SELECT path, sha256, 'done' AS status FROM files")(_indexed)
 query("ix_02_changes", "SELECT coalesce(c.path, p.path) AS path, CASE WHEN p.path IS NULL THEN 'added' WHEN c.path IS NULL THEN 'deleted' WHEN c.sha256 <> p.sha256 THEN 'modified' ELSE 'unchanged' END AS change FROM files c FULL JOIN previous p ON c.path = p.path")(
     lambda k: lifecycle.index_run(_listing(k), k.previous.withColumn("status", F.lit("done")))["changes"]
 )
