@@ -444,11 +444,17 @@ def _mixed(k: KnowledgeBase) -> DataFrame:
 query("str_01_cjk", "SELECT doc_id, doc_id % 5 IN (0, 1, 3) AS cjk, doc_id % 5 < 2 AS in_names FROM documents")(lambda k: _mixed(k).select("doc_id", text.is_cjk(F.col("t")).alias("cjk"), text.is_cjk(F.col("t"), True).alias("in_names")))
 query("str_02_chinese", _with(_WORDS) + r"SELECT doc_id, CASE doc_id % 5 WHEN 2 THEN false WHEN 3 THEN true WHEN 4 THEN false ELSE (CASE doc_id % 5 WHEN 0 THEN 2 ELSE 4 END) >= 0.5 * len(regexp_extract_all(t, '\pL')) END AS zh FROM t")(lambda k: _mixed(k).select("doc_id", text.detect_chinese(F.col("t")).alias("zh")))
 query("str_03_paragraphs", r"SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\n\s*\n'), lambda x: trim(x) <> '')) AS n FROM documents")(lambda k: k.table(_D).select("doc_id", F.size(text.paragraphs(F.col("text"))).cast("long").alias("n")))
-query("str_04_lines", "SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS n FROM documents")(lambda k: k.table(_D).select("doc_id", F.size(text.lines(F.col("text"))).cast("long").alias("n")))
+query(
+    "str_04_lines",
+    "SELECT doc_id, len(p) AS n, md5(array_to_string(p, '|')) AS parts FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> '') AS p FROM documents)",
+)(lambda k: k.table(_D).select("doc_id", text.lines(F.col("text")).alias("p")).select("doc_id", F.size("p").cast("long").alias("n"), F.md5(F.array_join("p", "|")).alias("parts")))
 query("str_05_sentences", r"SELECT doc_id, len(list_filter(string_split(regexp_replace(text, '([.!?。！？])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13)) <> '')) AS n FROM documents")(
     lambda k: k.table(_D).select("doc_id", F.size(text.sentences(F.col("text"))).cast("long").alias("n"))
 )
-query("str_07_hard_split", "SELECT doc_id, ceil(length(text) / 500)::BIGINT AS n FROM documents")(lambda k: k.table(_D).select("doc_id", F.size(text.hard_split(F.col("text"), 500)).cast("long").alias("n")))
+query(
+    "str_07_hard_split",
+    "SELECT doc_id, ceil(length(text) / 500)::BIGINT AS n, md5(array_to_string(list_transform(range(ceil(length(text) / 500)::BIGINT), lambda i: substr(text, i * 500 + 1, 500)), '|')) AS parts FROM documents",
+)(lambda k: k.table(_D).select("doc_id", text.hard_split(F.col("text"), 500).alias("p")).select("doc_id", F.size("p").cast("long").alias("n"), F.md5(F.array_join("p", "|")).alias("parts")))
 query("str_08_chunk")(lambda k: k.table(_D).select("doc_id", F.posexplode(text.chunk_udf(500, 50)(F.col("text"))).alias("i", "content")).select("doc_id", "i", F.length("content").alias("n")))
 _CH = "list_filter(string_split(name, ''), lambda x: x <> '')"
 _ENT = "ents AS (SELECT c_name AS name FROM customer UNION SELECT p_name FROM part UNION SELECT s_name FROM supplier)"
