@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import errors, text
-from .operators import entities, fulltext, graph, indexed, lifecycle, postings, relational, retrieve, stored_graph, updates, vector
+from .operators import entities, fulltext, graph, indexed, lifecycle, postings, relational, retrieve, stored_graph, stored_vectors, updates, vector
 from .plans import adapters, runtime
 from .plans.adapters import KnowledgeBase
 from .sources import files as source_files
@@ -354,6 +354,37 @@ def _query_vector(k: KnowledgeBase) -> DataFrame:
 query("vec_01_search", f"SELECT vec_id AS fact_id, round(list_inner_product(embedding::DOUBLE[], {_Q}::DOUBLE[]), 6) AS score FROM embeddings ORDER BY list_inner_product(embedding::DOUBLE[], {_Q}::DOUBLE[]) DESC, vec_id LIMIT 20")(
     lambda k: vector.search_for(k.embeddings, _query_vector(k)).select("fact_id", F.round("score", 6).alias("score"))
 )
+
+
+def _vectors(k: KnowledgeBase) -> stored_vectors.StoredVectors:
+    """The stored vectors: clustered when first asked for, and again when their table changes."""
+    made = stored_vectors.StoredVectors(k.spark, runtime.stored_path(k.spark, "vectors", [f"{k.sf_dir}/embeddings.parquet"]))
+    return made if made.files.segments() else stored_vectors.build(k.embeddings, made.files.path)
+
+
+def _vectors_kept_up(k: KnowledgeBase) -> stored_vectors.StoredVectors:
+    """Two thirds of the vectors, then the rest; a seventh is removed, a tenth replaced by their opposites, all merged, an eleventh removed."""
+    made = stored_vectors.StoredVectors(k.spark, runtime.stored_path(k.spark, "vectors-kept-up", [f"{k.sf_dir}/embeddings.parquet"]))
+    if not made.files.segments():
+        made.put(k.embeddings.filter("fact_id % 3 <> 0"))
+        made.put(k.embeddings.filter("fact_id % 3 = 0"))
+        made.remove(k.embeddings.filter("fact_id % 7 = 2"))
+        made.put(k.embeddings.filter("fact_id % 10 = 5").withColumn("embedding", F.transform("embedding", lambda x: -x)))
+        made.merge()
+        made.remove(k.embeddings.filter("fact_id % 11 = 3"))
+    return made
+
+
+def _asked(store: stored_vectors.StoredVectors, k: KnowledgeBase) -> DataFrame:
+    asked = _query_vector(k).first()
+    return store.search(asked["embedding"] if asked else []).select("fact_id", F.round("score", 6).alias("score"))
+
+
+query("snk_04_stored_search", ORACLE_SQL["vec_01_search"][len(adapters.SQL) :])(lambda k: _asked(_vectors(k), k))
+query(
+    "snk_04_kept_up",
+    f"SELECT fact_id, round(s, 6) AS score FROM (SELECT vec_id AS fact_id, CASE WHEN vec_id % 10 = 5 THEN -1.0 ELSE 1.0 END * list_inner_product(embedding::DOUBLE[], {_Q}::DOUBLE[]) AS s FROM embeddings WHERE vec_id % 11 <> 3 AND (vec_id % 7 <> 2 OR vec_id % 10 = 5)) ORDER BY s DESC, fact_id LIMIT 20",
+)(lambda k: _asked(_vectors_kept_up(k), k))
 query("vec_02_dimension", "SELECT vec_id AS fact_id FROM embeddings WHERE len(embedding) = 64")(lambda k: vector.of_dimension(k.embeddings, 64).select("fact_id"))
 query("vec_03_remove", "SELECT vec_id AS fact_id FROM embeddings WHERE vec_id NOT IN (SELECT id FROM facts WHERE status = 'deleted')")(lambda k: vector.without(k.embeddings, k.facts.filter("status = 'deleted'").select(F.col("id").alias("fact_id"))).select("fact_id"))
 query("vec_05_near_dedup")(lambda k: vector.near_dedup(k.embeddings.withColumn("confidence", F.col("fact_id") % 70), 0.35, "label").select("fact_id"))
