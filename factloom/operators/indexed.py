@@ -15,8 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import errors, text
+from ..plans.runtime import materialize
 from ..plans.segments import Segments
-from . import lifecycle, relational, updates, vector
+from . import decisions, lifecycle, relational, updates, vector
 from .stored_graph import StoredGraph
 
 _TABLES = {
@@ -33,6 +34,7 @@ class IndexedBase:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.files, self.graph = spark, Segments(spark, f"{path}/tables"), StoredGraph(spark, f"{path}/graph")
+        self.names = decisions.Decisions(spark, f"{path}/names")
 
     def table(self, name: str) -> DataFrame:
         """A table's rows, without those of paths that a later batch has replaced or removed."""
@@ -45,6 +47,27 @@ class IndexedBase:
         kept = reduce(DataFrame.union, rows).join(last, "path", "left").filter(F.col("_until").isNull() | (F.col("_seg") >= F.col("_until")))
         return kept.select(*[c.split()[0] for c in _TABLES[name].split(", ")])
 
+    def facts(self) -> DataFrame:
+        """The facts with their status, as the decisions on names that stand make them, of whatever run they are."""
+        return self.names.resolve(self.table("facts").withColumn("status", F.lit("active")))
+
+    def decide(self, rows: DataFrame) -> int:
+        """Takes decisions on names (see `decisions.Decisions.prepared`) and brings the graph to what they make of the facts that
+        they change. Returns the number of these. The graph goes first, as in a run."""
+        segment = self.names.prepared(rows)
+        before, after = self.names.final_names(), decisions.final_names(decisions.standing(self.names.with_segment(segment)))
+        was, will = before.select("name", F.struct("final").alias("_was")), after.select("name", F.struct("final").alias("_will"))
+        moved = was.join(will, "name", "full_outer").filter(~F.col("_was").eqNullSafe(F.col("_will"))).select("name")
+        own = self.table("facts").withColumn("status", F.lit("active"))
+        hit = own.join(moved.select(F.col("name").alias("subject")), "subject", "left_semi").select("id")
+        hit = hit.union(own.join(moved.select(F.col("name").alias("object")), "object", "left_semi").select("id")).distinct()
+        hit = materialize(hit, "changed")
+        n = hit.count()
+        if n:
+            self.graph.change(put=decisions.resolve(own.join(hit, "id", "left_semi"), after), taken=hit)
+        self.names.commit(segment)
+        return n
+
     def runs(self) -> list[dict]:
         """Each run's counts and state: completed, stopped, or, if it ended without a word, crashed."""
         out: dict[int, dict] = {}
@@ -118,7 +141,7 @@ class IndexedBase:
         old = self.table("facts").join(gone, "path", "left_semi").select("id")
         n = old.count()
         new = self.spark.read.schema(_TABLES["facts"]).parquet(f"{at}/facts").withColumn("status", F.lit("active")) if rows else None
-        self.graph.change(put=new, taken=old.union(new.select("id")) if rows else old)
+        self.graph.change(put=self.names.resolve(new) if rows else None, taken=old.union(new.select("id")) if rows else old)
         self.files.commit([*self.files.segments(), {"run": number, "path": at, "rows": rows, "facts_removed": n, **counts}])
 
 
