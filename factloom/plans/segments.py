@@ -29,16 +29,21 @@ class Segments:
 
     def segments(self) -> list[dict]:
         """What the newest manifest says of each segment, oldest first; none if there is no manifest."""
+        return self.newest()[1]
+
+    def newest(self) -> tuple[int, list[dict]]:
+        """The newest manifest's number, 0 if there is none, and what `segments` gives."""
         v = self.versions()
-        return json.loads(self.spark.read.text(f"{self.path}/v{v[-1]}").first()[0]) if v else []
+        return (v[-1], json.loads(self.spark.read.text(f"{self.path}/v{v[-1]}").first()[0])) if v else (0, [])
 
     def new(self) -> str:
         """A folder for a segment to be."""
         return f"{self.path}/s-{uuid.uuid4().hex}"
 
-    def commit(self, segments: list[dict]) -> None:
-        """Makes these the segments that count; fails if another change has taken the number meanwhile."""
-        v = (self.versions() or [0])[-1] + 1
+    def commit(self, segments: list[dict], after: int | None = None) -> None:
+        """Makes these the segments that count; fails if another change has taken the number meanwhile. `after`: the number of the
+        manifest that was read, so that a change since then makes it fail too."""
+        v = 1 + ((self.versions() or [0])[-1] if after is None else after)
         self.spark.createDataFrame([(json.dumps(segments),)], "value string").coalesce(1).write.mode("error").text(f"{self.path}/v{v}")
 
     def write(self, rows: DataFrame, path: str, *order: str) -> None:

@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import errors, text
-from .operators import entities, fulltext, graph, indexed, lifecycle, postings, relational, retrieve, stored_graph, stored_vectors, updates, vector
+from .functions import errors, text, truncation
+from .operators import decisions, entities, fulltext, graph, indexed, lifecycle, namespaces, postings, relational, retrieve, stored_graph, stored_vectors, updates, vector
 from .plans import adapters, runtime
 from .plans.adapters import KnowledgeBase
 from .sources import files as source_files
@@ -549,6 +549,67 @@ query(
 )(lambda k: entities.allocate(k.facts.select(F.col("id").alias("fact_id"), "file_id", F.col("confidence").cast("double").alias("similarity_score")), 0.3, by="file_id").select("fact_id", F.round("delta", 6).alias("delta")))
 _VOTES = "SELECT fact_id, round(list_reduce(list_prepend(1.0::DOUBLE, list(CASE feedback_type WHEN 'positive' THEN 0.7::DOUBLE ELSE -0.7 END ORDER BY id)), lambda s, x: least(2.0, greatest(0.0, s + x))), 6) AS user_score FROM feedback GROUP BY 1"
 query("fb_02_votes", _VOTES)(lambda k: entities.fold_votes(k.feedback.select("fact_id", F.col("id").alias("seq"), F.when(F.col("feedback_type") == "positive", 0.7).otherwise(-0.7).alias("delta"))).select("fact_id", F.round("user_score", 6).alias("user_score")))
+
+
+def _lasting(k: KnowledgeBase) -> DataFrame:
+    """Facts under decisions on suppliers: chains of renames, of which some end in a deletion and some were undone."""
+    i = F.col("id")
+    new = F.when(i % 16 != 7, F.concat(F.lit("Supplier#"), F.lpad((i + 1).cast("string"), 9, "0")))
+    own = k.proposals.filter((i % 8).between(1, 6) | (i % 16 == 7)).select(i.alias("seq"), F.when(new.isNull(), "delete").otherwise("rename").alias("kind"), F.col("entity_a").alias("name"), new.alias("new_name"))
+    undone = own.filter("seq % 10 = 1").select((F.col("seq") + 10**12).alias("seq"), F.lit("undo").alias("kind"), F.col("seq").alias("target"))
+    log = decisions.Decisions(k.spark, f"{runtime.shared_dir(k.spark)}/{k.spark.sparkContext.applicationId}/decisions-{uuid.uuid4().hex}")
+    log.take(own.unionByName(undone, allowMissingColumns=True))
+    return log.resolve(k.facts)
+
+
+_FINAL = (
+    "dec AS (SELECT s_suppkey AS seq, s_name AS old, CASE WHEN s_suppkey % 16 <> 7 THEN 'Supplier#' || lpad((s_suppkey + 1)::VARCHAR, 9, '0') END AS new FROM supplier WHERE (s_suppkey % 8 BETWEEN 1 AND 6 OR s_suppkey % 16 = 7) AND s_suppkey % 10 <> 1)",
+    "fin AS (WITH RECURSIVE w AS (SELECT old AS name, seq, new AS at FROM dec UNION ALL SELECT w.name, d.seq, d.new FROM w JOIN dec d ON d.old = w.at AND d.seq > w.seq) SELECT name, at, true AS told FROM w QUALIFY row_number() OVER (PARTITION BY name ORDER BY seq DESC) = 1)",
+    "told AS (SELECT f.id, f.subject, f.object, f.status, s.at AS s_at, o.at AS o_at, f.status = 'active' AND (coalesce(s.told AND s.at IS NULL, false) OR coalesce(o.told AND o.at IS NULL, false)) AS gone FROM facts f LEFT JOIN fin s ON s.name = f.subject LEFT JOIN fin o ON o.name = f.object)",
+)
+query(
+    "er_05_lasting",
+    _with(*_FINAL) + "SELECT id, CASE WHEN status = 'active' AND NOT gone THEN coalesce(s_at, subject) ELSE subject END AS subject, CASE WHEN status = 'active' AND NOT gone THEN coalesce(o_at, object) ELSE object END AS object, CASE WHEN gone THEN 'deleted' ELSE status END AS status FROM told",
+)(lambda k: _lasting(k).select("id", "subject", "object", "status"))
+
+
+def _cut_answers(k: KnowledgeBase) -> DataFrame:
+    """Answers of up to ten facts each, cut at places all over them: what is complete, and where to go on."""
+    one = F.concat(F.lit('{"subject": "'), "subject", F.lit('", "predicate": "'), "predicate", F.lit('", "object": "'), "object", F.lit('"}'))
+    told = k.facts.groupBy(F.floor(F.col("id") / 10).alias("answer")).agg(F.sort_array(F.collect_list(F.struct("id", one.alias("j")))).alias("js"))
+    whole = F.concat(F.lit('{"facts": ['), F.array_join(F.transform("js", lambda x: x["j"]), ", "), F.lit("]}"))
+    cut = told.select("answer", whole.alias("t")).withColumn("t", F.expr("substring(t, 1, cast(answer * 37 % (length(t) + 1) AS INT))"))
+    return cut.select("answer", truncation.cut_state(F.col("t")).alias("s")).select("answer", F.size("s.facts").alias("n"), "s.resume", "s.whole")
+
+
+query(
+    "ex_02_cut_answers",
+    _with(
+        """j AS (SELECT id // 10 AS answer, id, length('{"subject": "' || subject || '", "predicate": "' || predicate || '", "object": "' || object || '"}') AS n FROM facts)""",
+        "e AS (SELECT answer, 11 + sum(n) OVER w + 2 * (row_number() OVER w - 1) AS until FROM j WINDOW w AS (PARTITION BY answer ORDER BY id))",
+        "c AS (SELECT answer, max(until) + 2 AS total, answer * 37 % (max(until) + 3) AS cut FROM e GROUP BY 1)",
+    )
+    + "SELECT answer, count(*) FILTER (until <= cut) AS n, coalesce(max(until) FILTER (until <= cut), 0)::BIGINT AS resume, any_value(cut = total) AS whole FROM e JOIN c USING (answer) GROUP BY 1",
+)(_cut_answers)
+
+
+def _routed(k: KnowledgeBase) -> DataFrame:
+    """The files of each base: one a source, of which the first by name is renamed and the last deleted."""
+    kbs = namespaces.Namespaces(k.spark, f"{runtime.shared_dir(k.spark)}/{k.spark.sparkContext.applicationId}/bases-{uuid.uuid4().hex}")
+    sources = [r["source"] for r in k.table("documents").select("source").filter("source IS NOT NULL").distinct().orderBy("source").collect()]
+    for s in sources:
+        kbs.add_directory(f"/kb/{s}", s)
+    if sources:
+        kbs.rename(sources[0], "renamed")
+        if len(sources) > 1:
+            kbs.delete(sources[-1])
+    return kbs.routed(k.files).groupBy("kb").agg(F.count("*").alias("n"))
+
+
+query(
+    "kb_01_namespaces",
+    ", s AS (SELECT min(source) AS a, max(source) AS z FROM documents) SELECT CASE WHEN source = a THEN 'renamed' WHEN source < z THEN source END AS kb, count(*) AS n FROM documents, s GROUP BY 1",
+)(_routed)
 query("ex_01_extract")(lambda k: lifecycle.extracted_facts(lifecycle.extract(k.chunks)).select("chunk_id", "subject", "object"))
 query("ix_03_retry_plan", "SELECT path, CASE WHEN status = 'pending' OR retry_count < 3 THEN 'retry' ELSE 'dead' END AS plan FROM files WHERE status IN ('pending', 'failed')")(lambda k: lifecycle.retry_plan(k.files).select("path", "plan"))
 query("rs_02_dead_letters", "SELECT id, CASE WHEN id IN (SELECT id FROM (SELECT * FROM failed_chunks WHERE status = 'pending' AND (next_retry_at IS NULL OR next_retry_at <= 500) ORDER BY created_at, id LIMIT 10) WHERE error_class IN ('RATE_LIMIT', 'TIMEOUT', 'MODEL_UNAVAILABLE')) THEN 'done' ELSE status END AS status FROM failed_chunks")(
