@@ -375,16 +375,16 @@ def _vectors_kept_up(k: KnowledgeBase) -> stored_vectors.StoredVectors:
     return made
 
 
-def _asked(store: stored_vectors.StoredVectors, k: KnowledgeBase) -> DataFrame:
+def _stored_hits(store: stored_vectors.StoredVectors, k: KnowledgeBase) -> DataFrame:
     asked = _query_vector(k).first()
     return store.search(asked["embedding"] if asked else []).select("fact_id", F.round("score", 6).alias("score"))
 
 
-query("snk_04_stored_search", ORACLE_SQL["vec_01_search"][len(adapters.SQL) :])(lambda k: _asked(_vectors(k), k))
+query("snk_04_stored_search", ORACLE_SQL["vec_01_search"][len(adapters.SQL) :])(lambda k: _stored_hits(_vectors(k), k))
 query(
     "snk_04_kept_up",
     f"SELECT fact_id, round(s, 6) AS score FROM (SELECT vec_id AS fact_id, CASE WHEN vec_id % 10 = 5 THEN -1.0 ELSE 1.0 END * list_inner_product(embedding::DOUBLE[], {_Q}::DOUBLE[]) AS s FROM embeddings WHERE vec_id % 11 <> 3 AND (vec_id % 7 <> 2 OR vec_id % 10 = 5)) ORDER BY s DESC, fact_id LIMIT 20",
-)(lambda k: _asked(_vectors_kept_up(k), k))
+)(lambda k: _stored_hits(_vectors_kept_up(k), k))
 query("vec_02_dimension", "SELECT vec_id AS fact_id FROM embeddings WHERE len(embedding) = 64")(lambda k: vector.of_dimension(k.embeddings, 64).select("fact_id"))
 query("vec_03_remove", "SELECT vec_id AS fact_id FROM embeddings WHERE vec_id NOT IN (SELECT id FROM facts WHERE status = 'deleted')")(lambda k: vector.without(k.embeddings, k.facts.filter("status = 'deleted'").select(F.col("id").alias("fact_id"))).select("fact_id"))
 query("vec_05_near_dedup")(lambda k: vector.near_dedup(k.embeddings.withColumn("confidence", F.col("fact_id") % 70), 0.35, "label").select("fact_id"))
@@ -564,8 +564,8 @@ def _lasting(k: KnowledgeBase) -> DataFrame:
 
 _FINAL = (
     "dec AS (SELECT s_suppkey AS seq, s_name AS old, CASE WHEN s_suppkey % 16 <> 7 THEN 'Supplier#' || lpad((s_suppkey + 1)::VARCHAR, 9, '0') END AS new FROM supplier WHERE (s_suppkey % 8 BETWEEN 1 AND 6 OR s_suppkey % 16 = 7) AND s_suppkey % 10 <> 1)",
-    "fin AS (WITH RECURSIVE w AS (SELECT old AS name, seq, new AS at FROM dec UNION ALL SELECT w.name, d.seq, d.new FROM w JOIN dec d ON d.old = w.at AND d.seq > w.seq) SELECT name, at, true AS told FROM w QUALIFY row_number() OVER (PARTITION BY name ORDER BY seq DESC) = 1)",
-    "told AS (SELECT f.id, f.subject, f.object, f.status, s.at AS s_at, o.at AS o_at, f.status = 'active' AND (coalesce(s.told AND s.at IS NULL, false) OR coalesce(o.told AND o.at IS NULL, false)) AS gone FROM facts f LEFT JOIN fin s ON s.name = f.subject LEFT JOIN fin o ON o.name = f.object)",
+    "fin AS (WITH RECURSIVE w AS (SELECT old AS name, seq, new AS called FROM dec UNION ALL SELECT w.name, d.seq, d.new FROM w JOIN dec d ON d.old = w.called AND d.seq > w.seq) SELECT name, called, true AS told FROM w QUALIFY row_number() OVER (PARTITION BY name ORDER BY seq DESC) = 1)",
+    "told AS (SELECT f.id, f.subject, f.object, f.status, s.called AS s_at, o.called AS o_at, f.status = 'active' AND (coalesce(s.told AND s.called IS NULL, false) OR coalesce(o.told AND o.called IS NULL, false)) AS gone FROM facts f LEFT JOIN fin s ON s.name = f.subject LEFT JOIN fin o ON o.name = f.object)",
 )
 query(
     "er_05_lasting",
