@@ -64,7 +64,7 @@ class Decisions:
         return final_names(standing(self.log()))
 
     def resolve(self, facts: DataFrame) -> DataFrame:
-        return resolve(facts, self.final_names())
+        return resolve(facts, self.final_names()) if self.files.segments() else facts
 
     def proposals(self, proposals: DataFrame) -> DataFrame:
         return proposals_after(proposals, self.log())
@@ -72,7 +72,9 @@ class Decisions:
 
 def standing(log: DataFrame) -> DataFrame:
     """The renames and deletions that no undo has taken back; an undo may be taken back itself, by a later one."""
-    undo = log.filter("kind = 'undo'").select("seq", "target")
+    undo, named = log.filter("kind = 'undo'").select("seq", "target"), log.filter("kind IN ('rename', 'delete')")
+    if undo.isEmpty():
+        return named
     over = log.sparkSession.createDataFrame([], "target long")
     while not undo.isEmpty():
         # An undo that nothing targets counts, and what it targets doesn't: neither is open any more.
@@ -80,7 +82,7 @@ def standing(log: DataFrame) -> DataFrame:
         free = undo.join(undo.select(F.col("target").alias("seq"), F.col("seq").alias("_by")).filter("_by > seq").select("seq"), "seq", "left_anti")
         over = materialize(over.union(free.select("target")), "undone")
         undo = undo.join(free.select("seq"), "seq", "left_anti").join(free.select(F.col("target").alias("seq")), "seq", "left_anti")
-    return log.filter("kind IN ('rename', 'delete')").join(over.filter("target IS NOT NULL").distinct().withColumnRenamed("target", "seq"), "seq", "left_anti")
+    return named.join(over.filter("target IS NOT NULL").distinct().withColumnRenamed("target", "seq"), "seq", "left_anti")
 
 
 def final_names(decisions: DataFrame) -> DataFrame:
