@@ -13,7 +13,7 @@ from .operators import decisions, entities, fulltext, graph, indexed, lifecycle,
 from .plans import adapters, runtime
 from .plans.adapters import KnowledgeBase
 from .sources import files as source_files
-from .streaming import feeds
+from .streaming import feeds, timed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -656,3 +656,57 @@ query(
     "stm_06_sessions",
     "SELECT user_id, count(*) AS n FROM (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 30 MINUTE > ts THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s",
 )(lambda k: feeds.sessions(k.table("events")).select("user_id", "n"))
+
+
+_DAY = 86400  # rows of 1970's first second would be late
+
+
+def _timed(k: KnowledgeBase, rows: DataFrame, build: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
+    """All that a timed job gives for one written table read as a stream; its clock ends at the last row's time."""
+    at = f"{runtime.shared_dir(k.spark)}/timed-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{at}/in")
+    out = build(k.spark.readStream.schema(rows.schema).parquet(f"{at}/in"))
+    writer = out.writeStream.foreachBatch(lambda b, _: b.write.mode("append").parquet(f"{at}/out")).outputMode(mode)
+    timed.start(writer.option("checkpointLocation", f"{at}/cp").trigger(availableNow=True), k.spark).awaitTermination()
+    return k.spark.read.schema(out.schema).parquet(f"{at}/out")
+
+
+def _actions(k: KnowledgeBase) -> DataFrame:
+    """What became of each file's entries over time, one a second; a done entry is a success."""
+    events = k.failed_chunks.select(
+        F.col("file_id").alias("chunk_id"), F.timestamp_seconds(F.col("created_at") + _DAY).alias("at"), F.when(F.col("status") != "done", F.col("error_class")).alias("error_class"), F.col("retry_count").alias("attempt")
+    )
+    return _timed(k, events, lambda s: timed.retries(s, budget=3, keep=3600), "append").filter(F.col("at") < F.timestamp_seconds(F.lit(_last(k) + _DAY)))
+
+
+def _last(k: KnowledgeBase) -> int:
+    return k.failed_chunks.agg(F.max("created_at")).first()[0] or 0
+
+
+query(
+    "stm_04_retries",
+    """, own AS (SELECT file_id AS chunk_id, created_at AS due, status = 'done' AS ok, retry_count AS attempt, error_class IN ('RATE_LIMIT', 'TIMEOUT', 'MODEL_UNAVAILABLE') AND retry_count < 2 AS again, (SELECT max(created_at) FROM failed_chunks) AS clock,
+    lead(created_at) OVER w AS nxt, lag(status <> 'done' AND created_at + 3600 > after) OVER w AS held, lag(retry_count) OVER w AS prior
+    FROM (SELECT *, lead(created_at) OVER (PARTITION BY file_id ORDER BY created_at) AS after FROM failed_chunks) WINDOW w AS (PARTITION BY file_id ORDER BY created_at)),
+    acts AS (SELECT chunk_id, 'done' AS action, due, prior AS attempt FROM own WHERE ok AND held
+    UNION ALL SELECT chunk_id, 'dead', due, attempt FROM own WHERE NOT ok AND NOT again
+    UNION ALL SELECT chunk_id, 'retry', due + (1 << attempt), attempt FROM own WHERE NOT ok AND again AND due + (1 << attempt) <= coalesce(nxt, clock)
+    UNION ALL SELECT chunk_id, 'expired', due + 3600, attempt FROM own WHERE NOT ok AND due + 3600 <= coalesce(nxt, clock))
+    SELECT chunk_id, action, due, attempt FROM acts WHERE due < (SELECT max(created_at) FROM failed_chunks)""",
+)(lambda k: _actions(k).select("chunk_id", "action", (F.unix_seconds("at") - _DAY).alias("due"), "attempt"))
+
+
+def _decayed(k: KnowledgeBase) -> DataFrame:
+    """Each fact's score at the end, after votes of either kind, one a second, and a decay every 600 seconds."""
+    votes = k.feedback.select("fact_id", F.timestamp_seconds(F.col("id") + _DAY).alias("at"), F.col("id").alias("seq"), F.when(F.col("feedback_type") == "positive", 0.7).otherwise(-0.7).alias("delta"))
+    tick = k.feedback.agg((F.floor(F.max("id") / 600) * 600 + 1199).alias("t")).select(F.lit(None).cast("long").alias("fact_id"), F.timestamp_seconds(F.col("t") + _DAY).alias("at"), F.lit(None).cast("long").alias("seq"), F.lit(None).cast("double").alias("delta"))
+    out = _timed(k, votes.unionByName(tick), lambda s: timed.decaying_scores(s, rate=0.1, period=600, least=1e-9), "update")
+    return out.groupBy("fact_id").agg(F.max_by("user_score", "at").alias("user_score"))
+
+
+query(
+    "stm_04_decay",
+    """, v AS (SELECT fact_id, id, CASE feedback_type WHEN 'positive' THEN 0.7::DOUBLE ELSE -0.7 END AS d, id // 600 - lag(id // 600, 1, id // 600) OVER (PARTITION BY fact_id ORDER BY id) AS p FROM feedback),
+    s AS (SELECT fact_id, max(id) // 600 AS p, list_reduce(list_prepend({'d': 1.0::DOUBLE, 'p': 0::BIGINT}, list({'d': d, 'p': p} ORDER BY id)), lambda a, x: {'d': least(2.0, greatest(0.0, 1 + (a.d - 1) * power(0.9::DOUBLE, x.p) + x.d)), 'p': 0::BIGINT}).d AS score FROM v GROUP BY 1)
+    SELECT fact_id, round(1 + (score - 1) * power(0.9::DOUBLE, (SELECT max(id) // 600 + 1 FROM feedback) - p), 6) AS user_score FROM s""",
+)(lambda k: _decayed(k).select("fact_id", F.round("user_score", 6).alias("user_score")))
