@@ -12,6 +12,8 @@ the radius leaves at least so many blocks whole, none is missed. A pair counts o
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from functools import reduce
 from itertools import combinations
 
@@ -27,6 +29,8 @@ SEEDS = (17, 29)
 LANE_TERMS = 32767
 #: Groups of neighbouring doc_ids for the next-document window, a power of two: as many as hold about `GROUP_ROWS` rows.
 GROUP_ROWS, GROUPS = 4096, (1024, 65536)
+#: Equal rows that stand as one row at most.
+COPIES = 4096
 WIDTH = 5
 
 
@@ -76,43 +80,81 @@ def _longs(xs: list[int]) -> Column:
     return F.split(F.lit(" ".join(map(str, xs))), " ").cast("array<bigint>") if xs else F.array().cast("array<bigint>")
 
 
-def with_next(docs: DataFrame, groups: int | None = None) -> DataFrame:
-    """(doc_id, text, ...) -> (grp, rn, tail, doc_id, text, next_text): each row with the next one's text.
+def _bucket(h: Column, bits: Column) -> Column:
+    """The place of a hash among 2^bits equal ranges, in the order of the hashes; 0 for no bits."""
+    return F.when(bits > 0, F.call_function("shiftright", h, 64 - bits) + F.call_function("shiftleft", F.lit(1).cast("long"), bits - 1)).otherwise(0)
+
+
+def _bits(n: float) -> int:
+    """Bits for n ranges at least."""
+    return max(0, math.ceil(n) - 1).bit_length()
 
-    The order is descending doc_id, nulls last, then text; after the last row comes the first. No global sort: doc_ids
-    are dealt by quantiles into `groups` ranges, and each range also gets the first row of the next as its tail, so that
-    one window over the ranges sees every neighbour. Tail rows have tail = true. Only the quantiles and the first doc_id
-    of each range, `groups` numbers each, pass through the driver.
+
+def with_next(docs: DataFrame, groups: int | None = None) -> DataFrame:
+    """(doc_id, text, ...) -> (grp, rn, tail, doc_id, text, next_text, copies): each row with the next one's text.
+
+    The order is descending doc_id, nulls last, then the text's hash, then text; after the last row comes the first. No global
+    sort: doc_ids are dealt by quantiles into `groups` ranges; rows without doc_id, and those of a doc_id that fills several
+    ranges, by their hash, and equal ones of them are counted first and stand as a row with the number of its `copies`. A range
+    also gets the first row of the next as its tail, so that one window over the ranges sees every neighbour. Tail rows have
+    tail = true. Runs three small jobs when called: only the quantiles and the first place of each range, numbers in
+    proportion to `groups`, pass through the driver.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    rows, known = d.agg(F.count("*"), F.count("doc_id")).first()
     if groups is None:
         groups = GROUPS[0]
-        rows = d.count()
         while groups < GROUPS[1] and groups * GROUP_ROWS < rows:
             groups *= 2
+    if not rows:
+        return d.select(F.lit(0).alias("grp"), F.lit(0).alias("rn"), F.lit(False).alias("tail"), "doc_id", "text", F.col("text").alias("next_text"), F.lit(1).alias("copies"))
     probs = [i / groups for i in range(1, groups)]
-    bounds = d.agg(F.percentile_approx("doc_id", probs, 20 * groups)).first()[0] or []
-    bounds = sorted({int(b) for b in bounds})
-    bounds += [(1 << 63) - 1] * (groups - 1 - len(bounds))
-    steps = [groups >> i for i in range(1, groups.bit_length())]
-    table, walk = _longs(bounds), F.array(*map(F.lit, steps))
-    # Binary search: how many bounds are at most the doc_id; 0 for null. Groups go down from `groups`, as the order does.
-    found = F.aggregate(walk, F.lit(0), lambda a, s: F.when(F.get(table, a + s - 1) <= F.col("doc_id"), a + s).otherwise(a))
-    grouped = d.select("doc_id", "text", (F.lit(groups) - F.when(F.col("doc_id").isNull(), -1).otherwise(found)).cast("int").alias("grp"))
-    heads = {r["grp"]: r["head"] for r in grouped.groupBy("grp").agg(F.max("doc_id").alias("head")).collect()}
-    if not heads:
-        return grouped.select("grp", F.lit(0).alias("rn"), F.lit(False).alias("tail"), "doc_id", "text", F.col("text").alias("next_text"))
+    found = d.agg(F.percentile_approx("doc_id", probs, 20 * groups)).first()[0] or []
+    times = Counter(map(int, found))
+    bounds = sorted(times)
+    # Ranges go down, as the order does: that above the last bound is the first. Of each, the rows of its least doc_id come
+    # last, and are dealt by bits of the hash if that doc_id is hot; nulls are the last range.
+    bits = [0] + [_bits(times[b]) if times[b] > 1 else 0 for b in bounds] + [_bits(groups * (rows - known) / rows)]
+    start, at = [0] * len(bits), 0
+    for i in [*range(len(bounds), -1, -1), len(bits) - 1]:
+        start[i], at = at, at + 1 + (1 << bits[i])
+    steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
+    table = _longs(bounds + [(1 << 63) - 1] * (2 * steps[0] - len(bounds) if steps else 0))
+    # Binary search: how many bounds are at most the doc_id.
+    below = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda a, s: F.when(F.get(table, a + s - 1) <= F.col("doc_id"), a + s).otherwise(a)) if steps else F.lit(0)
+    below = F.least(below, F.lit(len(bounds)))  # the greatest long is at the filling, too
+    dealt_by_hash = any(bits) or known < rows
+    at = d.select("doc_id", "text", F.when(F.col("doc_id").isNull(), len(bits) - 1).otherwise(below).alias("r"))
+    if dealt_by_hash:
+        at = at.withColumn("b", F.get(_longs(bits), F.col("r")).cast("int"))
+        at = at.withColumn("split", F.col("doc_id").isNull() | F.coalesce((F.col("b") > 0) & (F.get(table, F.col("r") - 1) == F.col("doc_id")), F.lit(False)))
+    else:
+        at = at.withColumns({"b": F.lit(0), "split": F.lit(False)})
+    h = F.xxhash64("text")
+    place = F.get(_longs(start), F.col("r")) + F.when(F.col("split"), 1 + _bucket(h, F.col("b"))).otherwise(0)
+    grouped = at.select("doc_id", "text", "split", place.cast("int").alias("grp"))
+    # What tells a range's first row: its doc_id (negated without overflow), or its hash where the rows are dealt by it.
+    first = F.when(F.col("split"), F.when(F.lit(dealt_by_hash), h)).otherwise(F.bitwise_not("doc_id")) if dealt_by_hash else F.bitwise_not("doc_id")
+    heads = {r["grp"]: r["head"] for r in grouped.groupBy("grp").agg(F.min(first).alias("head")).collect()}
     order = sorted(heads)
+    size = order[-1] + 1
     before = {g: order[i - 1] for i, g in enumerate(order)}
-    # By group: the one whose tail its first row is, and that row's doc_id (null in the last group, of null doc_ids).
-    goes = F.get(_longs([before.get(g, 0) for g in range(groups + 2)]), F.col("grp")).cast("int")
-    first = F.when(F.col("grp") <= groups, F.get(_longs([heads.get(g) or 0 for g in range(groups + 1)]), F.col("grp")))
-    is_head = F.col("doc_id").eqNullSafe(first)
-    places = F.when(is_head, F.array(F.struct(F.col("grp").alias("grp"), F.lit(False).alias("tail")), F.struct(goes.alias("grp"), F.lit(True).alias("tail"))))
-    places = places.otherwise(F.array(F.struct(F.col("grp").alias("grp"), F.lit(False).alias("tail"))))
-    dealt = grouped.select("doc_id", "text", F.explode(places).alias("p")).select("p.grp", "p.tail", "doc_id", "text")
-    w = Window.partitionBy("grp").orderBy("tail", F.desc_nulls_last("doc_id"), "text")
-    return dealt.select("grp", F.row_number().over(w).alias("rn"), "tail", "doc_id", "text", F.lead("text").over(w).alias("next_text"))
+    goes = F.get(_longs([before.get(g, 0) for g in range(size)]), F.col("grp")).cast("int")
+    is_head = first == F.get(_longs([heads.get(g, 0) for g in range(size)]), F.col("grp"))
+    tails = grouped.filter(is_head).groupBy(goes.alias("grp")).agg(F.min(F.struct("doc_id", h.alias("h"), "text")).alias("x"))
+    tails = tails.select("grp", F.lit(True).alias("tail"), "x.doc_id", "x.text", F.lit(0).alias("part"), F.lit(1).alias("copies"))
+    own = ["grp", F.lit(False).alias("tail"), "doc_id", "text"]
+    dealt = grouped.filter(~F.col("split")).select(*own, F.lit(0).alias("part"), F.lit(1).alias("copies"))
+    if dealt_by_hash:
+        counted = grouped.filter("split").groupBy("grp", "doc_id", "text").agg((F.count("*") - 1).alias("more"))
+        # All copies but one, in rows of at most `COPIES`, come before that one, whose next row is another text.
+        many = F.transform(F.sequence(F.lit(0), F.expr(f"cast((more + {COPIES - 1}) div {COPIES} AS INT)")), lambda i: F.struct(i.alias("part"), F.least(F.lit(COPIES), F.col("more") - i.cast("long") * COPIES).cast("int").alias("copies")))
+        one = F.array(F.struct(F.lit(1 << 30).alias("part"), F.lit(1).alias("copies")))
+        parts = F.concat(F.filter(many, lambda x: x["copies"] > 0), one)
+        dealt = dealt.union(counted.select(*own, F.explode(parts).alias("p")).select("grp", "tail", "doc_id", "text", "p.part", "p.copies"))
+    dealt = dealt.union(tails)
+    w = Window.partitionBy("grp").orderBy("tail", F.desc_nulls_last("doc_id"), h, "text", "part")
+    return dealt.select("grp", F.row_number().over(w).alias("rn"), "tail", "doc_id", "text", F.lead("text").over(w).alias("next_text"), "copies")
 
 
 def document_fingerprints(docs: DataFrame, width: int = WIDTH, groups: int | None = None) -> DataFrame:
@@ -121,25 +163,26 @@ def document_fingerprints(docs: DataFrame, width: int = WIDTH, groups: int | Non
     The edited text is the text with its last floor(n_chars / 2) code points replaced by the first as many (or all) of
     the next document's. Likenesses are the cosines that the fingerprints' distances stand for. Null text counts as
     empty; a text without words has fingerprint zero. One row per row, repeated rows and null doc_ids (last in the
-    order) included; a single row is its own next one. An empty table gives an empty table. Other columns are ignored.
+    order, as `with_next` has it) included; a single row is its own next one. An empty table gives an empty table. Other columns are ignored.
     """
     rows = with_next(docs, groups).select(
-        "grp", "rn", "tail", "doc_id", F.length("text").cast("long").alias("n_chars"), "text",
+        "grp", "rn", "tail", "copies", "doc_id", F.length("text").cast("long").alias("n_chars"), "text",
         F.expr("concat(left(text, length(text) - cast(length(text) div 2 as int)), left(next_text, cast(length(text) div 2 as int)))").alias("edited"),
     )
     both = rows.select(
-        "grp", "rn", "tail", "doc_id", "n_chars", F.when(~F.col("tail"), F.sha2("edited", 256)).alias("edited_sha256"),
+        "grp", "rn", "tail", "copies", "doc_id", "n_chars", F.when(~F.col("tail"), F.sha2("edited", 256)).alias("edited_sha256"),
         F.explode(F.when(F.col("tail"), F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t")))).otherwise(
             F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t"))))).alias("x"),
     )
-    keys = ["grp", "rn", "tail", "doc_id", "n_chars", "edited_sha256", "kind"]
+    keys = ["grp", "rn", "tail", "copies", "doc_id", "n_chars", "edited_sha256", "kind"]
     flat = both.select(*keys[:-1], "x.kind", F.col("x.t").alias("t"))
     fps = simhash(flat, keys, "t", width)
     side = lambda k, c: F.max(F.when(F.col("kind") == k, F.col(c))).alias(f"{c}_{k}")
     one = fps.groupBy(*keys[:-1]).agg(side(0, "fp0"), side(0, "fp1"), side(1, "fp0"), side(1, "fp1"))
     w = Window.partitionBy("grp").orderBy("rn")
     seen = one.withColumns({"n0": F.lead("fp0_0").over(w), "n1": F.lead("fp1_0").over(w)}).filter(~F.col("tail"))
-    return seen.select(
+    repeated = F.when(F.col("copies") > 1, F.array_repeat(F.lit(1), F.col("copies"))).otherwise(F.array(F.lit(1)))
+    return seen.withColumn("_", F.explode(repeated)).select(
         "doc_id", "n_chars", "edited_sha256", hex128("fp0_0", "fp1_0").alias("fingerprint"), hex128("fp0_1", "fp1_1").alias("edited_fingerprint"),
         likeness(distance(*[F.col(c) for c in ("fp0_0", "fp1_0", "fp0_1", "fp1_1")])).alias("near_edited"),
         likeness(distance(*[F.col(c) for c in ("fp0_0", "fp1_0", "n0", "n1")])).alias("near_next"),

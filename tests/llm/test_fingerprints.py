@@ -1,7 +1,9 @@
 import hashlib
 import random
+from collections import Counter
 
 import xxhash
+from pyspark.sql import functions as F
 
 from factloom.llm import fingerprints as P
 
@@ -74,6 +76,26 @@ def test_against_brute_force(spark):
         assert r.class_id == (min(ids) if ids else None)
 
 
+def test_null_and_hot_ids_are_split(spark):
+    rng = random.Random(4)
+    text = lambda n: " ".join(rng.choice("abcdefgh") for _ in range(n))
+    rows = [(None, text(12)) for _ in range(1500)] + [(None, "same words here")] * 9000 + [(None, None)] * 3
+    rows += [(77, text(12)) for _ in range(1500)] + [(77, "same words here")] * 700 + [(i, text(9)) for i in range(400)] + [((1 << 63) - 1, "top"), (-(1 << 63), "low")]
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], DOCS)
+    order = sorted([(i, t or "") for i, t in rows], key=lambda r: (r[0] is None, -(r[0] or 0), h(r[1], 42), r[1]))
+    want = Counter()
+    for k, (i, t) in enumerate(order):
+        nxt = order[(k + 1) % len(order)][1]
+        want[i, hashlib.sha256((t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]).encode()).hexdigest()] += 1
+    for groups in (1, 2, 64):
+        got = P.document_fingerprints(df, groups=groups).collect()
+        assert Counter((r.doc_id, r.edited_sha256) for r in got) == want, groups
+        assert all(0 <= r.near_next <= 1 for r in got)
+    sizes = P.with_next(df, 64).groupBy("grp").agg(F.count("*").alias("n"), F.sum(F.col("tail").cast("int")).alias("tails")).collect()
+    assert max(r.n for r in sizes) < 500 and all(r.tails == 1 for r in sizes)
+
+
 def test_empty_and_single(spark):
     df = spark.createDataFrame([(1, "a b c d e f", 1, "")], DOCS)
     assert P.fingerprints_with_links(df.limit(0)).count() == 0
