@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import errors, text, truncation
-from .operators import decisions, entities, fulltext, graph, indexed, lifecycle, namespaces, postings, relational, retrieve, stored_graph, stored_vectors, updates, vector
+from .operators import chats, decisions, entities, fulltext, graph, indexed, lifecycle, namespaces, postings, relational, retrieve, stored_graph, stored_vectors, updates, vector
 from .plans import adapters, runtime
 from .plans.adapters import KnowledgeBase
 from .sources import files as source_files
@@ -710,3 +710,22 @@ query(
     s AS (SELECT fact_id, max(id) // 600 AS p, list_reduce(list_prepend({'d': 1.0::DOUBLE, 'p': 0::BIGINT}, list({'d': d, 'p': p} ORDER BY id)), lambda a, x: {'d': least(2.0, greatest(0.0, 1 + (a.d - 1) * power(0.9::DOUBLE, x.p) + x.d)), 'p': 0::BIGINT}).d AS score FROM v GROUP BY 1)
     SELECT fact_id, round(1 + (score - 1) * power(0.9::DOUBLE, (SELECT max(id) // 600 + 1 FROM feedback) - p), 6) AS user_score FROM s""",
 )(lambda k: _decayed(k).select("fact_id", F.round("user_score", 6).alias("user_score")))
+
+
+def _chats(k: KnowledgeBase) -> DataFrame:
+    """All turns saved in two batches; every seventh session is deleted in between, and a fifth of what stands is rated at the end."""
+    log = chats.ChatLog(k.spark, f"{runtime.shared_dir(k.spark)}/{k.spark.sparkContext.applicationId}/chats-{uuid.uuid4().hex}")
+    turns = k.chat.select((F.col("id") + 1).alias("seq"), "kb_name", "session_id", "role", "content", F.timestamp_seconds("created_at").alias("created_at"))
+    early = F.col("seq") % 1000 <= 2
+    log.save(turns.filter(early))
+    log.delete(turns.filter(F.col("session_id").cast("long") % 7 == 0).select("kb_name", "session_id"))
+    log.save(turns.filter(~early))
+    at = F.unix_seconds("created_at")
+    log.rate(log.messages().filter(at % 5 == 0).select(F.col("id").alias("seq"), "id", F.when(at % 10 == 0, "negative").otherwise("positive").alias("feedback_given")))
+    return log.messages().select("kb_name", "session_id", "role", "content", at.alias("created_at"), "feedback_given")
+
+
+query(
+    "ch_01_chats",
+    "SELECT kb_name, session_id, role, content, created_at, CASE WHEN created_at % 10 = 0 THEN 'negative' WHEN created_at % 5 = 0 THEN 'positive' END AS feedback_given FROM chat WHERE NOT (created_at % 1000 < 2 AND session_id::BIGINT % 7 = 0)",
+)(_chats)
