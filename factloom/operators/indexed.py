@@ -15,11 +15,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import errors, text
-from ..plans.runtime import materialize
+from ..plans.runtime import discard, materialize
 from ..plans.segments import Segments
 from . import decisions, lifecycle, relational, updates, vector
 from .stored_graph import StoredGraph
 
+#: Files that a batch's rows are dealt to, which are read in parallel.
+WIDTH = 16
+_WORK = "path string, sha256 string, text string"
 _TABLES = {
     "files": "path string, sha256 string, id long, status string",
     "chunks": "path string, file_id long, chunk_index int, content string, id long",
@@ -84,7 +87,7 @@ class IndexedBase:
     ) -> dict:
         """listing(path, sha256, text) against the files that are done: new and changed ones are taken, vanished ones removed.
 
-        A batch holds about `batch_files` files. `stop` is asked between batches. `only` names one path to index anew,
+        A batch holds about `batch_files` of the files that are taken. `stop` is asked between batches. `only` names one path to index anew,
         whatever its hash, and nothing else changes then. A file whose every chunk fails is failed, and is taken again by the
         next run. Returns the run's counts.
         """
@@ -98,20 +101,31 @@ class IndexedBase:
             work = listing.join(changes.filter("change IN ('added', 'modified')").select("path"), "path", "left_semi")
         else:
             work = listing.filter(F.col("path") == only)
-        # Batches by the path's hash are the same whatever is left to do; their number is that of the whole listing.
-        parts = max(1, math.ceil(listing.count() / batch_files)) if only is None else 1
-        status = "completed"
-        for i in range(parts):
+        at, status = self.files.new(), "completed"
+        for i in self._dealt(work, batch_files, at):
             if stop and stop():
                 status = "stopped"
                 break
-            batch = work.filter(F.pmod(F.xxhash64("path", F.lit(1)), F.lit(parts)) == i)
-            if batch.limit(1).count():
-                self._batch(number, batch, extractor, embedder, max_chars, overlap)
+            batch = self.spark.read.schema(_WORK).parquet(f"{at}/work/batch={i}")
+            old = self.spark.read.schema("id long").parquet(f"{at}/old/batch={i}") if self.files._exists(f"{at}/old/batch={i}") else None
+            self._batch(number, batch, old, extractor, embedder, max_chars, overlap)
+        discard(self.spark, [at])
         self.files.commit([*self.files.segments(), {"run": number, "path": None, "status": status}])
         return self.runs()[-1]
 
-    def _batch(self, number: int, batch: DataFrame, extractor, embedder, max_chars: int, overlap: int) -> None:
+    def _dealt(self, work: DataFrame, batch_files: int, at: str) -> list[int]:
+        """Writes what a run is to do in a folder a batch, by the path's hash, and beside it the facts that stand under the same
+        paths now, so that a batch reads its own rows only. Returns the batches that have a file."""
+        todo = materialize(work.select("path", "sha256", "text"), "work")
+        parts = max(1, math.ceil(todo.count() / batch_files))
+        batch = F.pmod(F.xxhash64("path", F.lit(1)), F.lit(parts)).cast("int").alias("batch")
+        rows = todo.select("*", batch).repartition("batch", F.pmod(F.xxhash64("path", F.lit(2)), F.lit(WIDTH)))
+        rows.write.partitionBy("batch").parquet(f"{at}/work")
+        facts = self.table("facts").join(todo.select("path", batch), "path").select("id", "batch")
+        facts.repartition("batch").write.partitionBy("batch").parquet(f"{at}/old")
+        return [r["batch"] for r in todo.select(batch).distinct().orderBy("batch").collect()]
+
+    def _batch(self, number: int, batch: DataFrame, old: DataFrame | None, extractor, embedder, max_chars: int, overlap: int) -> None:
         at, spark = self.files.new(), self.spark
         named = batch.select("path", "sha256", updates.id_of("path").alias("file_id"))
         pieces = batch.select("path", updates.id_of("path").alias("file_id"), F.posexplode(text.chunk_udf(max_chars, overlap)(F.col("text"))).alias("chunk_index", "content"))
@@ -130,18 +144,20 @@ class IndexedBase:
         good = raw.groupBy("file_id").agg(F.count_if(F.col("error").isNull()).alias("_good"), F.count_if(F.col("error").isNotNull()).alias("_bad"))
         state = F.when((F.col("_bad") > 0) & (F.col("_good") == 0), "failed").otherwise("done")
         named.join(good, "file_id", "left").select("path", "sha256", F.col("file_id").alias("id"), state.alias("status")).write.parquet(f"{at}/files")
-        self._commit(number, at, paths.select("path"), {"files_changed": spark.read.parquet(f"{at}/files").count(), "facts_added": facts.count()})
+        self._commit(number, at, paths.select("path"), {"files_changed": spark.read.parquet(f"{at}/files").count(), "facts_added": facts.count()}, old)
 
-    def _commit(self, number: int, at: str | None, paths: DataFrame, counts: dict) -> None:
-        """Makes a batch visible, and what stood under its paths gone. The graph goes first: to put the same facts in again
-        changes nothing, should the run be killed in between."""
+    def _commit(self, number: int, at: str | None, paths: DataFrame, counts: dict, old: DataFrame | None = None) -> None:
+        """Makes a batch visible, and what stood under its paths gone: a batch is told these facts, `old`, if there are any. The
+        graph goes first: to put the same facts in again changes nothing, should the run be killed in between."""
         rows, at = at is not None, at or self.files.new()
         paths.write.parquet(f"{at}/gone")
-        gone = self.spark.read.schema("path string").parquet(f"{at}/gone")
-        old = self.table("facts").join(gone, "path", "left_semi").select("id")
-        n = old.count()
+        if not rows:
+            gone = self.spark.read.schema("path string").parquet(f"{at}/gone")
+            old = self.table("facts").join(gone, "path", "left_semi").select("id")
+        n = old.count() if old is not None else 0
         new = self.spark.read.schema(_TABLES["facts"]).parquet(f"{at}/facts").withColumn("status", F.lit("active")) if rows else None
-        self.graph.change(put=self.names.resolve(new) if rows else None, taken=old.union(new.select("id")) if rows else old)
+        taken = reduce(DataFrame.union, [d for d in (old, new.select("id") if rows else None) if d is not None])
+        self.graph.change(put=self.names.resolve(new) if rows else None, taken=taken)
         self.files.commit([*self.files.segments(), {"run": number, "path": at, "rows": rows, "facts_removed": n, **counts}])
 
 

@@ -76,3 +76,25 @@ def test_stop_and_empty(spark, tmp_path):
     assert base.run(listing(spark, FILES), batch_files=2, stop=lambda: base.table("files").count() > 0)["status"] == "stopped"
     assert 0 < base.table("files").count() < 8
     assert base.run(listing(spark, FILES).limit(0))["status"] == "completed" and base.table("facts").count() == 0 and base.graph.edges().count() == 0
+
+
+def test_batches_read_their_own_rows(spark, tmp_path):
+    """A listing's texts are made as often in eight batches as in one, and each is cut into chunks once."""
+    made, cut = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def told(t):
+        made.add(1)
+        return t
+
+    def extractor(chunk, r):
+        cut.add(1)
+        return lifecycle.rule_extractor(chunk, r)
+
+    base, counts = IndexedBase(spark, str(tmp_path / "base")), []
+    for n, suffix in ((8, ""), (1, " Ida is old.")):
+        made.value = cut.value = 0
+        base.run(listing(spark, {p: t + suffix for p, t in FILES.items()}).withColumn("text", told("text")), extractor, batch_files=n)
+        counts.append((made.value, cut.value))
+    assert counts[0] == counts[1] and counts[0][1] == 16
+    assert base.table("chunks").count() == 8 and len(base.runs()) == 2
