@@ -36,12 +36,19 @@ def _bucket(term: Column) -> Column:
     return bucket(term, BUCKETS)
 
 
-def cut(docs: DataFrame, key: str = "id", fields=FIELDS, status: str | None = "status") -> DataFrame:
-    """(id, term, tf, dl, live): the postings of documents; live: whether their status is active."""
+def told(docs: DataFrame, key: str = "id", fields=FIELDS, status: str | None = "status") -> DataFrame:
+    """(id, live, t): documents' words; live: whether their status is active. Documents are dealt to all tasks by id before they
+    are cut, and written, so that all that counts words reads them."""
     own = [f for f in fields if f in docs.columns]
     live = (F.coalesce(F.col(status) == "active", F.lit(False)) if status else F.lit(True)).alias("live")
-    t = docs.select(F.col(key).cast("long").alias("id"), live, tokens(F.concat_ws(" ", *own)).alias("t"))
-    return t.select("id", "live", F.size("t").cast("long").alias("dl"), F.explode("t").alias("term")).groupBy("id", "live", "dl", "term").agg(F.count("*").alias("tf"))
+    dealt = docs.select(F.col(key).cast("long").alias("id"), live, F.concat_ws(" ", *own).alias("text")).repartition("id")
+    return materialize(dealt.select("id", "live", tokens(F.col("text")).alias("t")), "words")
+
+
+def cut(words: DataFrame) -> DataFrame:
+    """told -> (id, term, tf, dl, live): the postings of documents. What is dealt by id is counted where it is."""
+    each = words.repartition("id").select("id", "live", F.size("t").cast("long").alias("dl"), F.explode("t").alias("term"))
+    return each.groupBy("id", "live", "dl", "term").agg(F.count("*").alias("tf"))
 
 
 def rows_of(postings: DataFrame) -> DataFrame:
@@ -54,10 +61,6 @@ def rows_of(postings: DataFrame) -> DataFrame:
     return each.select("term", "cell", F.size("p").cast("long").alias("n"), "max_tf", "min_dl", *arrays, _bucket(F.col("term")).alias("bucket"))
 
 
-def _lengths(docs: DataFrame, fields) -> DataFrame:
-    return docs.select(F.size(tokens(F.concat_ws(" ", *[f for f in fields if f in docs.columns]))).cast("long").alias("dl"))
-
-
 @dataclass
 class Index:
     """A stored index in a folder; see `plans.segments` for how changes become visible."""
@@ -87,10 +90,12 @@ class Index:
         for rows, sign in ((put, 1), (taken, -1)):
             if rows is None:
                 continue
-            own = materialize(cut(rows, self.key, self.fields, self.status), "postings")
+            words = told(rows, self.key, self.fields, self.status)
+            own = materialize(cut(words), "postings")
             counts.append(own.groupBy("term").agg((sign * F.count("*")).alias("df")))
-            told = _lengths(rows, self.fields).agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("dl")).first()
-            n, dl = n + sign * told["n"], dl + sign * told["dl"]
+            size = F.size("t").cast("long")
+            all_of = words.agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("dl")).first()
+            n, dl = n + sign * all_of["n"], dl + sign * all_of["dl"]
             if sign > 0:
                 self.files.write(rows_of(own), f"{at}/postings", "term", "cell")
             else:
