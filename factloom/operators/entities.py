@@ -19,20 +19,28 @@ from . import graph, relational, updates, vector
 LEAST, MOST = 0.0, 2.0
 
 
+def _traits(names: DataFrame) -> DataFrame:
+    """What the long rules say of a name, as columns. A filter on flags would ask them once more, so they stand below a join."""
+    c = F.col("name")
+    rules = {"score": text.gibberish(c), "_numeric": text.numeric_dominant(c), "_code": text.code_like(c), "_date": text.date_like(c)}
+    return names.withColumns(rules)
+
+
 def flags(name: Column, degree: Column, sources: Column, ocr: Column, images: Column, word: Column | None = None) -> Column:
-    """QA-01: what is suspicious about an entity, as an array. `word`: whether its Chinese parts make words, if that is known."""
+    """QA-01: what is suspicious about an entity with its `_traits`, as an array. `word`: whether its Chinese parts make words, if
+    that is known."""
     n = F.length(name)
     tests = (
         ("too_short", n <= 1),
         ("too_long", n > 15),
-        ("gibberish", text.gibberish(name) >= 0.3),
+        ("gibberish", F.col("score") >= 0.3),
         ("not_a_word", F.lit(False) if word is None else name.rlike(text.CJK_NAME) & ~word),
         ("isolated", degree == 0),
         ("ocr_only", (ocr > 0) & (ocr == sources)),
         ("image_source", (sources > 0) & (images == sources)),
-        ("numeric_dominant", text.numeric_dominant(name)),
-        ("looks_like_code", text.code_like(name)),
-        ("looks_like_date", text.date_like(name)),
+        ("numeric_dominant", F.col("_numeric")),
+        ("looks_like_code", F.col("_code")),
+        ("looks_like_date", F.col("_date")),
     )
     return F.array_compact(F.array(*[F.when(t, F.lit(f)) for f, t in tests]))
 
@@ -42,7 +50,8 @@ def check(entities: DataFrame, segment: Callable[[str], list[str]] | None = None
     `segment` cuts Chinese names into words; without it all of them pass."""
     word = text.word_check(segment)(F.col("name")) if segment else None
     own = [F.col(c) for c in ("name", "degree", "sources", "ocr", "images")]
-    out = entities.withColumns({"flags": flags(*own, word), "score": text.gibberish(F.col("name"))})
+    known = entities if "score" in entities.columns else _traits(entities)
+    out = known.withColumn("flags", flags(*own, word)).drop("_numeric", "_code", "_date")
     return out.withColumn("suspect", F.size("flags") >= 2)
 
 
@@ -57,12 +66,13 @@ def flag_stats(checked: DataFrame) -> DataFrame:
 
 
 def entity_table(facts: DataFrame, files: DataFrame) -> DataFrame:
-    """QA-03: name, degree, and the numbers of its files, of those read by OCR and of images among them."""
-    deg = graph.degrees(graph.build_edges(facts))
-    named = facts.filter("status = 'active'").select("file_id", F.explode(F.array("subject", "object")).alias("name")).distinct()
+    """QA-03: name, degree, and the numbers of its files, of those read by OCR and of images among them, with its traits."""
+    live = graph.live_facts(facts)
+    deg = graph.degrees(live.filter("NOT literal").select(F.col("subject").alias("src"), F.col("object").alias("dst")).distinct())
+    named = live.select("file_id", F.explode(F.array("subject", "object")).alias("name")).distinct()
     known = files.select(F.col("id").alias("file_id"), F.col("error_msg").ilike("%OCR%").alias("o"), suffix(F.col("path")).isin(*IMAGES).alias("i"))
     src = named.join(known, "file_id").groupBy("name").agg(F.count("*").alias("sources"), F.count_if("o").alias("ocr"), F.count_if("i").alias("images"))
-    return graph.nodes(facts).join(deg, "name", "left").join(src, "name", "left").fillna(0, ["degree", "sources", "ocr", "images"])
+    return _traits(graph.nodes_of(live)).join(deg, "name", "left").join(src, "name", "left").fillna(0, ["degree", "sources", "ocr", "images"])
 
 
 def suspect_proposals(facts: DataFrame, files: DataFrame, proposals: DataFrame) -> DataFrame:
@@ -86,20 +96,21 @@ def _met(names: DataFrame, heads: list, least: float) -> DataFrame:
 
     def product(batches):
         for batch in batches:
-            of: dict[int, list[int]] = {}
-            own, vectors = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i, v in enumerate(vectors):
-                of.setdefault(len(v), []).append(i)
+            batch = batch.filter(batch.column(1).is_valid())
+            own, column = batch.column(0).to_pylist(), batch.column(1)
+            starts = column.offsets.to_numpy()
+            values, sizes = column.values.to_numpy(zero_copy_only=False), np.diff(starts)
+            of = {int(n): np.flatnonzero(sizes == n) for n in np.unique(sizes)}
             out = ([], [], [])
             for n, rows in of.items():
                 if n not in sent.value:
                     continue
                 firsts, table = sent.value[n]
-                cosine = _unit(np.array([vectors[i] for i in rows], np.float64).reshape(len(rows), n)) @ table.T
+                cosine = _unit(values[starts[rows][:, None] + np.arange(n)].astype(np.float64)) @ table.T
                 for i, j in zip(*np.nonzero(cosine >= least)):
                     if firsts[j].encode() < own[rows[i]].encode():
-                        for column, value in zip(out, (firsts[j], own[rows[i]], float(cosine[i, j]))):
-                            column.append(value)
+                        for made, value in zip(out, (firsts[j], own[rows[i]], float(cosine[i, j]))):
+                            made.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.float64())], names=["entity_a", "entity_b", "similarity"])
 
     return names.mapInArrow(product, "entity_a string, entity_b string, similarity double")
@@ -117,27 +128,33 @@ def merge_candidates(entities: DataFrame, similarity: float = 0.8, string_least:
     all behind, and no more than are needed to reach it: mostly one block, and then the work grows with the names, not with
     their pairs. Without a cap, and behind `BLOCKS` blocks, pairs come tile by tile. Strings are compared last.
     """
-    own = entities.filter(~text.numeric_dominant(F.col("name")) & ~text.code_like(F.col("name")) & (text.gibberish(F.col("name")) < 0.5) & F.col("embedding").isNotNull())
-    named = materialize(own.select("name", "embedding").dropDuplicates(["name"]), "names")
+    own = entities.filter(~text.numeric_dominant(F.col("name")) & ~text.code_like(F.col("name")) & (text.gibberish(F.col("name")) < 0.5))
+    # Names are written without their vectors, which may be made anew for each block: mostly there is one.
+    names = materialize(own.select("name").distinct(), "names")
+    named = lambda d: entities.join(d.select("name"), "name", "left_semi").select("name", "embedding")
     like = text.string_similarity(F.col("entity_a"), F.col("entity_b")) >= string_least
     found, n, last, size = [], 0, None, HEADS
     for _ in range(BLOCKS if most else 0):
-        rest = named if last is None else named.filter(F.col("name") > last)
-        heads = rest.orderBy("name").limit(size).collect()
-        if not heads:
+        rest = names if last is None else names.filter(F.col("name") > last)
+        first = [r["name"] for r in rest.orderBy("name").limit(size).collect()]
+        if not first:
             break
-        met = materialize(_met(rest, heads, similarity).filter(like).orderBy("entity_a", "entity_b").limit(most - n), "met")
+        heads = entities.filter(F.col("name").isin(first)).select("name", "embedding").dropDuplicates(["name"]).collect()
+        heads = [h for h in heads if h["embedding"] is not None]
+        met = _met(named(rest), heads, similarity).filter(like).groupBy("entity_a", "entity_b").agg(F.max("similarity").alias("similarity"))
+        met = materialize(met.orderBy("entity_a", "entity_b").limit(most - n), "met")
         found.append(met)
-        n, last, size = n + met.count(), heads[-1]["name"], 4 * size
+        n, last, size = n + met.count(), first[-1], 4 * size
         if n >= most:
             break
     else:
-        rest = (named if last is None else named.filter(F.col("name") > last)).withColumn("fact_id", F.xxhash64("name"))
+        rest = named(names if last is None else names.filter(F.col("name") > last)).dropDuplicates(["name"])
+        rest = materialize(rest.withColumn("fact_id", F.xxhash64("name")), "named").filter("embedding IS NOT NULL")
         pairs = vector.similar_pairs(rest, similarity, strict=False)
         of = lambda p: rest.select(F.col("fact_id").alias(p), F.col("name").alias(f"n{p}"))
         both = pairs.join(of("a"), "a").join(of("b"), "b").select(F.least("na", "nb").alias("entity_a"), F.greatest("na", "nb").alias("entity_b"), F.col("cosine").alias("similarity"))
         found.append(both.filter(like))
-    out = reduce(DataFrame.union, found) if found else named.select(F.col("name").alias("entity_a"), F.col("name").alias("entity_b"), F.lit(0.0).alias("similarity")).limit(0)
+    out = reduce(DataFrame.union, found) if found else names.select(F.col("name").alias("entity_a"), F.col("name").alias("entity_b"), F.lit(0.0).alias("similarity")).limit(0)
     if most:
         out = out.orderBy("entity_a", "entity_b").limit(most)
     return out.orderBy(F.desc("similarity"), "entity_a", "entity_b")

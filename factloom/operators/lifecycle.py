@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import errors, text
-from ..plans.runtime import materialize
+from ..plans.runtime import materialize, small_batches
 from . import relational, updates
 
 Extractor = Callable[[str, int], str]
@@ -49,6 +49,7 @@ def extract(chunks: DataFrame, extractor: Extractor = rule_extractor, rounds: in
                         out.append((i, f, r, *[None] * len(fields), wrong))
             yield pd.DataFrame(out, columns=["chunk_id", "file_id", "round", *fields, "error"]).astype({"confidence": "Int32"})
 
+    small_batches(chunks.sparkSession)
     schema = "chunk_id long, file_id long, round int, " + ", ".join(f"{c} string" for c in errors.FACT_FIELDS) + ", confidence int, error string"
     return chunks.select("id", "file_id", "content").mapInPandas(run, schema).withColumn("error_class", F.when(F.col("error").isNotNull(), errors.error_class(F.col("error"))))
 

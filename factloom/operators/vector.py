@@ -185,21 +185,26 @@ def embedding_text(title: Column, subject: Column, predicate: Column, obj: Colum
 def hash_embedder(dimension: int = 64):
     """VEC-07's default: a deterministic hashing embedder, normalised; any function texts -> vectors can stand in."""
 
-    def embed(texts: list[str]) -> list[list[float]]:
+    def rows(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), dimension))
         for i, t in enumerate(texts):
             for w in (t or "").lower().split():
                 h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "big")
                 out[i, h % dimension] += 1 if h >> 63 else -1
         n = np.linalg.norm(out, axis=1, keepdims=True)
-        return (out / np.where(n > 0, n, 1)).astype(np.float32).tolist()
+        return (out / np.where(n > 0, n, 1)).astype(np.float32)
+
+    def embed(texts: list[str]) -> list[list[float]]:
+        return rows(texts).tolist()
 
+    embed.rows = rows  # the same without a Python number for each component
     return embed
 
 
 def embed(df: DataFrame, column: str, embedder=None, batch: int = 32) -> DataFrame:
     """VEC-07, VEC-08: an embedding for each row's text, in batches."""
     fn = embedder or hash_embedder()
+    fn = getattr(fn, "rows", fn)
 
     @F.pandas_udf("array<float>")
     def run(s: pd.Series) -> pd.Series:
