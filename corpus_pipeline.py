@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import jaccard_neardup, line_dedup, mixing, packing, quality_crf
+from factloom.llm import jaccard_neardup, line_dedup, mixing, packing, quality_crf, simhash_neardup
 from factloom.llm.common import table
 from factloom.plans.runtime import discard, materialize, scratch
 
@@ -23,8 +23,9 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: Jaccard similarity 0.8 or more on five-word shingles."""
-    return jaccard_neardup.keep_one(docs, width=5, similarity=0.8)
+    """One document of each group of near duplicates: texts whose fingerprints link (op2's search), and those of Jaccard similarity
+    0.8 or more on five-word shingles, most of which differ in more bits than that search allows."""
+    return jaccard_neardup.keep_one(docs, width=5, similarity=0.8, links=simhash_neardup.text_links(docs))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.components import connected_components
 from . import line_dedup
 from .common import batch, map_arrow, text_or_empty
 from .simhash_neardup import shingle_hashes
@@ -68,13 +69,16 @@ def text_components(docs: DataFrame, width: int = WIDTH, similarity: float = SIM
     return line_dedup.line_components(docs, sigs, similarity, lambda d, need: text_sets(d, need, width), lambda s: s)
 
 
-def keep_one(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, links: DataFrame | None = None) -> DataFrame:
     """Keeps exactly one row of each component of near duplicates; the columns of `docs`.
 
     It is the row with the smallest doc_id, nulls last, then by the hash of the text. Null text counts as empty. Texts
-    alone decide: rows of equal doc_id and unlike texts are rows of different components.
+    alone decide: rows of equal doc_id and unlike texts are rows of different components. `links` (src, dst) of texts' hashes,
+    as another method finds them, count beside those of the similarity.
     """
     named = text_components(docs, width, similarity)
+    if links is not None:
+        named = connected_components(named.select(F.col("node").alias("src"), F.col("component").alias("dst")).union(links.select("src", "dst")))
     first = docs.select(F.xxhash64(text_or_empty()).alias("key"), F.col("doc_id").cast("long").alias("doc_id")).groupBy("key").agg(F.min("doc_id").alias("first"))
     classes = first.join(named, first["key"] == named["node"], "left").withColumn("class", F.coalesce("component", "key"))
     kept = classes.groupBy("class").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "key")).alias("k"))

@@ -310,6 +310,15 @@ def keep_one(docs: DataFrame, radius: int = 4, blocks: int = 7, width: int = 4)
     return own.join(kept, ["_at", "_key", "_none"], "left_semi").dropDuplicates(["_at", "_key", "_none"]).select(*docs.columns)
 
 
+def text_links(docs: DataFrame, radius: int = 4, blocks: int = 7, width: int = 4) -> DataFrame:
+    """(src, dst): each distinct text, by its hash, with the least one of its component of fingerprints."""
+    fps = materialize(_keyed_fingerprints(docs, width), "keyed")
+    comp = connected_components(fingerprint_links(fps, radius, blocks))
+    named = fps.join(comp, fps["fp"] == comp["node"], "left").select("key", F.coalesce("component", "fp").alias("class"))
+    least = named.groupBy("class").agg(F.min("key").alias("least"))
+    return named.join(least, "class").select(F.col("key").alias("src"), F.col("least").alias("dst")).filter("src <> dst")
+
+
 def _keyed_fingerprints(docs: DataFrame, width: int) -> DataFrame:
     """(key, first, fp) of the distinct texts, by their hash: least doc_id and fingerprint."""
 
