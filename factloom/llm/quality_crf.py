@@ -209,28 +209,40 @@ def train(docs: list[Example], rounds: int = 120, l2: float = 3.0) -> LineModel:
     if len(labels) < 2:
         share = 0.5 if not docs else (0.98 if 1 in labels else 0.02)
         return LineModel(np.zeros(width), np.ones(width), np.zeros(width), 0.0, np.zeros((2, 2)), 0.0, math.log(share / (1 - share)))
-    full = [(*with_context(x, n, before, behind), y) for x, n, y, before, behind in docs]
-    stack = np.concatenate([x for x, _, _ in full])
-    mean, std = stack.mean(axis=0), stack.std(axis=0)
+    # One table of all lines with their neighbours, in float64, is what is held: groups of equal length are slices of it.
+    sized = [len(n) - before - behind for _, n, _, before, behind in docs]
+    order = sorted(range(len(docs)), key=sized.__getitem__)
+    ends = np.cumsum([sized[i] for i in order])
+    table = np.empty((int(ends[-1]), width))
+    lengths, y = np.empty(len(table), np.int64), np.array([docs[i][2] for i in order])
+    for i, end in zip(order, ends):
+        x, n, _, before, behind = docs[i]
+        table[end - sized[i] : end], lengths[end - sized[i] : end] = with_context(x, n, before, behind)
+    mean = table.mean(axis=0)
+    table -= mean
+    std = np.sqrt(np.einsum("lf,lf->f", table, table) / len(table))
     std[std < 1e-9] = 1.0
-    groups: dict[int, list] = {}
-    for x, _, y in full:
-        groups.setdefault(len(x), []).append(((x - mean) / std, y))
-    seqs = [(np.stack([x for x, _ in g]), np.array([y for _, y in g])) for g in groups.values()]
+    table /= std
+    seqs, sizes = [], np.array([sized[i] for i in order])
+    for size in np.unique(sizes):
+        own = np.flatnonzero(sizes == size)
+        at = int(ends[own[0]]) - size
+        seqs.append((table[at : at + size * len(own)].reshape(len(own), size, width), y[own]))
     w, bias, t = np.zeros(width), 0.0, np.zeros((2, 2))
     flat = lambda gw, gb, gt: np.concatenate((gw, [gb], gt.ravel()))
     p, m, v = flat(w, bias, t), np.zeros(width + 5), np.zeros(width + 5)
     for k in range(1, rounds + 1):  # Adam with a falling step
         _, gw, gb, gt = _gradient(seqs, p[:width], p[width], p[width + 1 :].reshape(2, 2), l2)
-        g = flat(gw, gb, gt) / len(full)
+        g = flat(gw, gb, gt) / len(docs)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         p = p - 0.15 * (1 - k / (rounds + 1)) * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
     model = LineModel(mean, std, p[:width], float(p[width]), p[width + 1 :].reshape(2, 2), 1.0, 0.0)
     q = []
-    for x, n, _ in full:
-        weight = np.maximum(n, 1)
-        q.append(float((marginals(model.emission(x), model.t) * weight).sum() / weight.sum()))
-    z, y = _logit(np.array(q)), np.array([y for _, _, y in full])
+    for size, end in zip(sizes, ends):
+        own = slice(int(end) - size, int(end))
+        weight = np.maximum(lengths[own], 1)
+        q.append(float((marginals(table[own] @ model.w + model.bias, model.t) * weight).sum() / weight.sum()))
+    z = _logit(np.array(q))
     a, b = 1.0, 0.0
     for _ in range(50):  # Newton steps of a ridge logistic map
         s = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
@@ -269,7 +281,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS,
 
     found = map_arrow(texts, fn, "doc_id long, quality int, x binary, n binary, before boolean, behind boolean").toArrow()
     rows = sorted(zip(*[found.column(c).to_pylist() for c in range(6)]))
-    return [(np.frombuffer(x, np.float32).reshape(-1, len(NAMES)).astype(np.float64), np.frombuffer(n, np.int64), q, before, behind) for _, q, x, n, before, behind in rows]
+    return [(np.frombuffer(x, np.float32).reshape(-1, len(NAMES)), np.frombuffer(n, np.int64), q, before, behind) for _, q, x, n, before, behind in rows]
 
 
 def quality(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, lines: int = TRAIN_LINES, threshold: float = THRESHOLD) -> DataFrame:
