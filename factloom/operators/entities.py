@@ -22,7 +22,7 @@ LEAST, MOST = 0.0, 2.0
 def _traits(names: DataFrame) -> DataFrame:
     """What the long rules say of a name, as columns. A filter on flags would ask them once more, so they stand below a join."""
     c = F.col("name")
-    rules = {"score": text.gibberish(c), "_numeric": text.numeric_dominant(c), "_code": text.code_like(c), "_date": text.date_like(c)}
+    rules = {"score": text.gibberish_of(c), "_numeric": text.numeric_dominant(c), "_code": text.code_like(c), "_date": text.date_like(c)}
     return names.withColumns(rules)
 
 
