@@ -122,7 +122,7 @@ def upsert(files: DataFrame, new: DataFrame) -> DataFrame:
     return out.withColumns(given).select(*files.columns)
 
 
-def latest(df: DataFrame, key: str, order: str) -> DataFrame:
+def latest(df: DataFrame, key: str | list[str], order: str) -> DataFrame:
     """FLT-15, WIN-03: the last row of each key."""
     w = Window.partitionBy(key).orderBy(F.desc(order))
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
