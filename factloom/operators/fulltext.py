@@ -6,9 +6,11 @@ import math
 import unicodedata
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ..plans.runtime import materialize
+
 FIELDS = ("subject", "predicate", "object", "title", "description")
 K1, B = 1.2, 0.75
 
@@ -73,29 +75,33 @@ def parse_query(query: str) -> list[tuple[list[str], list[str]]]:
 
 def search(docs: DataFrame, key: str, query: str, limit: int | None = 10, fields=FIELDS, status: str | None = "status") -> DataFrame:
     """FTS-03..05, TOPK-02: documents that the query holds for, by BM25; statistics over all rows, those of another status
-    included, which drop afterwards. Only the query's terms are counted, in one pass for the statistics and one for the
-    hits. Fields that `docs` has not are left out."""
+    included, which drop afterwards. Only the query's terms are counted, in one pass for the statistics and the hits. Fields that `docs` has not are left out."""
     spark, fields = docs.sparkSession, [f for f in fields if f in docs.columns]
     parsed = parse_query(sanitise(query))
     words = list(dict.fromkeys(w for a in parsed for part in a for w in part))
     cut = spark.range(1).select(*[tokens(F.lit(w)).alias(f"w{i}") for i, w in enumerate(words)]).first() if words else []
     of = dict(zip(words, map(list, cut)))
     terms = list(dict.fromkeys(t for ws in of.values() for t in ws))
+    nothing = docs.filter("false").select(key, F.lit(0.0).alias("score"))
+    if not terms:
+        return nothing
     t = docs.select(key, *([status] if status else []), tokens(F.concat_ws(" ", *fields)).alias("t")).withColumn("dl", F.size("t"))
     own = [F.size(F.filter("t", _is(w))).alias(f"tf{i}") for i, w in enumerate(terms)]
-    scored = t.select(key, *([status] if status else []), "dl", *own)
-    stats = scored.agg(F.count("*").alias("n"), F.avg("dl").alias("avg"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]).first()
-    if not terms or not stats["n"]:
-        return scored.filter("false").select(key, F.lit(0.0).alias("score"))
+    has = {t: F.col(f"tf{i}") > 0 for i, t in enumerate(terms)}
+    all_of = lambda ws: reduce(Column.__and__, [has[t] for w in ws for t in of[w]], F.lit(True))
+    holds = reduce(Column.__or__, [reduce(Column.__and__, [~all_of([w]) for w in no if of[w]], all_of(yes)) for yes, no in parsed], F.lit(False))
+    # Statistics are observed while the hits are written, so that documents are cut once.
+    seen = Observation()
+    dfs = [F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"df{i}") for i in range(len(terms))]
+    scored = t.select(key, *([status] if status else []), "dl", *own).observe(seen, F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg"), *dfs)
+    hits = materialize(scored.filter(holds & (F.col(status) == "active") if status else holds), "hits")
+    stats = seen.get
+    if not stats["n"]:
+        return nothing
     out = F.lit(0.0)
     for i in range(len(terms)):
         idf = max(1e-6, math.log((stats["n"] - stats[f"df{i}"] + 0.5) / (stats[f"df{i}"] + 0.5)))
         tf = F.col(f"tf{i}").cast("double")
         out = out + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / stats["avg"]))
-    has = {t: F.col(f"tf{i}") > 0 for i, t in enumerate(terms)}
-    all_of = lambda ws: reduce(Column.__and__, [has[t] for w in ws for t in of[w]], F.lit(True))
-    holds = reduce(Column.__or__, [reduce(Column.__and__, [~all_of([w]) for w in no if of[w]], all_of(yes)) for yes, no in parsed], F.lit(False))
-    hits = scored.filter(holds)
-    hits = hits.filter(F.col(status) == "active") if status else hits
     hits = hits.select(key, out.alias("score")).orderBy(F.desc("score"), key)
     return hits.limit(limit) if limit else hits

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.runtime import materialize
 from . import fulltext, relational, vector
 
 K = 60
@@ -81,11 +82,23 @@ def ask(
     if `edges` are given, and the fused best are the context. Only the bounded top rows reach the driver."""
     if not question.strip():
         return {"answer": "Please enter a question.", "sources": [], "related": [], "count": 0}
-    vec = vector.search(vectors, embed([question])[0], 2 * top_k)
-    fts = fulltext.search(facts, "id", question, fts_k).withColumnRenamed("id", "fact_id")
-    scores = facts.select(F.col("id").alias("fact_id"), "user_score")
-    graph = None if edges is None else near_facts(edges, seeds(relational.hydrate(fuse(vec, fts, None, scores, limit=30), facts, files)))
-    rows = relational.hydrate(fuse(vec, fts, graph, scores, limit=30), facts, files)
+    vec = materialize(vector.search(vectors, embed([question])[0], 2 * top_k), "vec")
+    fts = materialize(fulltext.search(facts, "id", question, fts_k).withColumnRenamed("id", "fact_id"), "fts")
+    ranked = vec.select("fact_id").union(fts.select("fact_id"))
+
+    def best(graph: DataFrame | None) -> DataFrame:
+        """The fused best with their facts, written; of all facts, only those in the lists are joined."""
+        ids = (ranked if graph is None else ranked.union(graph.select("fact_id"))).select(F.col("fact_id").alias("id")).distinct()
+        own = materialize(facts.join(ids, "id", "left_semi"), "own")
+        scores = own.select(F.col("id").alias("fact_id"), "user_score")
+        return materialize(relational.hydrate(fuse(vec, fts, graph, scores, limit=30), own, files), "best")
+
+    if edges is None:
+        rows = best(None)
+    else:
+        around = seeds(best(None)).select("name").filter("name IS NOT NULL")
+        names = [r["name"] for r in around.collect()]
+        rows = best(materialize(near_facts(edges.filter(F.col("src").isin(names) | F.col("dst").isin(names)), around), "near"))
     text = context(rows).first()["context"]
     if not text:
         return {"answer": "The knowledge base does not contain information about this.", "sources": [], "related": [], "count": 0}
