@@ -15,6 +15,7 @@ bitmap of fixed size picks out before the exchange.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,8 +44,8 @@ _BITS = 32768
 SMALL, PROBES = 8, 12
 #: Lines of a large bucket, about, that one part of a comparison holds.
 PART = 512
-#: Words of 64 bits in the sketch that rules pairs out.
-SKETCH = 8
+#: Words of 64 bits in the sketch that rules pairs out: eight let most pairs of 700 shingles or more pass. A power of two.
+SKETCH = 16
 #: Slack of comparisons of similarities.
 _EPS = 1e-9
 
@@ -102,13 +103,16 @@ def signatures(docs: DataFrame) -> DataFrame:
     """(key, bands, n, first) of the distinct lines: band keys, number of places and least doc_id.
 
     Equal lines meet in the aggregation itself, by their key; the text stays home. A row carries the hashes of `STEP`
-    neighbouring shingles (the last one again where they end), so that the aggregation is asked less often.
+    neighbouring shingles (the last one again where they end), so that the aggregation is asked less often. Here a shingle
+    is twelve units of two bytes, half as long to hash: a character, or half of one beyond the first 65,536. All of them
+    count, and the similarity that decides stays that of characters.
     """
-    cut = places(docs).select(F.xxhash64("line").alias("key"), "doc_id", characters(F.col("line")).alias("_e"))
-    cut = cut.withColumn("_last", last_start(F.col("_e")))
+    cut = places(docs).select(F.xxhash64("line").alias("key"), "doc_id", F.encode("line", "UTF-16BE").alias("_e"))
+    cut = cut.withColumn("_last", F.greatest(F.lit(0), F.shiftright(F.length("_e"), 1) - SHINGLE))
     each = cut.select("key", "doc_id", "_e", "_last", F.explode(F.sequence(F.lit(0), F.col("_last"), F.lit(STEP))).alias("_i"))
     names = [f"_h{k}" for k in range(STEP)]
-    hashed = each.select("key", "doc_id", "_i", *[shingle(F.col("_e"), F.least(F.col("_i") + k, F.col("_last"))).alias(h) for k, h in enumerate(names)])
+    at = [F.least(F.col("_i") + k, F.col("_last")) * 2 + 1 for k in range(STEP)]
+    hashed = each.select("key", "doc_id", "_i", *[F.xxhash64(F.substring("_e", p, F.lit(2 * SHINGLE))).alias(h) for p, h in zip(at, names)])
     mins = [F.min(F.least(*[F.col(h).bitwiseXOR(F.lit(_constant(j))) for h in names])).alias(f"_m{j}") for j in range(MINIMA)]
     mins = hashed.groupBy("key").agg(F.sum(F.when(F.col("_i") == 0, 1).otherwise(0)).alias("n"), F.min("doc_id").alias("first"), *mins)
     keys = [F.xxhash64(F.lit(b), *[F.col(f"_m{j}") for j in line]) for b, line in enumerate(BANDS)]
@@ -119,9 +123,12 @@ def through_bitmap(rows: DataFrame, col: str, need: DataFrame) -> DataFrame:
     """The rows whose long `col` is one of `need`'s, and few others: a bitmap of fixed size keeps the rest from an exchange."""
     at = F.pmod(F.xxhash64(col, F.lit(7)), F.lit(BITMAP_PARTS * _BITS))
     bitmap = need.select(at.alias("_at")).groupBy((F.col("_at") / _BITS).cast("int").alias("_part")).agg(F.bitmap_construct_agg(F.col("_at") % _BITS).alias("_bits"))
-    byte = F.conv(F.hex(F.substring("_bits", ((F.col("_at") % _BITS) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    picked = rows.withColumn("_at", at).join(F.broadcast(bitmap), (F.col("_at") / _BITS).cast("int") == F.col("_part"))
-    return picked.filter(F.getbit(byte, (F.col("_at") % 8).cast("int")) == 1).select(*rows.columns)
+    # Bytes become numbers once in the bitmap, not once a row.
+    number = lambda i: F.conv(F.hex(F.substring("_bits", i, F.lit(1))), 16, 10).cast("smallint")
+    bitmap = bitmap.select("_part", F.transform(F.sequence(F.lit(1), F.lit(_BITS // 8)), number).alias("_bytes"))
+    placed = rows.withColumn("_at", at).withColumn("_bit", F.col("_at").bitwiseAND(F.lit(_BITS - 1)).cast("int"))
+    picked = placed.join(F.broadcast(bitmap), (F.col("_at") / _BITS).cast("int") == F.col("_part"))
+    return picked.filter(F.getbit(F.get("_bytes", F.shiftright("_bit", 3)), F.col("_bit").bitwiseAND(F.lit(7))) == 1).select(*rows.columns)
 
 
 def needed(lines: DataFrame, need: DataFrame) -> DataFrame:
@@ -134,28 +141,35 @@ def line_texts(docs: DataFrame, need: DataFrame) -> DataFrame:
     return needed(places(docs).select(F.xxhash64("line").alias("key"), "line"), need).select("key", F.col("line").alias("s"))
 
 
-def members(line: Column) -> Column:
-    """The line's set of hashed shingles."""
-    return F.array_distinct(shingles(line))
-
-
 def _verified(pairs: DataFrame, sets: DataFrame, of: Callable[[Column], Column], similarity: float) -> DataFrame:
-    """pairs(a, b, ...) -> those whose sets, as `of` makes them of the lines' s, have the exact Jaccard similarity."""
-    left = pairs.join(sets.select(F.col("key").alias("a"), F.col("s").alias("sa")), "a")
-    both = left.join(sets.select(F.col("key").alias("b"), F.col("s").alias("sb")), "b")
-    both = both.select(*pairs.columns, of(F.col("sa")).alias("sa"), of(F.col("sb")).alias("sb"))
-    sized = both.select(*pairs.columns, F.size("sa").alias("_na"), F.size("sb").alias("_nb"), F.size(F.array_intersect("sa", "sb")).alias("_n"))
+    """pairs(a, b, ...) -> those whose sets have the exact Jaccard similarity, for sets(key, s, n) with their sizes n.
+
+    `of` makes the members of an s, repeats included, as an intersection holds each once.
+    """
+    left = pairs.join(sets.select(F.col("key").alias("a"), F.col("s").alias("sa"), F.col("n").alias("_na")), "a")
+    both = left.join(sets.select(F.col("key").alias("b"), F.col("s").alias("sb"), F.col("n").alias("_nb")), "b")
+    sized = both.select(*pairs.columns, "_na", "_nb", F.size(F.array_intersect(of(F.col("sa")), of(F.col("sb")))).alias("_n"))
     return sized.filter(F.col("_n") / (F.col("_na") + F.col("_nb") - F.col("_n")) >= similarity - _EPS).select(*pairs.columns)
 
 
 def odd_sketches(sets: DataFrame, of: Callable[[Column], Column]) -> DataFrame:
     """(key, s) -> (key, n, o0, o1, ...): a set's size and, in `SKETCH` words of 64 bits, the parity of its members at each bit.
 
-    Two sketches differ in at most as many bits as the sets have members that only one of them has.
+    Two sketches differ in at most as many bits as the sets have members that only one of them has. An empty set has no
+    sketch. A row carries `STEP` members, so that the aggregation is asked less often.
     """
-    one = sets.select("key", F.explode(of(F.col("s"))).alias("_s")).select("key", F.xxhash64("_s").alias("_h"))
-    word, bit = F.shiftright("_h", 6).bitwiseAND(F.lit(SKETCH - 1)), F.expr("shiftleft(1L, cast(_h & 63 AS int))")
-    return one.groupBy("key").agg(F.count("*").alias("n"), *[F.bit_xor(F.when(word == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"o{i}") for i in range(SKETCH)])
+    sized = sets.select("key", F.array_distinct(of(F.col("s"))).alias("_a")).select("key", "_a", F.size("_a").alias("_n"))
+    each = sized.select("key", "_a", "_n", F.explode(F.sequence(F.lit(0), F.greatest(F.col("_n") - 1, F.lit(0)), F.lit(STEP))).alias("_i"))
+    names = [f"_h{k}" for k in range(STEP)]
+    hashed = each.select("key", "_n", *[F.when(F.col("_i") + k < F.col("_n"), F.xxhash64(F.get("_a", F.col("_i") + k))).alias(h) for k, h in enumerate(names)])
+
+    def word(i: int) -> Column:
+        """The bits that a row's members set in the i-th word."""
+        here = [F.col(h).bitwiseAND(F.lit(SKETCH - 1 << 6)) == i << 6 for h in names]
+        bits = [F.when(at, F.expr(f"shiftleft(1L, cast({h} & 63 AS int))")).otherwise(F.lit(0).cast("long")) for at, h in zip(here, names)]
+        return reduce(Column.bitwiseXOR, bits)
+
+    return hashed.groupBy("key").agg(F.max("_n").alias("n"), *[F.bit_xor(word(i)).alias(f"o{i}") for i in range(SKETCH)]).filter("n > 0")
 
 
 def _named(d: DataFrame, p: str) -> DataFrame:
@@ -213,20 +227,24 @@ def buckets(sigs: DataFrame) -> DataFrame:
     return through_bitmap(banded, "band", sizes).join(sizes, "band").select("band", "key", "size", "lead")
 
 
-def line_components(docs: DataFrame, sigs: DataFrame, similarity: float = SIMILARITY, sets_of=line_texts, of: Callable[[Column], Column] = members) -> DataFrame:
+def line_components(docs: DataFrame, sigs: DataFrame, similarity: float = SIMILARITY, sets_of=line_texts, of: Callable[[Column], Column] = shingles) -> DataFrame:
     """(node, component): the components of all candidate pairs of line keys that are alike; lines without a link are left out.
 
     Buckets of at most `SMALL` lines compare all their pairs. A larger bucket compares its lines with one of them, its
     leader. Where any are unlike it, `PROBES` of these meet the others and the closest of the rest, and in the end each
     line outside the leader's component meets the bucket's lines of other components. Of all these pairs, those that
     parity sketches allow are verified, between two components the closest first. No pair that a component needs is lost. `sets_of` gives an s of the lines,
-    or texts, that keys name, and `of` makes its set of it.
+    or texts, that keys name, and `of` makes its members of it, repeats allowed.
     """
     shared = materialize(buckets(sigs), "buckets")
     sets = _written(sets_of(docs, shared.select("key").distinct()), "sets")
-    wide = materialize(shared.join(odd_sketches(sets, of), "key"), "sketched")
-    few, many = wide.filter(f"size <= {SMALL}").drop("lead"), wide.filter(f"size > {SMALL}")
-    met = _named(few, "f").join(_named(few, "x"), (F.col("f_band") == F.col("x_band")) & (F.col("f_key") < F.col("x_key")) & _near(similarity))
+    sketches = materialize(odd_sketches(sets, of), "sketches")
+    sets = _written(sets.join(sketches.select("key", "n"), "key"), "sets")
+    # Pairs of small buckets are named once before they meet their sketches, which are wide.
+    few = shared.filter(f"size <= {SMALL}").select("band", "key")
+    met = _named(few, "f").join(_named(few, "x"), (F.col("f_band") == F.col("x_band")) & (F.col("f_key") < F.col("x_key"))).select("f_key", "x_key").distinct()
+    met = met.join(_named(sketches, "f"), "f_key").join(_named(sketches, "x"), "x_key").filter(_near(similarity))
+    many = materialize(shared.filter(f"size > {SMALL}").join(sketches, "key"), "sketched")
     led = materialize(_not_ruled_out(many.filter("key = lead"), many, similarity), "led")
     tested = materialize(_verified(met.select(F.col("f_key").alias("a"), F.col("x_key").alias("b")).union(led).distinct(), sets, of, similarity), "verified")
     # The leader has the least key of its bucket, so its pairs are (lead, key).
@@ -243,7 +261,9 @@ def line_components(docs: DataFrame, sigs: DataFrame, similarity: float = SIMILA
     marked = undecided.join(left.withColumn("apart", F.lit(True)), ["band", "key"], "left")
     asked = _not_ruled_out(probes.join(undecided, ["band", "key"]), marked.withColumn("apart", F.coalesce("apart", F.lit(False))), similarity, probing=True)
     asked = materialize(asked.join(tested, ["a", "b"], "left_anti"), "probed")
-    named = connected_components(links(tested).union(links(_verified(asked, sets, of, similarity))))
+    # Written, as the components read their links in both directions.
+    asked = materialize(_verified(asked, sets, of, similarity), "verified")
+    named = connected_components(links(tested).union(links(asked)))
 
     own = named.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
     heads = undecided.filter("key = lead").join(own, F.col("lead") == F.col("_n"), "left").select("band", F.coalesce("_c", "lead").alias("_head"))
