@@ -220,7 +220,8 @@ def near_links(fps: DataFrame, radius: int = 6, blocks: int = 8) -> DataFrame:
     agree = F.filter(F.array(*[F.when(same(i, x0, x1), F.lit(i)) for i in range(blocks)]), lambda i: i.isNotNull())
     first = F.slice(agree, 1, blocks - radius)
     table_of = F.array_position(F.array(*[F.array(*map(F.lit, t)) for t in tables]), first) - 1
-    met = a.join(b, (a["t"] == b["t"]) & (a["k0"] == b["k0"]) & (a["k1"] == b["k1"]) & near)
+    # Spark sizes the exploded rows as if there were one a fingerprint, and would broadcast what is `len(tables)` times as large.
+    met = a.join(b.hint("merge"), (a["t"] == b["t"]) & (a["k0"] == b["k0"]) & (a["k1"] == b["k1"]) & near)
     return met.filter(table_of == a["t"]).select("a0", "a1", "b0", "b1")
 
 
