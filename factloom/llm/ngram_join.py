@@ -13,7 +13,7 @@ loses no pair, and candidates must pass them all:
   what is left is verified on the whole sets. Between two classes one pair is verified first; the others only if it is no
   link. No pair that a class needs is left out.
 
-Shingles are known by their XXH64. Equal texts are one text with many rows.
+Shingles are known by a 64-bit hash of their words. Equal texts are one text with many rows, and are cut once.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +31,6 @@ from ..plans.components import connected_components
 from ..plans.runtime import discard, materialize, scratch
 from .common import batch, map_arrow, text_or_empty
 from .line_dedup import needed
-from .simhash_neardup import shingle_hashes
 
 WIDTH, PERCENT = 5, 80
 #: Share of the hashes' range whose shingles are counted for the first order.
@@ -43,16 +43,85 @@ _ODD = [xxhash.xxh64_intdigest(f"order {i}") | 1 for i in range(ORDERS)]
 SMALL, PART = 6, 512
 #: Texts of a large bucket, and as many outside the leader's class, that those outside it meet before they meet all.
 PROBES = 6
-#: The bitmap of shared shingles: so many parts of 32,768 bits (4 KB), 4 MB in all, whatever the size of the tables.
-BITMAP_PARTS, _BITS = 1024, 32768
+#: The bitmap of shared shingles: `BITMAP_SPACE` bits for each at least, in parts of 32,768 bits (4 KB): 4 MB at least, 64 MB at most.
+BITMAP_PARTS, BITMAP_MOST, BITMAP_SPACE, _BITS = 1024, 16384, 8, 32768
+#: Of a text's large buckets so many, the first by hash, tell which of two texts' common buckets is their first.
+HEADS = 16
 #: Words of 64 bits of a set's parity sketch.
 SKETCH = 8
 _SKETCH_MIX = np.uint64(xxhash.xxh64_intdigest("sketch") | 1)
+_WORD_MIX = np.uint64(xxhash.xxh64_intdigest("word") | 1)
+#: Eight bytes of which so many count; bytes of a word that is hashed with others, eight at a time.
+_COUNT = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+LONG_WORD = 256
+
+
+def _mix(h: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """The hash `h` with 64 bits more; of equal hashes, another part gives another one."""
+    h = (h ^ part) * _WORD_MIX
+    return h ^ (h >> np.uint64(32))
+
+
+def _word_hashes(words: pa.Array) -> np.ndarray:
+    """A hash of each word's bytes and their number."""
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    raw = np.zeros(ends[-1] - ends[0] + 8, np.uint8)
+    if len(raw) > 8:
+        raw[:-8] = np.frombuffer(words.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+    eight = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))  # from each byte on
+    start, size = ends[:-1] - ends[0], np.diff(ends)
+    h = _mix(_mix(size.astype(np.uint64), _WORD_MIX), eight[start] & _COUNT[np.minimum(size, 8)])
+    at, done = np.flatnonzero((size > 8) & (size <= LONG_WORD)), 8
+    while len(at):
+        h[at] = _mix(h[at], eight[start[at] + done] & _COUNT[np.minimum(size[at] - done, 8)])
+        done += 8
+        at = at[size[at] > done]
+    for i in np.flatnonzero(size > LONG_WORD):
+        h[i] = xxhash.xxh64_intdigest(raw[start[i] : start[i] + size[i]])
+    return h
+
+
+def _mixed(words: np.ndarray, first: np.ndarray, width: int) -> np.ndarray:
+    """A hash of the `width` words from each place of `first` on."""
+    h = np.full(len(first), np.uint64(xxhash.xxh64_intdigest(f"width {width}")))
+    for i in range(width):
+        h = _mix(h, words[first + i])
+    h *= _WORD_MIX
+    h ^= h >> np.uint64(29)
+    return h
+
+
+def shingle_sets(texts: pa.Array, width: int = WIDTH) -> list[np.ndarray]:
+    """The distinct hashes of each text's shingles, ascending; a text without words has none, one of fewer words is one shingle."""
+    if not len(texts):
+        return []
+    words = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    ends, flat = words.offsets.to_numpy(), words.flatten()
+    row = np.repeat(np.arange(len(texts)), np.diff(ends))
+    some = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)  # white space at an end leaves an empty one
+    hashes = _word_hashes(flat)[some]
+    n = np.bincount(row[some], minlength=len(texts))
+    at = np.cumsum(n) - n
+    count = np.where(n < width, np.minimum(n, 1), n - width + 1)
+    end = np.cumsum(count)
+    start = end - count
+    # A shingle's first word: its text's, and as many on as it is in its text.
+    first = np.repeat(at - start, count) + np.arange(end[-1])
+    of = np.repeat(n, count)
+    out = np.zeros(len(first), np.uint64)
+    for k in range(1, width + 1):
+        here = of == k if k < width else of >= width
+        out[here] = _mixed(hashes, first[here], k)
+    sets = []
+    for a, b in zip(start.tolist(), end.tolist()):
+        s = np.sort(out[a:b])
+        sets.append(s[np.concatenate(([True], s[1:] != s[:-1]))] if b - a > 1 else s)
+    return sets
 
 
 def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
-    """The distinct hashes of the text's shingles, ascending; a text without words has none."""
-    return np.unique(shingle_hashes(text, width).view(np.uint64).ravel())
+    """The distinct hashes of a text's shingles."""
+    return shingle_sets(pa.array([text or ""], pa.string()), width)[0]
 
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:
@@ -72,31 +141,35 @@ def _lists(arrays: list[np.ndarray], kind) -> pa.ListArray:
 
 
 def first_members(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc_id, key, n, first): for each row the shingles that may be in a prefix under the first order."""
+    """(key, n, first): for each different text the shingles that may be in a prefix under the first order."""
 
     def fn(b: pa.RecordBatch) -> pa.RecordBatch:
-        ns, firsts = [], []
-        for t in b.column(2).to_pylist():
-            s = shingle_set(t, width)
-            ns.append(len(s))
-            firsts.append(s[: max(int(np.searchsorted(s, np.uint64(_LIMIT))), prefix_length(len(s), percent)) if len(s) else 0].view(np.int64))
-        return batch(["doc_id", "key", "n", "first"], b.column(0), b.column(1), pa.array(ns, pa.int64()), _lists(firsts, np.int64))
+        sets = shingle_sets(b.column(1), width)
+        firsts = [s[: max(int(np.searchsorted(s, np.uint64(_LIMIT))), prefix_length(len(s), percent)) if len(s) else 0].view(np.int64) for s in sets]
+        return batch(["key", "n", "first"], b.column(0), pa.array(list(map(len, sets)), pa.int64()), _lists(firsts, np.int64))
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.xxhash64(text_or_empty()), text_or_empty().alias("text")), fn, "doc_id long, key long, n long, first array<long>")
+    texts = docs.select(F.xxhash64(text_or_empty()).alias("key"), text_or_empty().alias("text")).dropDuplicates(["key"])
+    return map_arrow(texts, fn, "key long, n long, first array<long>")
+
+
+def _bitmap_parts(shared: DataFrame) -> int:
+    """Parts, a power of two, of a bitmap that holds `shared`; where it stays the same however many there are, most bits are set at last."""
+    return min(BITMAP_MOST, max(BITMAP_PARTS, 1 << (shared.count() * BITMAP_SPACE // _BITS).bit_length()))
 
 
 def _shared_only(rows: DataFrame, shared: DataFrame) -> DataFrame:
-    """(key, n, m, h) of the first members h that `shared`(h) may have, by a bitmap of fixed size; m: their number with the others."""
-    last = BITMAP_PARTS * _BITS - 1  # a hash's last bits are its place
+    """(key, n, m, h) of the first members h that `shared`(h) may have, by a bitmap; m: their number with the others."""
+    most = _bitmap_parts(shared)
+    last = most * _BITS - 1  # a hash's last bits are its place
     at = F.col("h").bitwiseAND(F.lit(last))
     parts = shared.select(at.alias("at")).groupBy((F.col("at") / _BITS).cast("int").alias("part")).agg(F.bitmap_construct_agg(F.col("at") % _BITS).alias("bits"))
-    bitmap = np.zeros(BITMAP_PARTS * _BITS // 8, np.uint8)
-    for r in parts.collect():  # at most BITMAP_PARTS rows of 4 KB
+    bitmap = np.zeros(most * _BITS // 8, np.uint8)
+    for r in parts.toLocalIterator():  # at most BITMAP_MOST rows of 4 KB
         bitmap[r.part * _BITS // 8 : (r.part + 1) * _BITS // 8] = np.frombuffer(r.bits, np.uint8)
     sent = rows.sparkSession.sparkContext.broadcast(bitmap)
 
     def fn(b: pa.RecordBatch) -> pa.RecordBatch:
-        lists = b.column(3)
+        lists = b.column(3)  # a batch is cut by bytes, so its places in the bitmap are few megabytes
         ends = lists.offsets.to_numpy()
         h = lists.flatten().to_numpy()
         p = h & last
@@ -115,7 +188,7 @@ def prefixes(rows: DataFrame, percent: int) -> DataFrame:
     """first_members -> (h, key, n): the prefixes under the first order, without shingles of one row only."""
     counts = rows.select(F.explode("first").alias("h")).groupBy("h").agg(F.count("*").alias("c")).filter("c > 1")
     counts = materialize(counts, "shared", "uncompressed")
-    own = _shared_only(rows, counts).distinct().join(counts, "h")
+    own = _shared_only(rows, counts).join(counts, "h")
     late = (F.col("h") < 0) | (F.col("h") >= _LIMIT)
     by = F.struct(late.alias("late"), "c", "h")
     each = own.groupBy("key", "n", "m").agg(F.sort_array(F.collect_list(by)).alias("r"))  # a text's own shingles
@@ -140,7 +213,7 @@ def sets(docs: DataFrame, need: DataFrame, width: int, percent: int) -> DataFram
     """
 
     def fn(b: pa.RecordBatch) -> pa.RecordBatch:
-        got = [shingle_set(t, width) for t in b.column(1).to_pylist()]
+        got = shingle_sets(b.column(1), width)
         orders = []
         for odd in _ODD:
             mixed = [s * np.uint64(odd) for s in got]
@@ -243,11 +316,12 @@ def _labelled(many: DataFrame, named: DataFrame) -> DataFrame:
 def _met(wide: DataFrame, percent: int, whole: bool) -> DataFrame:
     """(a, b): texts outside the leader's class and texts of other classes in their bucket whose sketches allow a link.
 
-    whole: all of these, each pair in the first bucket that it shares; else `PROBES` of the bucket and of those outside.
+    whole: all of these, but for buckets after the first that both texts have among their `HEADS`, as pairs of near texts share
+    many; else `PROBES` of the bucket and of those outside.
     """
     held = wide
     if whole:
-        held = wide.join(wide.groupBy("key").agg(F.sort_array(F.collect_list("h")).alias("hs")), "key")
+        held = wide.join(wide.groupBy("key").agg(F.slice(F.sort_array(F.collect_list("h")), 1, HEADS).alias("hs")), "key")
     else:
         some = lambda d, seed: d.groupBy("h").agg(F.array(*[F.min_by("key", F.xxhash64("key", F.lit(seed + r))) for r in range(PROBES)]).alias("p"))
         probes = some(wide, 100).union(some(wide.filter("c <> head"), 200)).select("h", F.explode("p").alias("key")).distinct()
@@ -262,8 +336,9 @@ def _met(wide: DataFrame, percent: int, whole: bool) -> DataFrame:
     near = (100 + percent) * bits <= (100 - percent) * (F.col("f_n") + F.col("x_n"))
     ok = (F.col("f_c") != F.col("x_c")) & _sizes_fit(F.col("f_n"), F.col("x_n"), percent) & near
     if whole:
-        ok = ok & (F.get(F.array_intersect("f_hs", "x_hs"), F.lit(0)) == F.col("h"))
-    return f.join(x, ["h", "part"]).filter(ok).select(F.least("f_key", "x_key").alias("a"), F.greatest("f_key", "x_key").alias("b")).distinct()
+        ok = ok & (F.coalesce(F.get(F.array_intersect("f_hs", "x_hs"), F.lit(0)), F.col("h")) >= F.col("h"))
+    # Rows that repeat a text's sketch are small when written, and Spark would broadcast them by that size.
+    return f.join(x.hint("merge"), ["h", "part"]).filter(ok).select(F.least("f_key", "x_key").alias("a"), F.greatest("f_key", "x_key").alias("b")).distinct()
 
 
 def join_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -275,16 +350,17 @@ def join_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     Stages are written to the shared folder while the query is being built.
     """
     with scratch() as own:
+        told = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("key")), "rows")
         rows = materialize(first_members(docs, width, percent), "first-members", "uncompressed")
-        told = materialize(rows.select("doc_id", "key", "n"), "rows")
+        sizes = materialize(rows.select("key", "n"), "sizes")
         named = classes(docs, rows.filter("n > 0"), width, percent)
         named = materialize(named, "classes", "uncompressed")
-    discard(docs.sparkSession, [own[0], *own[2:-1]])  # all but `told` and `named`
-    texts = told.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"))
-    of = texts.join(named.withColumnRenamed("node", "key"), "key", "left").select("key", "least", F.coalesce("component", "key").alias("class"))
+    discard(docs.sparkSession, [own[1], *own[3:-1]])  # all but `told`, `sizes` and `named`
+    texts = told.groupBy("key").agg(F.min("doc_id").alias("least")).join(sizes, "key")
+    of = texts.join(named.withColumnRenamed("node", "key"), "key", "left").select("key", "n", "least", F.coalesce("component", "key").alias("class"))
     least = of.groupBy("class").agg(F.min("least").alias("component_id"))
-    of = of.join(least, "class").select("key", "component_id")
-    both = told.join(of, "key", "left")
+    of = of.join(least, "class").select("key", "n", "component_id")
+    both = told.join(of, "key")
     return both.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
