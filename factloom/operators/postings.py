@@ -5,8 +5,8 @@ counts with their sign. `merge` makes one segment of all. Each segment's term co
 term's bucket and sorted by term within, so that a search reads the buckets of its own terms and of these the row
 groups that may hold them.
 
-A posting row is a term's occurrences in one cell: documents of about one length and of one range of ids. It carries the
-greatest term frequency and the least length, which bound what the term may add to a score there. A search adds these
+A posting row is a term's occurrences in one cell, or a piece of them where there are many: documents of about one length and
+of one range of ids. It carries the greatest term frequency and the least length, which bound what the term may add to a score there. A search adds these
 bounds up a cell without reading any occurrence, scores the cells of the highest bounds first, and then only those
 cells whose bound reaches the k-th score that was found.
 """
@@ -28,6 +28,8 @@ from .fulltext import FIELDS, K1, B, parse_query, sanitise, tokens
 BUCKETS, SPAN, FIRST = 32, 65536, 8
 #: Lengths of a cell differ by less than this factor.
 LENGTHS = 1.25
+#: Occurrences of a row. Rows are written and read some thousands at a time, so this bounds what a task holds of a frequent term.
+PIECE = 512
 _POSTINGS = "term string, cell string, n long, max_tf long, min_dl long, ids array<long>, tfs array<long>, dls array<long>, live array<boolean>, bucket int"
 _TERMS = "term string, df long, bucket int"
 
@@ -55,10 +57,11 @@ def rows_of(postings: DataFrame) -> DataFrame:
     """cut -> the rows of a segment's posting table."""
     level = F.floor(F.log(LENGTHS, F.col("dl"))).cast("string")
     cell = F.concat_ws(":", level, F.floor(F.col("id") / SPAN).cast("string")).alias("cell")
-    each = postings.select("term", cell, "tf", "dl", F.struct("id", "tf", "dl", "live").alias("p")).groupBy("term", "cell")
-    each = each.agg(F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.sort_array(F.collect_list("p")).alias("p"))  # a cell's ids are bounded
+    each = postings.select("term", cell, F.struct("id", "tf", "dl", "live").alias("p")).groupBy("term", "cell").agg(F.sort_array(F.collect_list("p")).alias("p"))  # a cell's ids are bounded
+    pieces = F.transform(F.sequence(F.lit(1), F.size("p"), F.lit(PIECE)), lambda i: F.slice("p", i, PIECE))
+    each = each.select("term", "cell", F.explode(F.when(F.size("p") > PIECE, pieces).otherwise(F.array("p"))).alias("p"))
     arrays = [F.col(f"p.{c}").alias(name) for c, name in (("id", "ids"), ("tf", "tfs"), ("dl", "dls"), ("live", "live"))]
-    return each.select("term", "cell", F.size("p").cast("long").alias("n"), "max_tf", "min_dl", *arrays, _bucket(F.col("term")).alias("bucket"))
+    return each.select("term", "cell", F.size("p").cast("long").alias("n"), F.array_max("p.tf").alias("max_tf"), F.array_min("p.dl").alias("min_dl"), *arrays, _bucket(F.col("term")).alias("bucket"))
 
 
 @dataclass
