@@ -22,6 +22,8 @@ from .stored_graph import StoredGraph
 
 #: Files that a batch's rows are dealt to, which are read in parallel.
 WIDTH = 16
+#: Batches of a run at most, as each costs a number of small jobs, however few its files are, and a segment that every read of a table takes in.
+MOST_BATCHES = 16
 _WORK = "path string, sha256 string, text string"
 _TABLES = {
     "files": "path string, sha256 string, id long, status string",
@@ -83,11 +85,11 @@ class IndexedBase:
 
     def run(
         self, listing: DataFrame, extractor: lifecycle.Extractor = lifecycle.rule_extractor, embedder=None, batch_files: int = 10_000, max_chars: int = 24000, overlap: int = 500,
-        stop: Callable[[], bool] | None = None, only: str | None = None,
+        stop: Callable[[], bool] | None = None, only: str | None = None, most_batches: int = MOST_BATCHES,
     ) -> dict:
         """listing(path, sha256, text) against the files that are done: new and changed ones are taken, vanished ones removed.
 
-        A batch holds about `batch_files` of the files that are taken. `stop` is asked between batches. `only` names one path to index anew,
+        A batch holds about `batch_files` of the files that are taken, or more if they would be over `most_batches` batches. `stop` is asked between batches. `only` names one path to index anew,
         whatever its hash, and nothing else changes then. A file whose every chunk fails is failed, and is taken again by the
         next run. Returns the run's counts.
         """
@@ -102,7 +104,7 @@ class IndexedBase:
         else:
             work = listing.filter(F.col("path") == only)
         at, status = self.files.new(), "completed"
-        for i in self._dealt(work, batch_files, at):
+        for i in self._dealt(work, batch_files, at, most_batches):
             if stop and stop():
                 status = "stopped"
                 break
@@ -113,11 +115,11 @@ class IndexedBase:
         self.files.commit([*self.files.segments(), {"run": number, "path": None, "status": status}])
         return self.runs()[-1]
 
-    def _dealt(self, work: DataFrame, batch_files: int, at: str) -> list[int]:
+    def _dealt(self, work: DataFrame, batch_files: int, at: str, most_batches: int = MOST_BATCHES) -> list[int]:
         """Writes what a run is to do in a folder a batch, by the path's hash, and beside it the facts that stand under the same
         paths now, so that a batch reads its own rows only. Returns the batches that have a file."""
         todo = materialize(work.select("path", "sha256", "text"), "work")
-        parts = max(1, math.ceil(todo.count() / batch_files))
+        parts = max(1, min(most_batches, math.ceil(todo.count() / batch_files)))
         batch = F.pmod(F.xxhash64("path", F.lit(1)), F.lit(parts)).cast("int").alias("batch")
         rows = todo.select("*", batch).repartition("batch", F.pmod(F.xxhash64("path", F.lit(2)), F.lit(WIDTH)))
         rows.write.partitionBy("batch").parquet(f"{at}/work")
